@@ -108,13 +108,26 @@ def seeds(docs: DataFrame, length: int, seed: int) -> DataFrame:
 def contexts(docs: DataFrame, length: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher(length, seed)
+        key, doc, pos, raw = [], [], [], []
+
+        def rows():  # of what has gathered
+            w = np.concatenate(raw)
+            cut = np.ascontiguousarray(w.astype("<u8").view(np.uint8).reshape(len(w), -1, 8)[:, :, :_DIGEST]).reshape(len(w), -1)
+            flat, size = cut.tobytes(), cut.shape[1]
+            return pd.DataFrame({"key": np.concatenate(key).view(np.int64), "doc_id": np.concatenate(doc), "pos": np.concatenate(pos), "windows": [flat[i : i + size] for i in range(0, len(flat), size)]})
+
         for b in batches:
             for d, t in zip(b["doc_id"], b["text"], strict=True):
                 at, keys, sums = hasher.suffixes(t)
-                for lo in range(0, len(at), 2000):
-                    part = hasher.windows(at[lo : lo + 2000], sums)
-                    cut = np.ascontiguousarray(part.astype("<u8").view(np.uint8).reshape(len(part), -1, 8)[:, :, :_DIGEST]).reshape(len(part), -1)
-                    yield pd.DataFrame({"key": keys[lo : lo + 2000].view(np.int64), "doc_id": d, "pos": at[lo : lo + 2000], "windows": [x.tobytes() for x in cut]})
+                for lo in range(0, len(at), 5000):
+                    part = at[lo : lo + 5000]
+                    for have, new in ((key, keys[lo : lo + 5000]), (doc, np.full(len(part), d, np.int64)), (pos, part), (raw, hasher.windows(part, sums))):
+                        have.append(new)
+                    if sum(map(len, pos)) >= 5000:
+                        yield rows()
+                        key, doc, pos, raw = [], [], [], []
+        if pos:
+            yield rows()
 
     return docs.select("doc_id", "text").mapInPandas(run, "key long, doc_id long, pos long, windows binary")
 
