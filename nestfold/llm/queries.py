@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nestfold.llm import decontamination, imatch, kd_shards, langid, packing, quality, simhash, suffix_dedup, url_filter, warc
-from nestfold.llm.tables import parts_for, table, texts
+from nestfold.llm.tables import table, texts
 from nestfold.storage import new_path
 
 
@@ -31,9 +31,8 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = texts(table(spark, sf_dir, "pages"), "page_id", "html")
-    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     path = new_path(spark, "warc")
-    warc.write(warc.payloads(pages), path, parts_for(spark, size), segment=16 << 10)
+    warc.write(warc.payloads(pages), path, segment=16 << 10)
     back = warc.reassembled(warc.read(spark, path))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -16,7 +16,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nestfold.ranks import spread
 from nestfold.storage import written
 
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122, for URLs
@@ -104,24 +103,29 @@ def payloads(pages: DataFrame, least: int = 100) -> DataFrame:
     return found.select("page_id", "html", F.when(F.col("_first") < F.col("page_id"), F.col("_first")).alias("refers_to"))
 
 
-def write(rows: DataFrame, path: str, files: int, segment: int = 1 << 20) -> None:
-    """Write (page_id, html, refers_to) as ``files`` archives and more under ``path``.
+def write(rows: DataFrame, path: str, segment: int = 1 << 20, records_per_file: int = 2000) -> None:
+    """Write (page_id, html, refers_to) as archives of up to ``records_per_file`` records under ``path``.
 
-    The records go out through Spark's own text writer, so ``path`` may be in any store that Spark
-    writes to, and a retried task replaces its file. Each record is a row; continuations are dealt
-    to archives by their own number, apart from the record they continue.
+    The records go out through Spark's own text writer, from the tasks that make them, so ``path``
+    may be in any store that Spark writes to, and a retried task replaces its files. Each record is
+    a row. A page's continuations may be in another archive than the record they continue.
     """
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out, size = [], 0
             for p, html, r in zip(batch["page_id"], batch["html"], batch["refers_to"], strict=True):
-                out = [x[:-1] for x in records_of(int(p), html.encode(), None if pd.isna(r) else int(r), segment)]
-                yield pd.DataFrame({"page_id": p, "number": range(len(out)), "record": out})
-
-    made = rows.mapInPandas(records, "page_id long, number int, record binary")
-    dealt = made.repartition(files, spread(F.struct("page_id", "number"), 1 << 20))
+                for x in records_of(int(p), html.encode(), None if pd.isna(r) else int(r), segment):
+                    out.append(x[:-1])
+                    size += len(x)
+                if size > 4 << 20:
+                    yield pd.DataFrame({"record": out})
+                    out, size = [], 0
+            yield pd.DataFrame({"record": out})
+
+    made = rows.mapInPandas(records, "record binary")
     # the writer ends each row with the newline that was taken off above; the cast leaves the bytes as they are
-    dealt.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -137,7 +141,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         int(h["warc-target-uri"].removeprefix("page:")),
                         int(x.removeprefix("page:")) if (x := h.get("warc-refers-to-target-uri")) else None,
                         h.get("warc-segment-origin-id", h["warc-record-id"]),
-                        int(h.get("warc-segment-number", 1)),
+                        int(x) if (x := h.get("warc-segment-number")) else None,
                         int(x) if (x := h.get("warc-segment-total-length")) else None,
                         h.get("warc-payload-digest", "").removeprefix("sha256:") or None,
                         int(h["x-payload-length"]),
@@ -146,7 +150,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     for h, block in parse(content)
                 ]
                 frame = pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")])
-                yield frame.astype({"refers_to": "Int64", "total": "Int64"})
+                yield frame.astype({"refers_to": "Int64", "total": "Int64", "number": "Int32"})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInPandas(records, RECORD)
@@ -181,8 +185,6 @@ def reassembled(records: DataFrame) -> DataFrame:
         payload = whole(block, first["digest"], first["declared"])
         return pd.DataFrame({"page_id": [first["page_id"]], "record_type": ["response"], "refers_to": pd.array([None], "Int64"), "payload": [payload], "payload_bytes": [len(payload)], "payload_digest": [hashlib.sha256(payload).hexdigest()]})
 
-    # a first segment states no total, so segments are known by being continued
-    parts = records.where("total IS NOT NULL OR number > 1").select("origin").distinct()
-    one = records.join(parts, "origin", "left_anti").mapInPandas(single, out)
-    many = records.join(parts, "origin", "left_semi").groupBy("origin").applyInPandas(joined, out)
+    one = records.where("number IS NULL").mapInPandas(single, out)
+    many = records.where("number IS NOT NULL").groupBy("origin").applyInPandas(joined, out)
     return one.unionByName(many)
