@@ -180,13 +180,12 @@ def plan(counts: np.ndarray, most: int) -> list[tuple[tuple[int, ...], int]]:
     left = counts.astype(np.int64).copy()
     p = patterns(np.flatnonzero(left[1:]) + 1, most)
     x = fit(p, left.astype(float))
+    # rounding carries the rest over to the next pattern, which shares its longest length
+    want = np.diff(np.floor(np.concatenate([[0.0], np.cumsum(x)]) + 0.5)).astype(np.int64)
     out = []
-    for i in np.argsort(-x, kind="stable"):
-        want = int(x[i] + 0.5)
-        if not want:
-            break
+    for i in np.flatnonzero(want):
         lengths = tuple(int(v) for v in p[i] if v)
-        can = min(want, *(int(left[v]) // lengths.count(v) for v in set(lengths)))
+        can = min(int(want[i]), *(int(left[v]) // lengths.count(v) for v in set(lengths)))
         if can:
             for v in lengths:
                 left[v] -= can
