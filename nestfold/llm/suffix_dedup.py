@@ -40,7 +40,7 @@ class Hasher:
 
     def sums(self, words: list[str]) -> np.ndarray:
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > 100_000:
             known.clear()
         out = []
         for w in words:
