@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nestfold.storage import written
@@ -43,32 +43,44 @@ def lexicon(docs: DataFrame, common: float = 0.2, rare: float = 0.0005) -> DataF
     return df.where(F.col("count").between(low, max(high, 1.0))).select("h")
 
 
-def following(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, next_id): each document's length in code points and the next id, the last one's being the first.
+def _longs(values: list[int]) -> Column:
+    """A constant array, folded once by the optimizer."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
-    Ids are put in ranges; a range's last document finds its next in the list of the ranges' first
-    ids, one for each partition.
+
+def neighbours(docs: DataFrame, ranges_each: int = 8) -> DataFrame:
+    """(range, guest, doc_id, next_id, text, next_text): texts dealt by ranges of ids, each beside the next one.
+
+    The one shuffle is by range, ``ranges_each`` of them for each partition. A range's first document
+    is also the guest at the end of the range before (the first range's: of the last), so that every
+    document but the guests finds its next in its own range. What the driver holds is two ids a range.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    light = docs.select("doc_id", F.length("text").cast("long").alias("n_chars"))
-    dealt = written(light.repartitionByRange(parts, "doc_id").withColumn("range", F.spark_partition_id()), "ranges")
-    firsts = [tuple(r) for r in dealt.groupBy("range").agg(F.min("doc_id").alias("first")).orderBy("first").collect()]
-    after = [(r, firsts[(i + 1) % len(firsts)][1]) for i, (r, _) in enumerate(firsts)]
-    after = F.broadcast(spark.createDataFrame(after, "range int, after long"))
-    from pyspark.sql import Window
-
-    nxt = F.lead("doc_id").over(Window.partitionBy("range").orderBy("doc_id"))
-    return dealt.withColumn("_next", nxt).join(after, "range").select("doc_id", "n_chars", F.coalesce("_next", "after").alias("next_id"))
+    wanted = ranges_each * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / wanted for i in range(1, wanted)], max(10_000, 10 * wanted))).first()[0] if wanted > 1 else []
+    bounds = [-(1 << 63), *sorted({c for c in cuts or []} - {-(1 << 63)})]
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, (len(bounds) - 1).bit_length())))])
+    search = lambda at, step: F.when(F.get(_longs(bounds), at + step) <= F.col("doc_id"), at + step).otherwise(at)
+    placed = docs.withColumn("range", F.aggregate(steps, F.lit(0), search))  # of the last bound up to the id
+    firsts = dict(placed.groupBy("range").agg(F.min("doc_id")).collect())
+    used = sorted(firsts)
+    before = {r: used[i - 1] for i, r in enumerate(used)}
+    every = range(len(bounds))
+    first, previous = _longs([firsts.get(r, 0) for r in every]), _longs([before.get(r, 0) for r in every]).cast("array<int>")
+    own = F.struct("range", F.lit(False).alias("guest"))
+    twice = F.array(own, F.struct(F.get(previous, F.col("range")).alias("range"), F.lit(True).alias("guest")))
+    at = F.explode(F.when(F.get(first, F.col("range")) == F.col("doc_id"), twice).otherwise(F.array(own)))
+    rows = placed.select("doc_id", "text", at.alias("at")).select("at.*", "doc_id", "text")
+    order = Window.partitionBy("range").orderBy("guest", "doc_id")
+    return rows.select("*", F.lead("doc_id").over(order).alias("next_id"), F.lead("text").over(order).alias("next_text"))
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """(doc_id, next_id, n_chars, text, edited): the edit replaces the last quarter by the next document's start."""
-    pairs = written(following(docs), "following").withColumn("need", F.floor(F.col("n_chars") / 4))
-    heads = pairs.join(docs.withColumnRenamed("doc_id", "next_id"), "next_id")
-    heads = heads.select("doc_id", "next_id", "n_chars", "need", F.expr("substring(text, 1, cast(need as int))").alias("head"))
-    kept = F.expr("concat(substring(text, 1, cast(n_chars - need as int)), head)")
-    return docs.join(heads, "doc_id").select("doc_id", "next_id", "n_chars", "text", kept.alias("edited"))
+    """(range, guest, doc_id, next_id, n_chars, text, edited): the edit replaces the last quarter by the next document's start; a guest has none."""
+    sized = neighbours(docs).withColumn("n_chars", F.length("text").cast("long"))
+    keep, need = "cast(n_chars - floor(n_chars / 4) as int)", "cast(floor(n_chars / 4) as int)"
+    made = F.expr(f"concat(substring(text, 1, {keep}), substring(next_text, 1, {need}))")
+    return sized.select("range", "guest", "doc_id", "next_id", "n_chars", "text", F.when(F.col("guest"), "").otherwise(made).alias("edited"))
 
 
 def _level(terms: Column) -> Column:
@@ -125,15 +137,16 @@ def text_of(fp: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, common: float = 0.2, rare: float = 0.0005) -> DataFrame:
-    """(doc_id, next_id, n_chars, edited_sha256, fp, edited_fp) of (doc_id, text), one row per id.
+    """(range, guest, doc_id, n_chars, edited_sha256, fp, edited_fp) of (doc_id, text), one row per id and one per guest.
 
     Equal texts have equal fingerprints. Empty texts, and texts without a term in the band, have a
-    fingerprint of their text alone.
+    fingerprint of their text alone. Rows stay where ``neighbours`` dealt them: no more shuffle
+    follows if the lexicon is broadcast.
     """
     words = written(lexicon(docs, common, rare), "lexicon")
     near = F.broadcast(words) if words.count() <= BROADCAST_ROWS else words
     made = edited(docs).select(
-        "doc_id", "next_id", "n_chars",
+        "range", "guest", "doc_id", "n_chars",
         F.unhex(F.sha2(F.encode("edited", "UTF-8"), 256)).alias("sha"), F.xxhash64("text").alias("p0"), F.xxhash64("edited").alias("p1"),
         term_hashes(F.col("text")).alias("t0"), term_hashes(F.col("edited")).alias("t1"),
     )
@@ -142,19 +155,18 @@ def fingerprints(docs: DataFrame, common: float = 0.2, rare: float = 0.0005) ->
         F.transform(_at_level(F.col("t0"), F.col("l0")), lambda h: F.struct(F.lit(0).alias("v"), h.alias("h"))),
         F.transform(_at_level(F.col("t1"), F.col("l1")), lambda h: F.struct(F.lit(1).alias("v"), h.alias("h"))),
     )
-    keys = ["doc_id", "next_id", "n_chars", "sha", "p0", "p1", "l0", "l1"]
+    keys = ["range", "guest", "doc_id", "n_chars", "sha", "p0", "p1", "l0", "l1"]
     terms = made.select(*keys, F.explode_outer(each).alias("t")).select(*keys, "t.v", "t.h")
     met = terms.join(near.withColumn("known", F.lit(True)), "h", "left")
     mine = lambda v: F.collect_list(F.when(F.col("known") & (F.col("v") == v), F.col("h")))
     kept = met.groupBy(*keys).agg(mine(0).alias("k0"), mine(1).alias("k1"))
-    return kept.select("doc_id", "next_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), _fingerprint("k0", "l0", "p0").alias("fp"), _fingerprint("k1", "l1", "p1").alias("edited_fp"))
+    return kept.select("range", "guest", "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), _fingerprint("k0", "l0", "p0").alias("fp"), _fingerprint("k1", "l1", "p1").alias("edited_fp"))
 
 
 def compared(docs: DataFrame, common: float = 0.2, rare: float = 0.0005) -> DataFrame:
     """Fingerprints as strings, and their likeness to the edited text's and to the next document's."""
-    made = written(fingerprints(docs, common, rare), "imatch")
-    others = made.select(F.col("doc_id").alias("next_id"), F.col("fp").alias("next_fp"))
-    met = made.join(others, "next_id")
+    order = Window.partitionBy("range").orderBy("guest", "doc_id")
+    met = fingerprints(docs, common, rare).withColumn("next_fp", F.lead("fp").over(order)).where("NOT guest")
     return met.select(
         "doc_id", "n_chars", "edited_sha256", text_of(F.col("fp")).alias("fingerprint"), text_of(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
