@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nestfold.llm.tables import parts_for
+from nestfold.llm.tables import parts_for, small_batches
 from nestfold.ranks import slots, spread
 from nestfold.storage import written
 
@@ -65,6 +65,7 @@ def cut(n: int, most: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, vocabulary: str, ranks: str | None = None, pattern: str | None = None, most: int = 2048, end: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document of (doc_id, text), ``end`` after its ids."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(vocabulary, ranks, pattern)

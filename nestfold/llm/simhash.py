@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nestfold.llm.components import components
+from nestfold.llm.tables import small_batches
 from nestfold.storage import written
 
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -46,6 +47,7 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp) of (doc_id, text), fp as a signed long; null text is empty."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nestfold.llm.tables import small_batches
 from nestfold.storage import written
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -98,11 +99,11 @@ def seeds(docs: DataFrame, length: int, seed: int) -> DataFrame:
         hasher = Hasher(length, seed)
         for b in batches:
             for at in range(0, len(b), 500):
-                part = [(d, np.unique(hasher.suffixes(t)[1])) for d, t in zip(b["doc_id"][at : at + 500], b["text"][at : at + 500], strict=True)]
-                sizes = [len(k) for _, k in part]
-                yield pd.DataFrame({"key": np.concatenate([k for _, k in part]).view(np.int64), "doc_id": np.repeat([d for d, _ in part], sizes)})
+                part = [(d, *np.unique(hasher.suffixes(t)[1], return_counts=True)) for d, t in zip(b["doc_id"][at : at + 500], b["text"][at : at + 500], strict=True)]
+                sizes = [len(k) for _, k, _ in part]
+                yield pd.DataFrame({"key": np.concatenate([k for _, k, _ in part]).view(np.int64), "doc_id": np.repeat([d for d, _, _ in part], sizes), "n": np.concatenate([n for _, _, n in part])})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "key long, doc_id long")
+    return docs.select("doc_id", "text").mapInPandas(run, "key long, doc_id long, n long")
 
 
 def contexts(docs: DataFrame, length: int, seed: int) -> DataFrame:
@@ -157,18 +158,20 @@ def repeated(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, windows: np.ndar
     return pd.DataFrame({"doc_id": doc[found], "first": start[found], "last": end[found], "source": source[found]})
 
 
-def spans(docs: DataFrame, length: int = 50, seed: int = 25, hot: int = 2000) -> DataFrame:
+def spans(docs: DataFrame, length: int = 50, seed: int = 25, hot: int = 8000) -> DataFrame:
     """(doc_id, spans): array of (first, last, source), the words from ``first`` to before ``last`` that ``source``, an earlier document, has too.
 
     ``docs`` is (doc_id, text) with one row per id; words are what white space separates. Spans of a
     document are merged where they touch or overlap; source is the smallest id met. Repeats inside
     one document are left alone. Documents without spans are not in the result.
 
-    A seed that more than ``hot`` documents have is not gathered in one task: its windows are counted
-    by their hash over all tasks, with sums made before the shuffle.
+    A seed that occurs more than ``hot`` times, be it in many documents or often in one, is not
+    gathered in one task: its windows are counted by their hash over all tasks, with sums made
+    before the shuffle.
     """
+    small_batches(docs.sparkSession)
     window = length - seed + 1
-    stats = seeds(docs, length, seed).groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    stats = seeds(docs, length, seed).groupBy("key").agg(F.sum("n").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
     keys = written(stats.where("a < b").select("key", "n"), "seeds")
     few = keys.count() <= BROADCAST_ROWS
     many = keys.where(F.col("n") > hot).select("key")

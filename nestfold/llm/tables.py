@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,6 +31,16 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text", *extra: str) -
     return rows.groupBy(key).agg(first).select(key, "_row.*")
 
 
+def small_batches(spark: SparkSession, n_bytes: int = 4 << 20) -> None:
+    """Texts go to Python in batches of ``n_bytes`` or one text, so a worker's memory does not follow the length of texts.
+
+    The session's own bound is kept where it is smaller.
+    """
+    have = int(spark.conf.get(BATCH_BYTES).rstrip("b"))
+    if have <= 0 or have > n_bytes:
+        spark.conf.set(BATCH_BYTES, str(n_bytes))
+
+
 def parts_for(spark: SparkSession, n_bytes: float, each: float = 8e6, least: int = 1) -> int:
     """So many partitions that each holds about ``each`` bytes, and at least as many as the session shuffles to."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_bytes / each) + 1)
