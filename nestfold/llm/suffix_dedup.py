@@ -245,21 +245,26 @@ def cut(text: str, found: list[tuple[int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def remove(docs: DataFrame, length: int = 50, seed: int = 25) -> DataFrame:
+def remove(docs: DataFrame, length: int = 50, seed: int = 25, broadcast_spans: int = 1_000_000) -> DataFrame:
     """The rows of ``docs``, each text without the passages that an earlier document has.
 
     n_chars, where ``docs`` has it, follows the new text. A document left without words is dropped
-    if it had some: all of it is elsewhere.
+    if it had some: all of it is elsewhere. Up to ``broadcast_spans`` documents and spans (about 40
+    bytes each) are broadcast, so that no text is shuffled; above, all texts are shuffled, once.
     """
     found = written(spans(docs.select("doc_id", "text"), length, seed), "spans")
-    met = docs.join(found.withColumnRenamed("spans", "_spans"), "doc_id", "left")
+    size = found.agg(F.sum(F.size("spans") + 1)).first()[0] or 0
+    found = found.withColumnRenamed("spans", "_spans")
+    met = docs.join(F.broadcast(found) if size <= broadcast_spans else found, "doc_id", "left")
 
     @F.pandas_udf("string")
     def cleaned(text: pd.Series, places: pd.Series) -> pd.Series:
-        return pd.Series([t if p is None or t is None else cut(t, [(s["first"], s["last"]) for s in p]) for t, p in zip(text, places, strict=True)])
+        return pd.Series([None if p is None or t is None else cut(t, [(s["first"], s["last"]) for s in p]) for t, p in zip(text, places, strict=True)], dtype=object)
 
-    changed = met.where("_spans IS NOT NULL").withColumn("text", cleaned("text", "_spans"))
+    same = F.col("_spans").isNull()
+    made = met.withColumn("_clean", cleaned(F.when(~same, F.col("text")), F.col("_spans")))  # other texts stay out of Python
+    made = made.where(same | (F.length(F.trim("_clean")) > 0))
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    kept = changed.where(F.length(F.trim("text")) > 0)
-    return met.where("_spans IS NULL").select(docs.columns).unionByName(kept.select(docs.columns))
+        new = F.length("_clean").cast(docs.schema["n_chars"].dataType)
+        made = made.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(new))
+    return made.withColumn("text", F.when(same, F.col("text")).otherwise(F.col("_clean"))).select(docs.columns)
