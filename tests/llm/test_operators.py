@@ -152,6 +152,12 @@ def test_suffix_spans_of_varied_surroundings(spark):
     assert {r["doc_id"]: [[s["first"], s["last"]] for s in r["spans"]] for r in found} == slow_spans(rows, 50)
 
 
+def test_removal_is_the_same_by_broadcast_and_by_shuffle(docs):
+    rows = texts(docs)
+    near, far = (sorted(map(tuple, suffix_dedup.remove(rows, broadcast_spans=n).collect())) for n in (1_000_000, 0))
+    assert near == far and len(near) < rows.count()
+
+
 def test_cut_leaves_the_rest_as_it_is():
     assert suffix_dedup.cut("a  b\nc d", [(1, 3)]) == "a  d"
     assert suffix_dedup.cut("a b", [(0, 2)]) == ""
