@@ -319,6 +319,7 @@ def test_language_backoff(spark, empty):
     model = langid.Model({"aa": Counter({"the": 9, "them": 2}), "bb": Counter({"der": 9, "dem": 2})})
     assert model.predict("the the", {})[0] == "aa"
     assert model.predict("derr", {})[0] == "bb"  # unseen, by its n-grams
+    assert model.predict("½ ² ٣", {}) == ("und", 0.0)  # numbers, not letters
     assert model.predict("12 !", {}) == model.predict(None, {}) == ("und", 0.0)
     assert langid.fit(empty).predict("the", {}) == ("und", 0.0)
 
