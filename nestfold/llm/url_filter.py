@@ -27,7 +27,7 @@ _GOOD = (
     "news", "library", "weather", "garden", "school", "history", "recipes", "museum", "science", "travel", "health", "open-data", "university", "theatre", "nation", "harbour",
     "mountain", "kitchen", "another", "station", "weather-report", "orchestra", "geography", "thinking", "northern", "heritage", "teaching", "bakery", "village", "railway", "festival", "reading",
 )
-#: The labelled table used where none is given: (url, 1 to block or 0 to allow). Common words, chosen without the tables judged.
+#: The labelled table used where none is given: (url, 1 to block or 0 to allow). Common words and compounds of them.
 LABELLED = tuple(
     (f"https://{sub}.example.{end}/{lang}/{n}".format(name), label)
     for names, label in ((_BAD, 1), (_GOOD, 0))
