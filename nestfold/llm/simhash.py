@@ -205,10 +205,3 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, seed: int
 def hexed(fp) -> F.Column:
     """16 lowercase hex digits of a signed long."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
-
-
-def keep_one(docs: DataFrame, radius: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
-    """The rows of ``docs`` of which one of each group of near-duplicates stays: that with the smallest id."""
-    groups = near_duplicates(docs, radius, width, seed)
-    gone = written(groups.where("component_id <> doc_id").select("doc_id"), "gone")
-    return docs.join(gone, "doc_id", "left_anti")
