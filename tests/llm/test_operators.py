@@ -119,16 +119,13 @@ def test_bit_sliced_counters():
 
 
 def slow_spans(by_id, length):
-    first = {}
+    """Passages that are somewhere before: in a document of smaller id, or in the same one without overlap."""
+    first, out = {}, {}
     for i in sorted(by_id):
         w = by_id[i].split()
         for k in range(len(w) - length + 1):
-            first.setdefault(tuple(w[k : k + length]), i)
-    out = {}
-    for i in sorted(by_id):
-        w = by_id[i].split()
-        for k in range(len(w) - length + 1):
-            if first[tuple(w[k : k + length])] < i:
+            doc, at = first.setdefault(tuple(w[k : k + length]), (i, k))
+            if doc < i or at + length <= k:
                 have = out.setdefault(i, [])
                 if have and k <= have[-1][1]:
                     have[-1][1] = k + length
@@ -137,19 +134,42 @@ def slow_spans(by_id, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [2000, 3])
-def test_suffix_spans_against_brute_force(docs, by_id, hot):
-    found = suffix_dedup.spans(texts(docs), hot=hot).collect()
-    assert {r["doc_id"]: [[s["first"], s["last"]] for s in r["spans"]] for r in found} == slow_spans(by_id, 50)
+#: All seeds cold, some hot; by the filter, and by shuffled joins.
+WAYS = [(4000, 1 << 27), (3, 1 << 27), (4000, 0), (3, 0)]
+
+
+def found_spans(df, hot, bits):
+    return {r["doc_id"]: [[s["first"], s["last"]] for s in r["spans"]] for r in suffix_dedup.spans(df, hot=hot, filter_bits=bits).collect()}
+
 
+@pytest.mark.parametrize("hot,bits", WAYS)
+def test_suffix_spans_against_brute_force(docs, by_id, hot, bits):
+    assert found_spans(texts(docs), hot, bits) == slow_spans(by_id, 50)
 
-def test_suffix_spans_of_varied_surroundings(spark):
+
+@pytest.mark.parametrize("hot,bits", WAYS[:2])
+def test_suffix_spans_of_varied_surroundings(spark, hot, bits):
     """Passages that share a core with many, but each surrounding with one other only."""
     core, sides = prose(30), [prose(25) for _ in range(5)]
     rows = {n: f"{prose(3)} {sides[n % 5][: 60 + n]} {core} {sides[n % 3]} {prose(4)}" for n in range(30)}
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
-    found = suffix_dedup.spans(df).collect()
-    assert {r["doc_id"]: [[s["first"], s["last"]] for s in r["spans"]] for r in found} == slow_spans(rows, 50)
+    assert found_spans(df, hot, bits) == slow_spans(rows, 50)
+
+
+def test_suffixes_of_a_line_that_many_documents_repeat(spark):
+    """300 documents that have a line 500 times: rows follow documents, not repeats."""
+    line = prose(12)
+    rows = {n: f"{prose(9)} {(line + ' ') * 500}{prose(8)}" for n in range(300)}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(4)
+    assert found_spans(df, 100, 1 << 27) == slow_spans(rows, 50)
+    stats = suffix_dedup.seeds(df, 50, 25).groupBy("key").agg(F.sum("n").alias("n"), F.sum("contexts").alias("rows")).where("n > 1000").collect()
+    assert stats and all(r["rows"] < 12 * 300 for r in stats)
+
+
+def test_common_words():
+    assert suffix_dedup.common_words("a b c ", "a b cd ") == 2
+    assert suffix_dedup.common_words("a b ", "a b ") == 2
+    assert suffix_dedup.common_words("", "a ") == 0
 
 
 def test_removal_is_the_same_by_broadcast_and_by_shuffle(docs):
