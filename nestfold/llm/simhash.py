@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nestfold.llm.batches import whole
 from nestfold.llm.components import components
 from nestfold.llm.tables import small_batches
 from nestfold.storage import written
@@ -38,11 +39,17 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     ends = (starts + sizes)[min(width, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(flat[a:b], seed) for a, b in zip(starts.tolist(), ends, strict=False)], "<u8")
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(h), 1 << 15):
-        part = h[at : at + (1 << 15)]
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
+    return int(majority(h[:, None])[0])
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The bits that are set in over half of the rows of (rows, words)."""
+    width = 64 * hashes.shape[1]
+    counts = np.zeros(width, np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        part = np.ascontiguousarray(hashes[at : at + (1 << 15)].astype("<u8", copy=False))
+        counts += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
 
 
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
@@ -58,8 +65,8 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
-    """(64, words): row b holds bit b of every fingerprint, 64 fingerprints a word; spare lanes are 0."""
-    bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
+    """(bits, words): row b holds bit b of every fingerprint, 64 fingerprints a word; spare lanes are 0. fps: one or more words each."""
+    bits = np.unpackbits(np.ascontiguousarray(fps.astype("<u8", copy=False)).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little").T
     packed = np.packbits(bits, axis=1, bitorder="little")
     spare = -packed.shape[1] % 8
     return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, spare)))).view("<u8")
@@ -74,17 +81,17 @@ def near(vertical: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarray:
     """
     lanes = vertical.shape[1]
     out = np.zeros((len(queries), lanes), np.uint64)
-    alive, q = np.arange(len(queries)), queries.astype(np.uint64)
+    alive, q = np.arange(len(queries)), queries.astype(np.uint64).reshape(len(queries), -1)
     digits = max(radius + 1, 1).bit_length()
     start = (1 << digits) - 1 - radius  # counters begin so high that they overflow past the radius
     count = [np.full((len(q), lanes), _ONES if start >> i & 1 else np.uint64(0)) for i in range(digits)]
     over = np.zeros((len(q), lanes), np.uint64)
-    for b in range(64):
-        carry = vertical[b][None, :] ^ np.where(q >> np.uint64(b) & np.uint64(1), _ONES, np.uint64(0))[:, None]
+    for b, plane in enumerate(vertical):
+        carry = plane[None, :] ^ np.where(q[:, b // 64] >> np.uint64(b % 64) & np.uint64(1), _ONES, np.uint64(0))[:, None]
         for i in range(digits):
             count[i], carry = count[i] ^ carry, count[i] & carry
         over |= carry
-        if b % 8 == 7:
+        if b % 8 == 7 and b > radius:
             keep = ~(over == _ONES).all(axis=1)
             if not keep.any():
                 return _lanes(out)
@@ -100,7 +107,7 @@ def _lanes(words: np.ndarray) -> np.ndarray:
 
 def near_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     """Whether a[i] and b[i] are within ``radius`` bits, by the same counters with the pairs as lanes."""
-    return near(planes(a ^ b), np.zeros(1, np.uint64), radius)[0][: len(a)] if len(a) else np.zeros(0, bool)
+    return near(planes(a ^ b), np.zeros_like(a[:1]), radius)[0][: len(a)] if len(a) else np.zeros(0, bool)
 
 
 def bucket_links(fps: np.ndarray, nodes: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -148,45 +155,51 @@ def links(nodes: DataFrame, n: int, radius: int = 4, hot: int = 4096) -> DataFra
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(x))) for i, x in enumerate(signed)])
     dealt = nodes.select("fp", "node", F.explode(keys).alias("key"))
     large = written(dealt.groupBy("key").count().where(F.col("count") > hot), "hot")
-    if large.take(1):
-        met = dealt.join(large, "key", "left")
-        chunks = F.ceil(F.col("count") / hot)
-        own = F.pmod(F.xxhash64("fp"), chunks)
-        pairs = F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
-        dealt = met.select("fp", "node", F.explode(F.when(F.col("count").isNull(), F.array("key")).otherwise(pairs)).alias("key"))
+    dealt = chunked(dealt, large, hot)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for b in _with_end(batches):
-            if b is None:
-                b, rest = rest, None
-            else:
-                b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-                # the last bucket may go on in the next batch
-                cut = int(np.searchsorted(b["key"].to_numpy(), b["key"].iloc[-1])) if len(b) else 0
-                b, rest = b.iloc[:cut], b.iloc[cut:]
-            if b is None or not len(b):
-                continue
-            key, fp, node = b["key"].to_numpy(), b["fp"].to_numpy().view(np.uint64), b["node"].to_numpy()
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            size = np.diff(np.concatenate([first, [len(key)]]))
-            found = []
-            for s in range(1, SMALL):
-                i = np.flatnonzero(key[s:] == key[:-s])
-                i = i[np.repeat(size, size)[i] <= SMALL]
-                hit = i[near_pairs(fp[i], fp[i + s], radius)]
-                found += zip(node[hit].tolist(), node[hit + s].tolist(), strict=True)
-            for at, k in zip(first[size > SMALL], size[size > SMALL], strict=True):
-                found += bucket_links(fp[at : at + k], node[at : at + k], radius)
+        for b in whole(batches):
+            found = linked(b["key"].to_numpy(), b["fp"].to_numpy().view(np.uint64), b["node"].to_numpy(), radius)
             if found:
-                yield pd.DataFrame(sorted(set(found)), columns=["u", "v"])
+                yield pd.DataFrame(sorted(found), columns=["u", "v"])
 
     return dealt.repartition("key").sortWithinPartitions("key").mapInPandas(run, "u long, v long")
 
 
-def _with_end(batches):
-    yield from batches
-    yield None
+def chunked(dealt: DataFrame, large: DataFrame, hot: int, node: str = "node") -> DataFrame:
+    """``dealt`` (key, node, ...) with each key of ``large`` (key, count) cut into chunks of about ``hot`` rows, and a key for each pair of them."""
+    if not large.take(1):
+        return dealt
+    met = dealt.join(large, "key", "left")
+    chunks = F.ceil(F.col("count") / hot)
+    own = F.pmod(F.xxhash64(node), chunks)
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
+    others = [c for c in dealt.columns if c != "key"]
+    return met.select(*others, F.explode(F.when(F.col("count").isNull(), F.array("key")).otherwise(pairs)).alias("key"))
+
+
+def linked(key: np.ndarray, fps: np.ndarray, node: np.ndarray, radius: int, fits=None) -> set[tuple[int, int]]:
+    """(u, v) that connect the rows of each key, sorted, just as all pairs within ``radius`` would.
+
+    Pairs of which ``fits`` of two arrays of places is false may be left out, as the caller can tell
+    that they are no links.
+    """
+    if not len(key):
+        return set()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.concatenate([first, [len(key)]]))
+    of = np.repeat(size, size)
+    found = set()
+    for s in range(1, SMALL):
+        i = np.flatnonzero(key[s:] == key[:-s])
+        i = i[of[i] <= SMALL]
+        if fits:
+            i = i[fits(i, i + s)]
+        hit = i[near_pairs(fps[i], fps[i + s], radius)]
+        found.update(zip(np.minimum(node[hit], node[hit + s]).tolist(), np.maximum(node[hit], node[hit + s]).tolist(), strict=True))
+    for at, k in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+        found.update(bucket_links(fps[at : at + k], node[at : at + k], radius))
+    return found
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
