@@ -25,7 +25,8 @@ from nestfold.llm.tables import small_batches
 from nestfold.storage import written
 
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
-SMALL, LANES, QUERIES = 8, 4096, 256
+SMALL, PAIRS, LANES, QUERIES = 64, 1 << 18, 4096, 256
+FINER, FINEST = 3, 12
 
 
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
@@ -111,27 +112,32 @@ def near_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
 
 
 def bucket_links(fps: np.ndarray, nodes: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """(node, root) for each node that links to others in this bucket, directly or not; one root a group."""
-    links = []
+    """(node, root) for each node that links to others in this bucket, directly or not; one root a group.
+
+    A first block of fingerprints is compared with all. What is not in the largest group then is
+    compared with all too, so of two that link, one was, or both are in that group already.
+    """
+    n = len(nodes)
     order = np.argsort(nodes, kind="stable")
-    left = order  # those that no group has reached
-    while len(left):
-        root, left = left[0], left[1:]
-        reached = [np.array([root])]
-        while reached and len(left):
-            ask, reached = np.concatenate(reached), []
-            for at in range(0, len(ask), QUERIES):
-                hits = np.zeros(len(left), bool)
-                for lo in range(0, len(left), LANES):
-                    part = left[lo : lo + LANES]
-                    hits[lo : lo + LANES] = near(planes(fps[part]), fps[ask[at : at + QUERIES]], radius).any(axis=0)[: len(part)]
-                if hits.any():
-                    links += [(int(n), int(nodes[root])) for n in nodes[left[hits]]]
-                    reached.append(left[hits])
-                    left = left[~hits]
-                if not len(left):
-                    break
-    return links
+    vertical = [planes(fps[order[lo : lo + LANES]]) for lo in range(0, n, LANES)]
+    root = np.arange(n)
+
+    def ask(places: np.ndarray) -> None:
+        nonlocal root
+        for at in range(0, len(places), QUERIES):
+            block = places[at : at + QUERIES]
+            for k, part in enumerate(vertical):
+                i, j = np.nonzero(near(part, fps[order[block]], radius)[:, : n - k * LANES])
+                a, b = block[i], j + k * LANES
+                new = root[a] != root[b]
+                root = roots(n, a[new], b[new], root)
+
+    ask(np.arange(min(QUERIES, n)))
+    if n > QUERIES:
+        largest = np.bincount(root).argmax()
+        ask(QUERIES + np.flatnonzero(root[QUERIES:] != largest))
+    moved = np.flatnonzero(root != np.arange(n))
+    return list(zip(nodes[order[moved]].tolist(), nodes[order[root[moved]]].tolist(), strict=True))
 
 
 def blocks(n: int, radius: int, each: float = 4.0) -> int:
@@ -142,20 +148,20 @@ def blocks(n: int, radius: int, each: float = 4.0) -> int:
     return m
 
 
-def links(nodes: DataFrame, n: int, radius: int = 4, hot: int = 4096) -> DataFrame:
+def links(nodes: DataFrame, n: int, radius: int = 4, hot: int = 4096, m: int | None = None) -> DataFrame:
     """(u, v) that connect the rows of (fp, node) just as all pairs within ``radius`` would; fp is unique.
 
-    A bucket of more than ``hot`` fingerprints is cut into chunks, and each pair of its chunks is a
-    bucket of its own: exact, and no task gets more than two chunks.
+    The fingerprints of buckets of more than ``hot`` are dealt anew by FINER more blocks, which tell
+    them apart by more of their bits. Buckets that are still so large at FINEST blocks are cut into
+    chunks, and each pair of chunks is a bucket of its own: exact, and no task gets more than two.
     """
-    m = blocks(n, radius)
+    m = m or blocks(n, radius)
     edges = [round(64 * i / m) for i in range(m + 1)]
     masks = [sum(((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in c) for c in combinations(range(m), m - radius)]
     signed = [x - (1 << 64) if x >> 63 else x for x in masks]
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(x))) for i, x in enumerate(signed)])
     dealt = nodes.select("fp", "node", F.explode(keys).alias("key"))
     large = written(dealt.groupBy("key").count().where(F.col("count") > hot), "hot")
-    dealt = chunked(dealt, large, hot)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in whole(batches):
@@ -163,7 +169,15 @@ def links(nodes: DataFrame, n: int, radius: int = 4, hot: int = 4096) -> DataFra
             if found:
                 yield pd.DataFrame(sorted(found), columns=["u", "v"])
 
-    return dealt.repartition("key").sortWithinPartitions("key").mapInPandas(run, "u long, v long")
+    def near_in(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions("key").mapInPandas(run, "u long, v long")
+
+    if not large.take(1):
+        return near_in(dealt)
+    if m + FINER > FINEST:
+        return near_in(chunked(dealt, large, hot))
+    crowd = written(dealt.join(large, "key", "left_semi").select("fp", "node").distinct(), "crowd")
+    return near_in(dealt.join(large, "key", "left_anti")).unionByName(links(crowd, n, radius, hot, m + FINER))
 
 
 def chunked(dealt: DataFrame, large: DataFrame, hot: int, node: str = "node") -> DataFrame:
@@ -179,29 +193,50 @@ def chunked(dealt: DataFrame, large: DataFrame, hot: int, node: str = "node") ->
 
 
 def linked(key: np.ndarray, fps: np.ndarray, node: np.ndarray, radius: int, fits=None) -> set[tuple[int, int]]:
-    """(u, v) that connect the rows of each key, sorted, just as all pairs within ``radius`` would.
+    """(u, v) that connect the rows of each key, sorted, just as all pairs within ``radius`` would: a star for each part.
 
-    Pairs of which ``fits`` of two arrays of places is false may be left out, as the caller can tell
-    that they are no links.
+    The pairs of small buckets are the lanes of one comparison. Pairs of which ``fits`` of two arrays
+    of places is false may be left out, as the caller can tell that they are no links.
     """
     if not len(key):
         return set()
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.concatenate([first, [len(key)]]))
-    of = np.repeat(size, size)
-    found = set()
+    small = np.repeat(size, size) <= SMALL
+    ones, others = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for s in range(1, SMALL):
-        i = np.flatnonzero(key[s:] == key[:-s])
-        i = i[of[i] <= SMALL]
-        if fits:
-            i = i[fits(i, i + s)]
-        hit = i[near_pairs(fps[i], fps[i + s], radius)]
-        found.update(zip(np.minimum(node[hit], node[hit + s]).tolist(), np.maximum(node[hit], node[hit + s]).tolist(), strict=True))
+        i = np.flatnonzero((key[s:] == key[:-s]) & small[: len(key) - s])
+        if not len(i):
+            break
+        i = i[fits(i, i + s)] if fits else i
+        ones.append(i)
+        others.append(i + s)
+    a, b = np.concatenate(ones), np.concatenate(others)
+    hit = [near_pairs(fps[a[at : at + PAIRS]], fps[b[at : at + PAIRS]], radius) for at in range(0, len(a), PAIRS)]
+    hit = np.concatenate([np.zeros(0, bool), *hit])
+    root = roots(len(key), a[hit], b[hit])
+    moved = np.flatnonzero(root != np.arange(len(key)))
+    u, v = node[moved], node[root[moved]]
+    found = set(zip(np.minimum(u, v).tolist(), np.maximum(u, v).tolist(), strict=True))
     for at, k in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
         found.update(bucket_links(fps[at : at + k], node[at : at + k], radius))
     return found
 
 
+def roots(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+    """For each of ``n`` places the least one that it reaches over links between ``a`` and ``b``, and those that gave ``root``."""
+    root = np.arange(n) if root is None else root
+    while len(a):
+        new, least = root.copy(), np.minimum(root[a], root[b])
+        for side in (a, b, root[a], root[b]):
+            np.minimum.at(new, side, least)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    return root
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp, component_id) of (doc_id, text): the smallest id that a document reaches over links.
 
