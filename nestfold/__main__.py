@@ -6,18 +6,18 @@ import argparse
 import json
 import os
 import sys
-import time
-from statistics import median
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nestfold.functions.keys import KeyLayout, Manifest, ShardMap
 from nestfold.functions.kinematics import mass, total
-from nestfold.operators import nesting, tables
+from nestfold.operators import nesting, regression, shards, tables
 from nestfold.plans import adl
 from nestfold.sources import datasets
-from nestfold.tools import analysis
+from nestfold.storage import exists
+from nestfold.tools import analysis, mcp, timing
+from nestfold.tools.records import Checks
 
 
 def _text(path: str) -> str:
@@ -38,8 +38,8 @@ def _flat(spark: SparkSession, path: str, dataset: str) -> dict[str, DataFrame]:
     """The tables of a stored root, or of a source file or folder that has the dataset's columns."""
     made = datasets.DATASETS[dataset]
     names = ["events", *[c.name for c in made.collections]]
-    if os.path.isdir(os.path.join(path, "events")):
-        return {n: spark.read.parquet(f"{path}/{n}").drop("file_id") for n in names}
+    if exists(spark, f"{path}/_schemas"):
+        return {n: tables.stored(spark, path, n).drop("file_id") for n in names}
     return datasets.tables(datasets.keyed(datasets.read(spark, path, made), made), made)
 
 
@@ -54,43 +54,64 @@ def make_nano(spark, a) -> None:
 
 def manifest(spark, a) -> None:
     made = _manifest(a.out) if os.path.exists(a.out) and not a.fresh else Manifest(KeyLayout(a.entry_bits))
-    there = {f["path"] for f in made.files}
     for path in a.files:
-        if Manifest.normal(path) not in there:
+        if path not in made:
             made.add(path, spark.read.parquet(path).count() if a.count_entries else None)
     _save(a.out, made.to_json())
     print(f"{len(made.files)} files")
 
 
 def ingest(spark, a) -> None:
-    tables.ingest(spark, _manifest(a.manifest), datasets.DATASETS[a.dataset], a.root)
+    """Load the files of a manifest, or of each a range of entries."""
+    n = tables.ingest(spark, _manifest(a.manifest), datasets.DATASETS[a.dataset], a.root, (a.first, a.stop), not a.append)
+    print(f"{n} events")
+
+
+def _shards(a) -> ShardMap:
+    return ShardMap.from_json(_text(a.shards))
 
 
 def shards_init(spark, a) -> None:
     _save(a.out, ShardMap.split(max((f["file_id"] for f in _manifest(a.manifest).files), default=-1) + 1, a.shards).to_json())
 
 
+def shards_ingest(spark, a) -> None:
+    """Load each file of a manifest into the shard that owns it."""
+    n = tables.ingest(spark, _manifest(a.manifest), datasets.DATASETS[a.dataset], a.root, shards=_shards(a))
+    print(f"{n} events")
+
+
 def shards_verify(spark, a) -> int:
-    """1 if rows have no shard or objects no event."""
-    made, shards, bad = _manifest(a.manifest), ShardMap.from_json(_text(a.shards)), 0
-    flat = _flat(spark, a.root, a.dataset)
-    for name, df in flat.items():
-        lost = sum(r["n"] for r in tables.misplaced(df, shards, made.layout).collect() if r["shard"] is None)
-        orphans = nesting.orphans(flat["events"], df).count() if name != "events" else 0
-        print(f"{name}: {lost} rows without a shard, {orphans} without an event")
+    """1 if rows are in another shard than their own, have none, or objects have no event."""
+    layout, split, bad = _manifest(a.manifest).layout, _shards(a), 0
+    names = ["events", *[c.name for c in datasets.DATASETS[a.dataset].collections]]
+    events = shards.table(spark, a.root, split, "events")
+    for name in names:
+        rows = shards.table(spark, a.root, split, name)
+        lost = shards.misrouted(spark, a.root, split, name, layout).agg(F.sum("n")).first()[0] or 0
+        orphans = nesting.orphans(events, rows).count() if name != "events" else 0
+        print(f"{name}: {rows.count()} rows, {lost} not in their shard, {orphans} without an event")
         bad += lost + orphans
     return int(bad > 0)
 
 
 def shards_migrate(spark, a) -> None:
+    """Rewrite each shard's tables to another key layout; the manifest follows."""
     made = _manifest(a.manifest)
     new = KeyLayout(a.entry_bits)
-    names = list(_flat(spark, a.root, a.dataset))
+    names = ["events", *[c.name for c in datasets.DATASETS[a.dataset].collections]]
     moved = made.with_layout(new)
-    tables.migrate(spark, a.root, a.to, names, made.layout, new)
+    for name, _, _ in _shards(a).shards:
+        if exists(spark, f"{a.root}/{name}/_schemas"):
+            tables.migrate(spark, f"{a.root}/{name}", f"{a.to}/{name}", names, made.layout, new)
     _save(a.manifest, moved.to_json())
 
 
+def shards_adl(spark, a) -> None:
+    """The eight queries over all shards."""
+    _print_adl(shards.fetch(spark, a.root, _shards(a), a.where, ordered=False))
+
+
 def reconstruct(spark, a) -> int:
     """Nest, and compare every pair's mass with the stored one. 1 if none was selected or one is off."""
     both = _nested(_flat(spark, a.path, "dimuon")).where(a.where)
@@ -101,34 +122,58 @@ def reconstruct(spark, a) -> int:
     return int(not n or worst is None or worst >= 1e-2)
 
 
-def run_adl(spark, a) -> None:
-    nested = _nested(_flat(spark, a.path, "nanoaod"))
-    for name, df in adl.run_all(nested.where(a.where) if a.where else nested).items():
+def _print_adl(nested: DataFrame) -> None:
+    for name, df in adl.run_all(nested).items():
         n, mean = df.agg(F.count("*"), F.avg("value")).first()
         print(f"{name}: {n} values, mean {mean}")
 
 
+def run_adl(spark, a) -> None:
+    nested = _nested(_flat(spark, a.path, "nanoaod"))
+    _print_adl(nested.where(a.where) if a.where else nested)
+
+
 def bench(spark, a) -> None:
-    nested, took = _nested(_flat(spark, a.path, "nanoaod")), {}
-    for name, df in adl.run_all(nested).items():
-        runs = []
-        for _ in range(a.repeats + 1):
-            start = time.perf_counter()
-            df.write.format("noop").mode("overwrite").save()
-            runs.append(time.perf_counter() - start)
-        took[name] = round(median(runs[1:]), 3)
-    print(json.dumps(took))
+    """Median seconds of each query."""
+    found = adl.run_all(_nested(_flat(spark, a.path, "nanoaod")))
+    print(json.dumps({name: round(timing.timed(lambda df=df: timing.drain(df), a.repeats).median, 3) for name, df in found.items()}))
+
+
+def learn(spark, a) -> None:
+    """Train on a value of the events, and tell R2 on held-out ones and events a second."""
+    events = _nested(_flat(spark, a.path, "nanoaod")) if a.path else datasets.synthetic_events(spark, a.events, seed=a.seed)
+    rows = regression.dataset(events, target=a.target)
+    _, r2 = regression.train(rows, trees=a.trees)
+    print(json.dumps({"r2": round(r2, 4), **regression.throughput(events, a.target)}))
 
 
 def _tools(spark, a) -> analysis.Analysis:
     flat = _flat(spark, a.path, "nanoaod")
-    return analysis.Analysis(spark, flat | {"nested": _nested(flat)}, getattr(a, "check_log", None))
+    return analysis.Analysis(spark, flat | {"nested": _nested(flat)}, getattr(a, "check_log", None), getattr(a, "references", None))
 
 
 def agent_eval(spark, a) -> int:
-    scores = analysis.evaluate(lambda: _tools(spark, a), analysis.expert if not a.replay else lambda q: analysis.replay(f"{a.replay}/{q}.json"), a.queries or [*analysis.EXPERT, *analysis.EXPERT_NESTED])
+    scores = analysis.evaluate(lambda: _tools(spark, a), analysis.expert if not a.replay else lambda q: analysis.replay(f"{a.replay}/{q}.json"), a.queries or list(analysis.TASKS))
     print(analysis.as_table(scores))
-    return int(not all(s.passed for s in scores))
+    return int(not scores["passed"].all())
+
+
+def agent_mcp(spark, a) -> None:
+    """The tools as a server of the Model Context Protocol, over standard input and output or HTTP."""
+    server = mcp.Server(_tools(spark, a), not a.no_expressions)
+    if a.http is None:
+        mcp.serve(server, sys.stdin, sys.stdout)
+    else:
+        mcp.serve_http(server, a.http).serve_forever()
+
+
+def agent_ask(spark, a) -> int:
+    """One task, worked on by the calls of a saved run or by the expert."""
+    tools = _tools(spark, a)
+    analysis.run(tools, a.task, analysis.replay(a.replay) if a.replay else analysis.expert(a.task), save=a.save)
+    said = tools.call("check_answer", query=a.task) if a.task in analysis.TASKS else {"passed": tools.answer is not None}
+    print(json.dumps(said, default=str))
+    return int(not said.get("passed"))
 
 
 def agent_serve(spark, a) -> None:
@@ -149,9 +194,8 @@ def agent_questions(spark, a) -> None:
 
 
 def agent_checks(spark, a) -> None:
-    for line in _text(a.check_log).splitlines():
-        c = json.loads(line)
-        print(f"{c['time']} {c['query']} attempt {c['attempt']} {'PASS' if c['passed'] else 'FAIL'} {c['reason']}")
+    for c in Checks(spark, a.check_log).rows().orderBy("at").toLocalIterator():
+        print(f"{c['at']:%Y-%m-%dT%H:%M:%S} {c['task']} {'PASS' if c['agreed'] else 'FAIL'} {c['detail']}")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -170,21 +214,25 @@ def parser() -> argparse.ArgumentParser:
     bits, where = ("--entry-bits", {"type": int, "default": 40}), ("--where", {"default": None})
     verb(verbs, "make-nano", make_nano, ("--out", {"required": True}), ("--events", {"type": int, "default": 2000}), ("--seed", {"type": int, "default": 0}), ("--no-triggers", {"action": "store_true"}))
     verb(verbs, "manifest", manifest, ("files", {"nargs": "+"}), ("--out", {"default": "manifest.json"}), bits, ("--fresh", {"action": "store_true"}), ("--count-entries", {"action": "store_true"}))
-    verb(verbs, "ingest", ingest, root, listed, kind)
-    shards = group("shards")
-    verb(shards, "init", shards_init, listed, ("--shards", {"type": int, "required": True}), ("--out", {"default": "shards.json"}))
-    verb(shards, "ingest", ingest, root, listed, kind)
-    verb(shards, "verify", shards_verify, root, listed, ("--shards", {"required": True}), kind)
-    verb(shards, "migrate", shards_migrate, root, listed, ("--to", {"required": True}), ("--entry-bits", {"type": int, "required": True}), kind)
-    verb(shards, "adl", run_adl, path, where)
+    verb(verbs, "ingest", ingest, root, listed, kind, ("--first", {"type": int, "default": 0}), ("--stop", {"type": int, "default": None}), ("--append", {"action": "store_true"}))
+    split = group("shards")
+    owners = ("--shards", {"required": True})
+    verb(split, "init", shards_init, listed, ("--shards", {"type": int, "required": True}), ("--out", {"default": "shards.json"}))
+    verb(split, "ingest", shards_ingest, root, listed, owners, kind)
+    verb(split, "verify", shards_verify, root, listed, owners, kind)
+    verb(split, "migrate", shards_migrate, root, listed, owners, ("--to", {"required": True}), ("--entry-bits", {"type": int, "required": True}), kind)
+    verb(split, "adl", shards_adl, root, owners, where)
     for name in ("reconstruct", "roundtrip"):
         verb(verbs, name, reconstruct, path, ("--where", {"default": "mass BETWEEN 60 AND 120" if name == "roundtrip" else "true"}))
     verb(verbs, "adl", run_adl, path, where)
     verb(verbs, "bench", bench, path, ("--repeats", {"type": int, "default": 5}))
+    verb(verbs, "learn", learn, ("--path", {"default": None}), ("--events", {"type": int, "default": 20_000}), ("--seed", {"type": int, "default": 0}), ("--target", {"default": "met_pt"}), ("--trees", {"action": "store_true"}))
     agent = group("agent")
-    log = ("--check-log", {"default": None})
-    verb(agent, "eval", agent_eval, path, ("--queries", {"nargs": "*"}), ("--replay", {"default": None}))
+    log, kept, replayed = ("--check-log", {"default": None}), ("--references", {"default": None}), ("--replay", {"default": None})
+    verb(agent, "eval", agent_eval, path, ("--queries", {"nargs": "*"}), replayed, kept)
+    verb(agent, "ask", agent_ask, path, ("task", {}), replayed, ("--save", {"default": None}), log, kept)
     verb(agent, "serve", agent_serve, path, log)
+    verb(agent, "mcp", agent_mcp, path, log, ("--http", {"type": int, "default": None}), ("--no-expressions", {"action": "store_true"}))
     verb(agent, "questions", agent_questions)
     verb(agent, "checks", agent_checks, ("--check-log", {"required": True}))
     return top
@@ -193,7 +241,7 @@ def parser() -> argparse.ArgumentParser:
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     """Run one verb; a problem is told in one line, and gives 2."""
     a = parser().parse_args(args)
-    needs = a.run not in (agent_questions, agent_checks, shards_init)
+    needs = a.run not in (agent_questions, shards_init)
     spark = spark or (SparkSession.builder.appName("nestfold").getOrCreate() if needs else None)
     try:
         return a.run(spark, a) or 0

@@ -1,6 +1,7 @@
 """Four-vector arithmetic as column expressions, so that it stays in generated code.
 
-Everything is double precision. Squared masses below 0, which rounding can give, count as 0.
+Everything is double precision. Squared masses below 0, which rounding can give, count as 0, but for the
+SQL function ``dimuon_mass``, which gives NaN.
 """
 
 from __future__ import annotations
@@ -30,6 +31,12 @@ def total(*vectors: Column) -> Column:
     return F.struct(*out)
 
 
+def total_of(vectors: Column) -> Column:
+    """The sum of all vectors of an array; zero of none."""
+    start = F.struct(*[F.lit(0.0).alias(n) for n in ("px", "py", "pz", "e")])
+    return F.aggregate(vectors, start, lambda s, v: total(s, v))
+
+
 def mass(v: Column) -> Column:
     return F.sqrt(F.greatest(v["e"] * v["e"] - v["px"] * v["px"] - v["py"] * v["py"] - v["pz"] * v["pz"], F.lit(0.0)))
 
@@ -74,7 +81,8 @@ def _mass_sql(n: int) -> str:
 def sql_functions() -> dict[str, tuple[str, str]]:
     """Name -> (arguments, expression) of the functions offered to SQL."""
     args = lambda parts, n: ", ".join(f"{p}{i} DOUBLE" for i in range(1, n + 1) for p in parts)
-    cart = "sqrt(greatest((e1 + e2) * (e1 + e2) - (px1 + px2) * (px1 + px2) - (py1 + py2) * (py1 + py2) - (pz1 + pz2) * (pz1 + pz2), 0D))"
+    # not clipped: a squared mass below 0 gives NaN
+    cart = "sqrt((e1 + e2) * (e1 + e2) - (px1 + px2) * (px1 + px2) - (py1 + py2) * (py1 + py2) - (pz1 + pz2) * (pz1 + pz2))"
     px, py = (_norm(["1", "2", "3"], p) for p in (_PX, _PY))
     return {
         "dimuon_mass": (args(("e", "px", "py", "pz"), 2), cart),

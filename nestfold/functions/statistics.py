@@ -1,24 +1,51 @@
-"""Summaries, histograms, merging of partial results, and comparison of answers."""
+"""Summaries, histograms, and merging of partial results."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
+from itertools import chain
+from operator import add
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nestfold.ranks import in_order
+
 
 def finite(name: str):
     c = F.col(name)
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
+def quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> list[float | None]:
+    """Exact quantiles, interpolated between neighbours, of the values that are finite; None for each if there is none.
+
+    Values are put in order by ranges; only those at the wanted places, two a quantile, go to the driver.
+    """
+    values = df.where(finite(value)).select(F.col(value).cast("double").alias("_v"))
+    n = values.count()
+    if not n:
+        return [None] * len(shares)
+    at = [s * (n - 1) for s in shares]
+    wanted = sorted({p for x in at for p in (math.floor(x), math.ceil(x))})
+    found = dict(in_order(values, "_v").where(F.col("place").isin(wanted)).select("place", "_v").collect())
+    return [found[math.floor(x)] + (found[math.ceil(x)] - found[math.floor(x)]) * (x - math.floor(x)) for x in at]
+
+
 def summary(df: DataFrame, value: str) -> DataFrame:
-    """One row: n, n_nonfinite, mean, std (population) and exact quantiles of the finite values."""
+    """One row: n, n_nonfinite (nulls too), mean, std (population) and exact quantiles of the finite values."""
     ok = F.when(finite(value), F.col(value))
-    q = F.percentile(ok, F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))
-    made = df.agg(F.count("*").alias("n"), F.sum(F.when(finite(value), 0).otherwise(1)).alias("n_nonfinite"), F.avg(ok).alias("mean"), F.stddev_pop(ok).alias("std"), q.alias("q"))
-    return made.select("n", "n_nonfinite", "mean", "std", *[F.col("q")[i].alias(a) for i, a in enumerate(("q0", "q25", "q50", "q75", "q100"))])
+    names = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q100": 1.0}
+    made = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(finite(value), 0).otherwise(1)), F.lit(0)).alias("n_nonfinite"), F.avg(ok).alias("mean"), F.stddev_pop(ok).alias("std"))
+    return made.withColumns({k: F.lit(q).cast("double") for k, q in zip(names, quantiles(df, value, list(names.values())), strict=True)})
+
+
+def metric(df: DataFrame, value: str = "value") -> DataFrame:
+    """One row: n, and the mean, which is NaN of no values."""
+    return df.agg(F.count(value).alias("n"), F.coalesce(F.avg(value), F.lit(float("nan"))).alias("mean"))
 
 
 def histogram(df: DataFrame, value: str, bins: int, low: float, high: float) -> DataFrame:
@@ -28,27 +55,43 @@ def histogram(df: DataFrame, value: str, bins: int, low: float, high: float) ->
     return df.where(finite(value) & c.between(low, high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def combine(partials: Sequence):
-    """Merge partial results: lists are joined, numbers added, dicts merged by key; None counts for nothing."""
-    there = [p for p in partials if p is not None]
+def combined(parts: Iterable[DataFrame | None], by: Sequence[str] | None = None) -> DataFrame | None:
+    """Partial results as one. Without ``by``, the rows of all; with it, the sums of all other columns for each key.
+
+    A part that is None counts for nothing; None if all are.
+    """
+    there = [p for p in parts if p is not None]
     if not there:
         return None
-    if isinstance(there[0], dict):
-        return {k: combine([p.get(k) for p in there]) for k in dict.fromkeys(k for p in there for k in p)}
-    if isinstance(there[0], list | tuple):
-        return [x for p in there for x in p]
-    return sum(there[1:], there[0])
-
-
-def unmatched(got: Sequence[float], expected: Sequence[float], rtol: float = 1e-6, atol: float = 1e-6) -> int:
-    """How many values of either multiset have no partner within tolerance in the other."""
-    a, b = sorted(got), sorted(expected)
-    i = j = same = 0
-    while i < len(a) and j < len(b):
-        if abs(a[i] - b[j]) <= atol + rtol * abs(b[j]):
-            i, j, same = i + 1, j + 1, same + 1
-        elif a[i] < b[j]:
-            i += 1
-        else:
-            j += 1
-    return max(len(a), len(b)) - same
+    rows = reduce(DataFrame.unionByName, there)
+    if by is None:
+        return rows
+    return rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in rows.columns if c not in by])
+
+
+def _leaves(part, path: tuple = ()):
+    if isinstance(part, Mapping):
+        yield path, None, Mapping
+        for k, v in part.items():
+            yield from _leaves(v, (*path, k))
+    elif part is not None:
+        yield path, part, list if isinstance(part, Sequence | np.ndarray) else object
+
+
+def combine(partials: Iterable):
+    """Small partial results on the driver as one, told apart by their place: a leaf that is a sequence is joined, another is added up.
+
+    None counts for nothing, at any depth; None if there is nothing else.
+    """
+    gathered: dict[tuple, tuple[type, list]] = {}
+    for part in partials:
+        for path, leaf, kind in _leaves(part):
+            gathered.setdefault(path, (kind, []))[1].append(leaf)
+    out: dict = {}
+    for path, (kind, leaves) in gathered.items():
+        made = {} if kind is Mapping else list(chain.from_iterable(leaves)) if kind is list else reduce(add, leaves)
+        home = out
+        for step in ((), *path)[: len(path)]:
+            home = home[step]
+        home[path[-1] if path else ()] = made
+    return out.get(())

@@ -85,6 +85,19 @@ def mask(items: Column, width: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: i <= F.size(items))
 
 
+def tensor(nested: DataFrame, name: str, fields: list[str], width: int | None = None, pad: float = 0.0, key: str = "event_id") -> DataFrame:
+    """(key, x, mask, count): an event's objects as ``width`` structs of doubles, padded, which are real, and how many there were.
+
+    By default ``width`` is the largest number of objects of any event; with a smaller one, later
+    objects are cut off, which count tells.
+    """
+    if width is None:
+        width = max(nested.agg(F.max(F.size(name))).first()[0] or 0, 0)
+    full = F.transform(name, lambda o: F.struct(*[o[f].cast("double").alias(f) for f in fields]))
+    empty = F.struct(*[F.lit(float(pad)).alias(f) for f in fields])
+    return nested.select(key, dense(full, width, empty).alias("x"), mask(F.col(name), width).alias("mask"), F.size(name).alias("count"))
+
+
 def standardised(objects: DataFrame, fields: list[str]) -> DataFrame:
     """``objects`` with each field less its mean over its standard deviation (population; below 1e-6 counts as 1)."""
     stats = objects.agg(*[f(c).alias(f"_{k}_{c}") for c in fields for k, f in (("m", F.avg), ("s", F.stddev_pop))])

@@ -1,53 +1,132 @@
-"""Stored tables: idempotent loading by file, migration of keys, verification, ranges of work."""
+"""Stored tables: schemas, idempotent loading by file or range of entries, migration of keys, verification, ranges of work."""
 
 from __future__ import annotations
 
+import json
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from nestfold.functions.keys import KeyLayout, Manifest, ShardMap, check_conversion
 from nestfold.sources.datasets import Dataset, keyed, read, tables
-
-
-def load(made: dict[str, DataFrame], root: str, layout: KeyLayout, replace: bool = True) -> None:
-    """Write each table under ``root`` by file_id. With ``replace``, the files' old rows go, others stay."""
-    for name, df in made.items():
-        out = df.withColumn("file_id", layout.file_of(F.col("event_id"))).write.partitionBy("file_id")
-        if replace:
-            out.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{root}/{name}")
-        else:
-            out.mode("append").parquet(f"{root}/{name}")
+from nestfold.storage import exists, make_folder, move, remove
+
+Ranges = dict[int, tuple[int, int | None]]
+
+
+def create(spark: SparkSession, root: str, schemas: dict[str, StructType], drop: bool = False) -> None:
+    """Empty tables under ``root``. One that is there keeps its rows, unless ``drop``."""
+    for name, schema in schemas.items():
+        if drop:
+            remove(spark, f"{root}/{name}")
+        make_folder(spark, f"{root}/{name}")
+        text = StructType([f for f in schema if f.name != "file_id"]).json()
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/_schemas/{name}")
+
+
+def truncate(spark: SparkSession, root: str, names: list[str]) -> None:
+    """Remove all rows of the tables, which stay."""
+    for name in names:
+        remove(spark, f"{root}/{name}")
+        make_folder(spark, f"{root}/{name}")
+
+
+def _partitions(spark: SparkSession, root: str, name: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(StructType([*schema]).add("file_id", "long")).parquet(f"{root}/{name}")
+
+
+def load(made: dict[str, DataFrame], root: str, layout: KeyLayout, replace: bool = True, ranges: Ranges | None = None) -> None:
+    """Write each table under ``root`` by file_id.
+
+    With ``replace``, what each file had in its range of entries goes first, from all tables, also
+    from those for which it has no rows now; other rows stay. ``ranges`` is file id -> (first entry,
+    the entry after the last or None for all); by default, all entries of the files of ``made``'s
+    events. Everything is written to a staging folder first; then each file's folders are exchanged
+    by renaming, so a run that fails before leaves the tables as they were.
+    """
+    spark = next(iter(made.values())).sparkSession
+    dealt = {n: df.withColumn("file_id", layout.file_of(F.col("event_id"))) for n, df in made.items()}
+    create(spark, root, {n: df.schema for n, df in made.items() if not exists(spark, f"{root}/_schemas/{n}")})
+    if not replace:
+        for name, df in dealt.items():
+            df.write.partitionBy("file_id").mode("append").parquet(f"{root}/{name}")
+        return
+    if ranges is None:
+        ranges = {r["file_id"]: (0, None) for r in dealt["events"].select("file_id").distinct().collect()}
+    part = {f: r for f, r in ranges.items() if r != (0, None)}
+    staging = f"{root}/_staging-{uuid.uuid4().hex[:12]}"
+    for name, df in dealt.items():
+        if part:
+            old = _partitions(spark, root, name, made[name].schema).where(F.col("file_id").isin(list(part)))
+            entry, inside = layout.entry_of(F.col("event_id")), F.lit(False)
+            for f, (first, stop) in part.items():
+                inside |= (F.col("file_id") == f) & (entry >= first) & (F.lit(True) if stop is None else entry < stop)
+            df = df.unionByName(old.where(~inside))
+        df.write.partitionBy("file_id").parquet(f"{staging}/{name}")
+    for f in ranges:
+        for name in dealt:
+            remove(spark, f"{root}/{name}/file_id={f}")
+            if exists(spark, f"{staging}/{name}/file_id={f}"):
+                move(spark, f"{staging}/{name}/file_id={f}", f"{root}/{name}/file_id={f}")
+    remove(spark, staging)
 
 
 def stored(spark: SparkSession, root: str, name: str, keys: tuple[int, int] | None = None, layout: KeyLayout | None = None) -> DataFrame:
     """A stored table; a key range is also put on file_id, so that whole partitions are skipped."""
-    df = spark.read.parquet(f"{root}/{name}")
+    schema = StructType.fromJson(json.loads(spark.read.text(f"{root}/_schemas/{name}").first()[0]))
+    df = _partitions(spark, root, name, schema)
     if keys:
         bits = (layout or KeyLayout()).entry_bits
         df = df.where(F.col("file_id").between(keys[0] >> bits, (keys[1] - 1) >> bits) & (F.col("event_id") >= keys[0]) & (F.col("event_id") < keys[1]))
     return df
 
 
-def ingest(spark: SparkSession, manifest: Manifest, dataset: Dataset, root: str) -> None:
-    """Load every file of the manifest. All files are checked first; if one is bad, nothing is loaded."""
+def store_nested(nested: DataFrame, table: str, buckets: int) -> DataFrame:
+    """Nested events as a stored table of ``buckets`` by event_id: queries scan it, and joins by event_id need no shuffle."""
+    nested.write.bucketBy(buckets, "event_id").sortBy("event_id").mode("overwrite").saveAsTable(table)
+    return nested.sparkSession.table(table)
+
+
+def check_files(spark: SparkSession, manifest: Manifest, dataset: Dataset, shards: ShardMap | None = None) -> None:
+    """Raise, with all that is wrong, if a file lacks a column, is no single file, or has no shard."""
     bad = []
     for f in manifest.files:
         try:
-            dataset.check(spark.read.parquet(f["path"]))
+            read(spark, f["path"], dataset)
+            if shards:
+                shards.shard_for(f["file_id"])
+        except KeyError:
+            bad.append(f"{f['path']}: no shard owns file {f['file_id']}")
         except Exception as e:  # noqa: BLE001 - all bad files are told at once
             bad.append(f"{f['path']}: {str(e).splitlines()[0]}")
     if bad:
         raise ValueError("nothing was loaded; bad files: " + "; ".join(bad))
+
+
+def ingest(spark: SparkSession, manifest: Manifest, dataset: Dataset, root: str, entries: tuple[int, int | None] = (0, None), replace: bool = True, shards: ShardMap | None = None) -> int:
+    """Load every file of the manifest, or the same range of entries of each; the number of events.
+
+    All files are checked first; if one is bad, nothing is loaded. With ``replace``, a run again
+    gives the same rows. With ``shards``, each file goes to the folder of the shard that owns it.
+    """
+    check_files(spark, manifest, dataset, shards)
+    first, stop = entries
+    total = 0
     for f in manifest.files:
-        rows = keyed(read(spark, f["path"], dataset, stop=f["entries"]), dataset, f["file_id"], manifest.layout)
-        load(tables(rows, dataset), root, manifest.layout)
+        end = min((x for x in (stop, f["entries"]) if x is not None), default=None)
+        rows = keyed(read(spark, f["path"], dataset, first, end), dataset, f["file_id"], manifest.layout)
+        home = f"{root}/{shards.shard_for(f['file_id'])}" if shards else root
+        load(tables(rows, dataset), home, manifest.layout, replace, {f["file_id"]: (first, stop)})
+        total += rows.count()
+    return total
 
 
 def migrate(spark: SparkSession, root: str, to: str, names: list[str], old: KeyLayout, new: KeyLayout) -> None:
     """Rewrite stored tables to another key layout under ``to``; all are checked before any is written."""
-    found = {n: spark.read.parquet(f"{root}/{n}").drop("file_id") for n in names}
+    found = {n: stored(spark, root, n).drop("file_id") for n in names}
     for df in found.values():
         check_conversion(df, old, new)
     load({n: df.withColumn("event_id", old.converted(F.col("event_id"), new)) for n, df in found.items()}, to, new)

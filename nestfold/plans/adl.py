@@ -17,6 +17,12 @@ def _value(df: DataFrame, value: Column) -> DataFrame:
     return df.select("event_id", value.alias("value"))
 
 
+def _value_where(df: DataFrame, keep: Column, value: Column) -> DataFrame:
+    """The value of the rows that ``keep`` is true for. A generator in place of a filter: Catalyst would
+    push a filter below the columns that it uses, and compute them once for each use."""
+    return df.select("event_id", F.explode(F.when(keep, F.array(value)).otherwise(F.array().cast("array<double>"))).alias("value"))
+
+
 def q1(events: DataFrame) -> DataFrame:
     """MET of every event."""
     return _value(events, F.col("met_pt"))
@@ -49,7 +55,7 @@ def q5(events: DataFrame) -> DataFrame:
     """MET of events in which a muon pair of opposite charge has 60 < m < 120."""
     made = events.where(F.size("muons") >= 2).withColumn("_m", with_p4(F.col("muons")))
     masses = pairs(F.col("_m"), lambda a, b: pair_mass(a["v"], b["v"]), _opposite)
-    return _value(made.where(F.exists(masses, lambda m: (m > 60) & (m < 120))), F.col("met_pt"))
+    return _value_where(made, F.exists(masses, lambda m: (m > 60) & (m < 120)), F.col("met_pt"))
 
 
 def _best_trijet(jets: Column) -> Column:
@@ -75,28 +81,29 @@ def q6(events: DataFrame) -> DataFrame:
 
 def q7(events: DataFrame) -> DataFrame:
     """Sum of pt of jets over 30 that have no muon over 10 within 0.4; every event has a value."""
-    near = F.filter("muons", lambda m: m["pt"] > 10)
-    made = events.withColumn("_m", near)
-    clean = F.filter("jets", lambda j: (j["pt"] > 30) & ~F.exists("_m", lambda m: delta_r(j["eta"], j["phi"], m["eta"], m["phi"]) <= 0.4))
-    return _value(made, F.aggregate(clean, F.lit(0.0), lambda s, j: s + j["pt"]))
+    dirty = lambda j: F.exists("muons", lambda m: (m["pt"] > 10) & (delta_r(j["eta"], j["phi"], m["eta"], m["phi"]) <= 0.4))
+    clean = F.filter("jets", lambda j: (j["pt"] > 30) & ~dirty(j))
+    return _value(events, F.aggregate(clean, F.lit(0.0), lambda s, j: s + j["pt"]))
 
 
 def q8(events: DataFrame) -> DataFrame:
     """Transverse mass of MET and the leading muon outside the opposite-charge pair nearest to the Z; three muons or more."""
     made = events.where(F.size("muons") >= 3).withColumn("_m", F.transform(with_p4(F.col("muons")), lambda o, i: F.struct(i.alias("i"), *[o[f].alias(f) for f in ("v", "pt", "phi", "charge")])))
     best = F.array_min(pairs(F.col("_m"), lambda a, b: F.struct(F.abs(pair_mass(a["v"], b["v"]) - Z_MASS).alias("off"), a["i"].alias("i"), b["i"].alias("j")), _opposite))
-    made = made.withColumn("_b", best).where("_b IS NOT NULL")
+    made = made.withColumn("_b", best)
     rest = F.filter("_m", lambda m: (m["i"] != F.col("_b.i")) & (m["i"] != F.col("_b.j")))
     lead = F.array_max(F.transform(rest, lambda m: F.struct(m["pt"].alias("pt"), (-m["i"]).alias("back"), m["phi"].alias("phi"))))
     made = made.withColumn("_l", lead)
-    return _value(made, transverse_mass(F.col("_l.pt"), F.col("_l.phi"), F.col("met_pt"), F.col("met_phi")))
+    return _value_where(made, F.col("_b").isNotNull(), transverse_mass(F.col("_l.pt"), F.col("_l.phi"), F.col("met_pt"), F.col("met_phi")))
 
 
 def zmumu_flat(events: DataFrame) -> DataFrame:
     """Mass of the two muons of events with exactly two, of opposite charge, in 60 < m < 120."""
     first, second = F.get("muons", F.lit(0)), F.get("muons", F.lit(1))
-    made = events.where((F.size("muons") == 2) & (first["charge"] + second["charge"] == 0)).withColumn("_m", with_p4(F.col("muons")))
-    return _value(made, pair_mass(F.get("_m", F.lit(0))["v"], F.get("_m", F.lit(1))["v"])).where("value > 60 AND value < 120")
+    made = events.where((F.size("muons") == 2) & (first["charge"] + second["charge"] == 0))
+    vector = lambda o: p4(o["pt"], o["eta"], o["phi"], o["mass"])
+    one = F.filter(F.array(pair_mass(vector(first), vector(second))), lambda m: (m > 60) & (m < 120))
+    return _value(made, F.explode(one))
 
 
 def zmumu_jagged(events: DataFrame) -> DataFrame:

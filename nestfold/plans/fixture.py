@@ -57,6 +57,8 @@ def nested(spark: SparkSession, sf_dir: str, jets: bool = True, muons: bool = Tr
     Ordering is by the source columns themselves, inside the arrays, so no window is needed.
     """
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    if jets != muons:  # one collection: the others' rows stay in the file
+        lines = lines.where(F.col("l_returnflag") == "R" if muons else F.col("l_returnflag") != "R")
     made = F.struct(*ORDER, *[c.alias(k) for k, c in _kinematics().items()])
     wanted = {n: r for n, r, on in (("jets", F.col("l_returnflag") != "R", jets), ("muons", F.col("l_returnflag") == "R", muons)) if on}
     strip = lambda o: F.struct(*[o[f].alias(f) for f in (*FIELDS, "charge")])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -73,8 +74,13 @@ DATASETS = {d.name: d for d in (DIMUON, NANOAOD)}
 
 
 def read(spark: SparkSession, path: str, dataset: Dataset, first: int = 0, stop: int | None = None) -> DataFrame:
-    """A Parquet file in the source layout, with ``entry``: a row's place in its file."""
+    """A Parquet file in the source layout, with ``entry``: a row's place in its file.
+
+    A folder stands for the one file in it; with more, places would not be unique, so that is an error.
+    """
     rows = spark.read.parquet(path)
+    if len(files := rows.inputFiles()) > 1:
+        raise ValueError(f"{path} has {len(files)} files; each needs a file id of its own")
     dataset.check(rows)
     rows = rows.withColumn("entry", F.col("_metadata.row_index"))
     rows = rows.where(F.col("entry") >= first) if first else rows
@@ -118,6 +124,34 @@ def tables(rows: DataFrame, dataset: Dataset) -> dict[str, DataFrame]:
     return {"events": events_table(rows, dataset)} | {c.name: objects_table(rows, c) for c in dataset.collections}
 
 
+def synthetic_events(spark: SparkSession, n: int, avg_jets: float = 6.0, seed: int = 0, parts: int | None = None) -> DataFrame:
+    """Nested events for learning: a Poisson number of jets each, and a MET that their sum and spread say, with noise.
+
+    Made on the executors; an event follows from the seed and its id alone.
+    """
+    draw = lambda *of: F.pmod(F.xxhash64(F.lit(seed), *of), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    key = F.col("event_id")
+    # a Poisson number by inversion: how many of the first cumulative chances are below a draw
+    chances, term = [], math.exp(-avg_jets)
+    for k in range(int(avg_jets + 10 * math.sqrt(avg_jets) + 10)):
+        chances.append((chances[-1] if chances else 0.0) + term)
+        term *= avg_jets / (k + 1)
+    count = F.size(F.filter(F.array(*map(F.lit, chances)), lambda c: c < draw(key, F.lit("n"))))
+
+    def jet(i):
+        u = lambda name: draw(key, i, F.lit(name))
+        return F.struct(
+            (20.0 - 30.0 * F.log(1 - u("pt"))).alias("pt"), (u("eta") * 5 - 2.5).alias("eta"), (u("phi") * 2 * F.pi() - F.pi()).alias("phi"), (u("mass") * 15 + 5).alias("mass"),
+        )
+
+    numbers = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+    made = spark.range(0, n, 1, parts).select(F.col("id").alias("event_id")).withColumn("jets", F.transform(numbers, jet))
+    total = lambda of: F.aggregate("jets", F.lit(0.0), lambda s, j: s + of(j))
+    noise = F.sqrt(-2 * F.log(1 - draw(key, F.lit("a")))) * F.cos(2 * F.pi() * draw(key, F.lit("b")))
+    met = 0.2 * total(lambda j: j["pt"]) + 3.0 * total(lambda j: j["eta"] * j["eta"]) + 2.0 * noise
+    return made.withColumns({"met_pt": F.abs(met), "met_phi": draw(key, F.lit("phi")) * 2 * F.pi() - F.pi()})
+
+
 def sample_rows(spark: SparkSession, n: int, seed: int = 1, triggers: bool = True) -> DataFrame:
     """Invented events in the nanoaod layout, the same for the same seed; for tests and examples."""
     rng = np.random.default_rng(seed)

@@ -15,10 +15,13 @@ _written: list[tuple[object, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, as the session's ``spark.checkpoint.dir`` names it.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is made and set.
+    Only where that setting is absent and all is on one machine (tests) a temporary folder is made and
+    set. On a cluster its absence is an error, as each executor would write to its own disk.
     """
     found = spark.conf.get(CONF, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CONF} must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="nestfold-")
         spark.conf.set(CONF, found)
     return found.rstrip("/")
@@ -45,10 +48,38 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, target = _system(spark, path)
+    return system.exists(target)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    system, target = _system(spark, path)
+    system.mkdirs(target)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Rename; the folder that ``to`` is in must be there."""
+    system, target = _system(spark, path)
+    if not system.rename(target, spark._jvm.org.apache.hadoop.fs.Path(to)):
+        raise OSError(f"could not move {path} to {to}")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The full name of a path, with its scheme, as Spark's file systems write it."""
+    system, target = _system(spark, path)
+    return system.makeQualified(target).toString()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder through Spark's own file systems."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    system, target = _system(spark, path)
+    system.delete(target, True)
 
 
 def drop(df: DataFrame) -> None:

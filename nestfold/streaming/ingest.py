@@ -8,21 +8,27 @@ from pyspark.sql import functions as F
 from nestfold.functions.keys import Manifest
 from nestfold.operators.tables import load
 from nestfold.sources.datasets import Dataset, tables
+from nestfold.storage import qualified
 
 
 def ingest_new(spark: SparkSession, folder: str, manifest: Manifest, dataset: Dataset, root: str, checkpoint: str) -> None:
     """Load the files of ``folder`` that no run with this checkpoint has loaded; each replaces only its own rows.
 
-    Every file must be in the manifest, which gives its id.
+    Every file must be in the manifest, which gives its id; one that is not ends the run with an
+    error before anything of its batch is loaded.
     """
     schema = spark.read.parquet(folder).schema
-    ids = {f["path"]: f["file_id"] for f in manifest.files}
-    known = F.create_map(*[F.lit(x) for p, i in ids.items() for x in (p, i)])
+    ids = {qualified(spark, f["path"]): f["file_id"] for f in manifest.files}
+    known = F.create_map(*[F.lit(x) for p, i in ids.items() for x in (p, i)]) if ids else F.create_map().cast("map<string,bigint>")
 
     def batch(rows: DataFrame, _: int) -> None:
-        load(tables(rows, dataset), root, manifest.layout)
+        lost = rows.where("event_id IS NULL").select("_path").distinct().limit(5).collect()
+        if lost:
+            raise ValueError(f"not in the manifest: {', '.join(r[0] for r in lost)}")
+        load(tables(rows.drop("_path"), dataset), root, manifest.layout)
 
     rows = spark.readStream.schema(schema).parquet(folder)
-    path = F.regexp_replace("_metadata.file_path", "^file:/+", "/")
-    rows = rows.withColumn("event_id", manifest.layout.pack(known[path], F.col("_metadata.row_index")))
+    # as a URL in the metadata: escapes are taken back, and the scheme is written as file systems write it
+    path = F.regexp_replace(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+    rows = rows.withColumn("_path", path).withColumn("event_id", manifest.layout.pack(known[F.col("_path")], F.col("_metadata.row_index")))
     rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

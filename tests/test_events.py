@@ -5,11 +5,11 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from nestfold.functions import statistics
+from nestfold.functions import lists, statistics
 from nestfold.functions.keys import KeyLayout, Manifest, ShardMap, check_conversion
-from nestfold.operators import nesting, tables
+from nestfold.operators import nesting, regression, shards, tables
 from nestfold.plans import adl
-from nestfold.sources.datasets import DIMUON, NANOAOD, keyed, read, sample_rows
+from nestfold.sources.datasets import DIMUON, NANOAOD, keyed, read, sample_rows, synthetic_events
 from nestfold.sources.datasets import tables as tables_of
 from nestfold.streaming.ingest import ingest_new
 
@@ -123,13 +123,162 @@ def test_stream_takes_only_what_is_new(spark, tmp_path):
     assert tables.stored(spark, str(tmp_path / "db"), "events").count() == 40
 
 
+def test_stream_refuses_what_is_not_listed(spark, tmp_path):
+    folder = tmp_path / "in put+é"
+    sample_rows(spark, 10, 1).coalesce(1).write.parquet(str(folder))
+    args = (spark, str(folder), Manifest(), NANOAOD, str(tmp_path / "db"))
+    with pytest.raises(Exception, match="not in the manifest"):
+        ingest_new(*args, str(tmp_path / "cp1"))
+    m = Manifest()
+    for f in folder.glob("*.parquet"):
+        m.add(str(f), 10, 4)
+    ingest_new(spark, str(folder), m, NANOAOD, str(tmp_path / "db"), str(tmp_path / "cp2"))
+    ids = {r["event_id"] for r in tables.stored(spark, str(tmp_path / "db"), "events").collect()}
+    assert ids == {m.layout.key(4, i) for i in range(10)}
+
+
+def test_a_folder_of_several_files_has_no_places(spark, tmp_path):
+    sample_rows(spark, 40, 1).repartition(3).write.parquet(str(tmp_path / "many"))
+    with pytest.raises(ValueError, match="file id of its own"):
+        read(spark, str(tmp_path / "many"), NANOAOD)
+
+
+def made_file(spark, path, n, seed, muons=True):
+    rows = sample_rows(spark, n, seed)
+    if not muons:
+        rows = rows.withColumns({c: F.slice(c, 1, 0) for c in rows.columns if c.startswith("Muon_")})
+    rows.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def test_replacing_a_file_takes_all_its_old_rows(spark, tmp_path):
+    """Also from tables for which it has no rows any more."""
+    path, root, m = str(tmp_path / "f"), str(tmp_path / "db"), Manifest()
+    made_file(spark, path, 20, 1)
+    m.add(path)
+    assert tables.ingest(spark, m, NANOAOD, root) == 20
+    assert tables.stored(spark, root, "muons").count() > 0
+    made_file(spark, path, 20, 1, muons=False)
+    tables.ingest(spark, m, NANOAOD, root)
+    assert tables.stored(spark, root, "muons").count() == 0
+    assert tables.stored(spark, root, "events").count() == 20
+
+
+def test_replacing_a_range_of_entries_leaves_the_others(spark, tmp_path):
+    path, root, m = str(tmp_path / "f"), str(tmp_path / "db"), Manifest()
+    made_file(spark, path, 20, 1)
+    m.add(path)
+    everything = lambda: {n: sorted(map(str, tables.stored(spark, root, n).collect())) for n in ("events", "jets", "muons")}
+    tables.ingest(spark, m, NANOAOD, root)
+    before = everything()
+    assert tables.ingest(spark, m, NANOAOD, root, entries=(0, 5)) == 5
+    assert everything() == before
+    for entries in ((0, 7), (7, 13), (13, None)):  # in chunks, to another root
+        tables.ingest(spark, m, NANOAOD, f"{root}2", entries=entries)
+    root = f"{root}2"
+    assert everything() == before
+    tables.truncate(spark, root, ["events", "jets"])
+    assert tables.stored(spark, root, "events").count() == 0 < tables.stored(spark, root, "muons").count()
+    tables.create(spark, root, {"muons": tables.stored(spark, root, "muons").schema}, drop=True)
+    assert tables.stored(spark, root, "muons").count() == 0
+
+
+def test_shards(spark, tmp_path):
+    m, root = Manifest(), str(tmp_path / "db")
+    for n, size in enumerate((12, 8, 10)):
+        path = str(tmp_path / f"f{n}")
+        made_file(spark, path, size, n)
+        m.add(path)
+    with pytest.raises(ValueError, match="no shard owns"):
+        tables.ingest(spark, m, NANOAOD, root, shards=ShardMap([("a", 0, 2)]))
+    split = ShardMap([("a", 0, 2), ("b", 2, 3), ("empty", 3, None)])
+    assert tables.ingest(spark, m, NANOAOD, root, shards=split) == 30
+    both = shards.fetch(spark, root, split)
+    ids = [r["event_id"] for r in both.select("event_id").collect()]
+    assert ids == sorted(ids) and len(ids) == 30
+    assert shards.fetch_shard(spark, root, "b", "met_pt > 0", ["jets"], ["event_id"]).columns == ["event_id", "jets"]
+    few = shards.fetch(spark, root, split, "n_jets >= 5", [], ["event_id", "n_jets"])
+    assert few.count() == both.where("size(jets) >= 5").count()
+    assert shards.misrouted(spark, root, split, "events", m.layout).count() == 0
+    asked = []
+    count = shards.map_events(spark, root, split, lambda e: asked.append(1) or {"n": e.count(), "met": [e.count()]})
+    assert count == {"n": 30, "met": [20, 10]} and len(asked) == 2
+    assert shards.map_events(spark, root, split, lambda e: e.count(), where="met_pt < 0") is None
+    by_jets = shards.map_events(spark, root, split, lambda e: e.groupBy("n_jets").agg(F.count("*").alias("n")), reduce=lambda p: statistics.combined(p, ["n_jets"]))
+    assert by_jets.agg(F.sum("n")).first()[0] == 30 and by_jets.count() == both.select("n_jets").distinct().count()
+
+    def task(name, first, stop):
+        if name != "b":
+            raise RuntimeError(f"{name} is down")
+        return first, stop
+
+    with pytest.raises(shards.ShardError, match="2 of 3 shards failed") as e:
+        shards.scatter(spark, split, task)
+    assert set(e.value.failed) == {"a", "empty"} and e.value.done == {"b": (2, 3)}
+    assert shards.shard_keys(split, "empty", m.layout) == (3 << 40, 1 << 63)
+
+
+def test_stored_nested_table_needs_no_shuffle(spark):
+    nested = synthetic_events(spark, 200, seed=3)
+    stored = tables.store_nested(nested, "nested_events_of_a_test", 4)
+    met = stored.join(stored.select("event_id", F.size("jets").alias("n")), "event_id").where("n >= 0")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert met.count() == 200 and "Exchange hashpartitioning" not in met._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE nested_events_of_a_test")
+
+
+def test_plans_compute_vectors_once(spark):
+    """No filter holds a copy of the four-vectors, whose arithmetic has exponentials."""
+    e = event(spark)
+    for f in (adl.q5, adl.q7, adl.q8, adl.zmumu_flat, adl.zmumu_jagged):
+        plan = f(e)._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Filter" in line and ("exp(" in line.lower() or "EXP(" in line)], f.__name__
+
+
+def test_synthetic_events(spark):
+    a, b = synthetic_events(spark, 3000, 4.0, 7, parts=2), synthetic_events(spark, 3000, 4.0, 7, parts=5)
+    assert a.exceptAll(b).count() == 0
+    n, mean, least = a.agg(F.count("*"), F.avg(F.size("jets")), F.min(F.size("jets"))).first()
+    assert n == 3000 and abs(mean - 4.0) < 0.2 and least == 0
+    assert regression.train(regression.dataset(a))[1] > 0.8
+    assert regression.throughput(a, repeats=1)["objects"] == a.agg(F.sum(F.size("jets"))).first()[0]
+    x = nesting.tensor(a, "jets", ["pt"]).where("count > 0").first()
+    assert sum(x["mask"]) == x["count"] and all(o["pt"] == 0 for o, real in zip(x["x"], x["mask"], strict=True) if not real)
+    assert nesting.tensor(a.limit(0), "jets", ["pt"]).count() == 0
+
+
+def test_list_functions(spark):
+    df = spark.createDataFrame([([3.0, None, 1.0, 1.0],), ([],), (None,)], "x array<double>")
+    x = F.col("x")
+    made = {
+        "n": lists.count(x), "sum": lists.sum_(x), "mean": lists.mean(x), "var": lists.var(x), "argmin": lists.argmin(x), "argmax": lists.argmax(x), "runs": lists.run_lengths(x), "pad": lists.pad_none(x, 5, clip=True), "all": lists.all_(x, lambda v: v > 0),
+        "fill": lists.fill_none(x, F.lit(9.0)), "cut": lists.unflatten(x, F.when(F.size(x) > 0, F.array(F.lit(1), F.lit(3))).otherwise(F.array().cast("array<int>"))), "firsts": lists.firsts(x), "diff": lists.diff(x), "ptp": lists.ptp(x), "order": lists.argsort(x),
+    }
+    full, empty, none = (r.asDict() for r in df.select(*[c.alias(k) for k, c in made.items()]).collect())
+    assert (full["n"], full["sum"], full["mean"], full["ptp"], full["argmin"], full["argmax"], full["all"]) == (3, 5.0, pytest.approx(5 / 3), 2.0, 2, 0, True)
+    assert full["var"] == pytest.approx(8 / 9) and full["runs"] == [1, 1, 2] and full["cut"] == [[3.0], [None, 1.0, 1.0]]
+    assert full["pad"] == [3.0, None, 1.0, 1.0, None] and full["fill"] == [3.0, 9.0, 1.0, 1.0] and full["diff"] == [None, None, 0.0]
+    assert (empty["n"], empty["sum"], empty["mean"], empty["var"], empty["argmin"], empty["runs"], empty["all"], empty["cut"], empty["firsts"]) == (0, 0.0, None, None, None, [], True, [], None)
+    assert none["sum"] is None and none["argmax"] is None
+    with pytest.raises(Exception, match="do not add up"):
+        df.limit(1).select(lists.unflatten(x, F.array(F.lit(3)))).collect()
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([(float(x),) for x in range(10)] + [(float("nan"),), (None,)], "v double")
     r = statistics.summary(df, "v").first()
-    assert (r["n"], r["n_nonfinite"], r["mean"], r["q50"]) == (12, 2, 4.5, 4.5)
+    assert (r["n"], r["n_nonfinite"], r["mean"], r["q0"], r["q25"], r["q50"], r["q100"]) == (12, 2, 4.5, 0.0, 2.25, 4.5, 9.0)
     assert {x["bin"]: x["n"] for x in statistics.histogram(df, "v", 3, 0.0, 9.0).collect()} == {0: 3, 1: 3, 2: 4}
-    assert statistics.combine([None, {"a": 1, "b": [1]}, {"a": 2, "b": [2]}]) == {"a": 3, "b": [1, 2]} and statistics.combine([None]) is None
-    assert statistics.unmatched([1, 2, 3], [1, 2.5, 3]) == 1
+    none = statistics.summary(df.where("false"), "v").first()
+    assert (none["n"], none["mean"], none["q50"]) == (0, None, None)
+    assert math.isnan(statistics.metric(df.where("false").withColumnRenamed("v", "value")).first()["mean"])
+    assert statistics.combine([None, {"a": 1, "b": [1]}, {"a": 2, "b": [2], "c": {"d": 1}}, {"c": {"d": None}}]) == {"a": 3, "b": [1, 2], "c": {"d": 1}}
+    assert statistics.combine([None]) is None and statistics.combine([2, None, 3]) == 5 and statistics.combine([[1], (2,)]) == [1, 2]
+    parts = [df.limit(0), None, statistics.histogram(df, "v", 3, 0.0, 9.0)]
+    assert statistics.combined([None, None]) is None
+    assert {r["bin"]: r["n"] for r in statistics.combined([parts[2], None, parts[2]], ["bin"]).collect()} == {0: 6, 1: 6, 2: 8}
 
 
 def test_dense_blocks(spark):
