@@ -1,11 +1,16 @@
 """I-Match fingerprints over several randomised lexicon subsets.
 
 The lexicon is the terms whose inverse document frequency lies in a band, counted over all documents.
-A random hash deals its terms into disjoint subsets, the more the longer a document is, of which a
-fingerprint keeps SUBSETS: its hash of a subset is that of the document's sorted distinct terms in
-it. A fingerprint holds three levels, for its own size, twice and four times that, so that any two
-documents of like size have levels in common; their likeness is the share of equal hashes there,
-among the subsets of which either has a term.
+A fingerprint hashes the sorted distinct in-band terms of a text once for each subset of it:
+
+- WIDE subsets that overlap: each keeps a random 7/8 of the lexicon, so every term of a text is in
+  most of them. Texts that differ in one in-band term agree in about one of eight of these.
+- SUBSETS disjoint subsets at each of LEVELS densities, drawn so thin for a text's size that an edit
+  leaves some of them as they were. The densities are for the text's own size, a half and a quarter
+  of that, so any two texts of like size have densities in common.
+
+The likeness of two fingerprints is the share of equal hashes, among the subsets of which either has
+a term, at the densities that both have. It is 1 only if all wide hashes agree too.
 
 The band's rare end is a share of all documents, so with m distinct terms in a document on average
 the lexicon has at most m / rare terms, however many documents there are.
@@ -20,7 +25,7 @@ from pyspark.sql import functions as F
 
 from nestfold.storage import written
 
-SUBSETS, LEVELS = 32, 3
+WIDE, SUBSETS, LEVELS = 8, 32, 3
 #: So many lexicon terms may be broadcast (8 bytes each); above, they meet documents in a shuffled join.
 BROADCAST_ROWS = 4_000_000
 
@@ -88,52 +93,60 @@ def _level(terms: Column) -> Column:
     return F.greatest(F.ceil(F.log2(F.greatest(F.size(terms), F.lit(1)) / SUBSETS)), F.lit(0)).cast("int")
 
 
-def _at_level(terms: Column, level: Column) -> Column:
-    rest = F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1
-    return F.filter(terms, lambda h: F.shiftright(h, 5).bitwiseAND(rest) == 0)
+def _wide(terms: Column) -> Column:
+    """A 64-bit hash for each wide subset: of the terms of which three bits of their own, subset by subset, are not all 0."""
+    kept = lambda k: F.filter(terms, lambda h: F.shiftrightunsigned(h, 3 * k + 40 - 3 * WIDE).bitwiseAND(F.lit(7)) != 0)
+    return F.array(*[F.xxhash64(kept(k)) for k in range(WIDE)])
 
 
-def _hashes(terms: Column) -> Column:
-    """For each subset, 1 to 65535 of its sorted terms, or 0 without any."""
-    ordered = F.array_sort(terms)
+def _thin(terms: Column, level: Column) -> Column:
+    """For each disjoint subset at a density of 2^-level, 32 bits, not 0, of the hash of its terms, or 0 without any."""
+    rest = F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1
+    drawn = F.filter(terms, lambda h: F.shiftrightunsigned(h, 45).bitwiseAND(rest) == 0)
 
     def one(k):
-        mine = F.filter(ordered, lambda h: h.bitwiseAND(F.lit(SUBSETS - 1).cast("long")) == k)
-        chained = F.aggregate(mine, F.lit(42).cast("long"), lambda a, h: F.xxhash64(a, h))
-        return F.when(F.size(mine) > 0, (F.pmod(chained, F.lit(65535)) + 1).cast("int")).otherwise(F.lit(0))
+        return lambda mine: F.when(F.size(mine) > 0, F.pmod(F.xxhash64(mine), F.lit((1 << 32) - 1)) + 1).otherwise(F.lit(0).cast("long"))
+
+    def of(at):
+        subset = lambda k: F.filter(at, lambda h: h.bitwiseAND(F.lit(SUBSETS - 1).cast("long")) == k)
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SUBSETS - 1).cast("long")), lambda k: F.get(F.transform(F.array(subset(k)), one(k)), F.lit(0)))
 
-    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SUBSETS - 1).cast("long")), one)
+    # what is drawn is bound once, as the element of an array of one
+    return F.flatten(F.transform(F.array(drawn), of))
 
 
 def _fingerprint(terms: str, level: str, plain: str) -> Column:
-    """struct(level, hashes, plain): all levels' hashes in one array; plain, of the text itself, only where no term is kept."""
+    """struct(level, wide, hashes, plain) of sorted terms: plain, of the text itself, only where no term is in the band."""
     none = F.size(terms) == 0
-    each = F.concat(*[_hashes(_at_level(F.col(terms), F.col(level) + i)) for i in range(LEVELS)])
+    each = F.concat(*[_thin(F.col(terms), F.col(level) + i) for i in range(LEVELS)])
+    empty = F.array().cast("array<bigint>")
     return F.struct(
         F.when(none, -1).otherwise(F.col(level)).alias("level"),
-        F.when(none, F.array().cast("array<int>")).otherwise(each).alias("hashes"),
+        F.when(none, empty).otherwise(_wide(F.col(terms))).alias("wide"),
+        F.when(none, empty).otherwise(each).alias("hashes"),
         F.when(none, F.col(plain)).otherwise(F.lit(0).cast("long")).alias("plain"),
     )
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1, of two fingerprints as structs. Without a kept term in either: 1 if the texts' hashes are equal, else 0."""
+    """0 to 1, of two fingerprints as structs. Without an in-band term in either: 1 if the texts' hashes are equal, else 0."""
     up = b["level"] - a["level"]
     size = (LEVELS - F.abs(up)) * SUBSETS
     x = F.slice(a["hashes"], F.greatest(up, F.lit(0)) * SUBSETS + 1, size)
     y = F.slice(b["hashes"], F.greatest(-up, F.lit(0)) * SUBSETS + 1, size)
-    both = F.zip_with(x, y, lambda p, q: F.when((p == q) & (p != 0), 1).otherwise(0))
-    any_ = F.zip_with(x, y, lambda p, q: F.when((p != 0) | (q != 0), 1).otherwise(0))
     total = lambda c: F.aggregate(c, F.lit(0), lambda s, v: s + v)
-    share = F.when(total(any_) > 0, total(both) / total(any_)).otherwise(0.0)
+    both = total(F.zip_with(x, y, lambda p, q: F.when((p == q) & (p != 0), 1).otherwise(0)))
+    any_ = total(F.zip_with(x, y, lambda p, q: F.when((p != 0) | (q != 0), 1).otherwise(0)))
+    wide = total(F.zip_with(a["wide"], b["wide"], lambda p, q: F.when(p == q, 1).otherwise(0)))
+    share = (both + wide) / (any_ + WIDE)
     return F.when((a["level"] < 0) | (b["level"] < 0), (a == b).cast("double")).when(F.abs(up) >= LEVELS, 0.0).otherwise(share)
 
 
 def text_of(fp: Column) -> Column:
-    """A fingerprint as a string: its level and four hex digits a subset; or ``t`` and the text's hash."""
-    digits = F.array_join(F.transform(fp["hashes"], lambda v: F.lower(F.lpad(F.hex(v), 4, "0"))), "")
-    plain = F.concat(F.lit("t"), F.lpad(F.lower(F.hex(fp["plain"])), 16, "0"))
-    return F.when(fp["level"] < 0, plain).otherwise(F.concat(F.lpad(fp["level"].cast("string"), 2, "0"), digits))
+    """A fingerprint as a string: its level, 16 hex digits for each wide subset and 8 for each other; or ``t`` and the text's hash."""
+    digits = lambda c, n: F.array_join(F.transform(c, lambda v: F.lower(F.lpad(F.hex(v), n, "0"))), "")
+    plain = F.concat(F.lit("t"), digits(F.array(fp["plain"]), 16))
+    return F.when(fp["level"] < 0, plain).otherwise(F.concat(F.lpad(fp["level"].cast("string"), 2, "0"), digits(fp["wide"], 16), digits(fp["hashes"], 8)))
 
 
 def fingerprints(docs: DataFrame, common: float = 0.2, rare: float = 0.0005) -> DataFrame:
@@ -152,13 +165,13 @@ def fingerprints(docs: DataFrame, common: float = 0.2, rare: float = 0.0005) ->
     )
     made = made.withColumns({"l0": _level(F.col("t0")), "l1": _level(F.col("t1"))})
     each = F.concat(
-        F.transform(_at_level(F.col("t0"), F.col("l0")), lambda h: F.struct(F.lit(0).alias("v"), h.alias("h"))),
-        F.transform(_at_level(F.col("t1"), F.col("l1")), lambda h: F.struct(F.lit(1).alias("v"), h.alias("h"))),
+        F.transform("t0", lambda h: F.struct(F.lit(0).alias("v"), h.alias("h"))),
+        F.transform("t1", lambda h: F.struct(F.lit(1).alias("v"), h.alias("h"))),
     )
     keys = ["range", "guest", "doc_id", "n_chars", "sha", "p0", "p1", "l0", "l1"]
     terms = made.select(*keys, F.explode_outer(each).alias("t")).select(*keys, "t.v", "t.h")
     met = terms.join(near.withColumn("known", F.lit(True)), "h", "left")
-    mine = lambda v: F.collect_list(F.when(F.col("known") & (F.col("v") == v), F.col("h")))
+    mine = lambda v: F.sort_array(F.collect_list(F.when(F.col("known") & (F.col("v") == v), F.col("h"))))
     kept = met.groupBy(*keys).agg(mine(0).alias("k0"), mine(1).alias("k1"))
     return kept.select("range", "guest", "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), _fingerprint("k0", "l0", "p0").alias("fp"), _fingerprint("k1", "l1", "p1").alias("edited_fp"))
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -251,6 +252,70 @@ def test_imatch_edits_and_likeness(docs, by_id):
     assert np.mean([found[i]["near_edited"] for i in long]) > np.mean([found[i]["near_next"] for i in long]) + 0.1
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def slow_imatch(by_id, common=0.2, rare=0.0005):
+    """Fingerprints as (level, wide hashes, thin hashes) or the text's hash, of every text and its edit, in order of ids."""
+    hashed = lambda text: signed(xxhash.xxh64_intdigest(text.encode(), 42))
+
+    def chained(values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(struct.pack("<q", v), seed)
+        return seed
+
+    terms = lambda text: {hashed(w) for w in words_of(text)}
+    df = Counter(h for t in by_id.values() for h in terms(t))
+    known = {h for h, k in df.items() if rare * len(by_id) <= k <= max(common * len(by_id), 1.0)}
+
+    def one(text):
+        every = terms(text)
+        kept = sorted(every & known)
+        if not kept:
+            return hashed(text)
+        level = max(math.ceil(math.log2(max(len(every), 1) / 32)), 0)
+        bits = lambda h: h & ((1 << 64) - 1)
+        wide = [chained(h for h in kept if bits(h) >> (3 * k + 16) & 7) for k in range(8)]
+        thin = []
+        for at in range(level, level + 3):
+            drawn = [h for h in kept if (bits(h) >> 45) & ((1 << at) - 1) == 0]
+            for k in range(32):
+                mine = [h for h in drawn if h & 31 == k]
+                thin.append(signed(chained(mine)) % ((1 << 32) - 1) + 1 if mine else 0)
+        return level, wide, thin
+
+    def near(a, b):
+        if not isinstance(a, tuple) or not isinstance(b, tuple):
+            return float(a == b)
+        up = b[0] - a[0]
+        if abs(up) >= 3:
+            return 0.0
+        x, y = a[2][max(up, 0) * 32 :][: (3 - abs(up)) * 32], b[2][max(-up, 0) * 32 :][: (3 - abs(up)) * 32]
+        both, any_ = sum(p == q != 0 for p, q in zip(x, y, strict=True)), sum((p or q) != 0 for p, q in zip(x, y, strict=True))
+        return (both + sum(p == q for p, q in zip(a[1], b[1], strict=True))) / (any_ + 8)
+
+    ids = sorted(by_id)
+    out = {}
+    for i, nxt in zip(ids, [*ids[1:], ids[0]], strict=True):
+        t, k = by_id[i], len(by_id[i]) // 4
+        a, b = one(t), one(t[: len(t) - k] + by_id[nxt][:k])
+        text = lambda f: f"{f[0]:02d}" + "".join(f"{w:016x}" for w in f[1]) + "".join(f"{v:08x}" for v in f[2]) if isinstance(f, tuple) else f"t{f & ((1 << 64) - 1):016x}"
+        out[i] = (text(a), text(b), near(a, b), near(a, one(by_id[nxt])))
+    return out
+
+
+@pytest.mark.parametrize("limit", [4_000_000, 0])
+def test_imatch_against_brute_force(docs, by_id, limit, monkeypatch):
+    """With the lexicon broadcast, and shuffled."""
+    monkeypatch.setattr(imatch, "BROADCAST_ROWS", limit)
+    found = {r["doc_id"]: r for r in imatch.compared(texts(docs)).collect()}
+    for i, (fp, edited, near_edited, near_next) in slow_imatch(by_id).items():
+        assert (found[i]["fingerprint"], found[i]["edited_fingerprint"]) == (fp, edited), i
+        assert (found[i]["near_edited"], found[i]["near_next"]) == (pytest.approx(near_edited), pytest.approx(near_next)), i
+
+
 def test_packing_covers_every_piece_once(spark, docs, by_id):
     paths = queries._vocabulary()
     found = packing.packed(texts(docs), **paths, most=256).toPandas()
@@ -298,7 +363,6 @@ def test_kd_shards_are_near_equal_and_keep_copies(spark, docs, by_id):
     for _, g in found.groupby("shard"):
         assert sorted(g["slot"]) == list(range(len(g)))
     few = kd_shards.shard(texts(docs), 8).toPandas()
-    assert {r.doc_id: (r.size, r.text_crc32) for r in few.rename(columns={"size": "size"}).itertuples()} is not None
     assert dict(zip(few["doc_id"], few["text_crc32"], strict=True)) == {i: zlib.crc32(t.encode()) for i, t in by_id.items()}
     assert dict(zip(few["doc_id"], few["size"], strict=True)) == {i: len(t.encode()) + 1 for i, t in by_id.items()}
 
@@ -310,16 +374,42 @@ def test_one_text_in_a_third_of_rows_is_spread(spark):
     assert len(size) == 8 and size.max() <= 1.1 * size.mean()
 
 
+@pytest.mark.parametrize("share", [0.05, 0.12])
+def test_heavy_groups_stay_whole(spark, share):
+    """A text with a share of all bytes that one shard can hold is in one shard, and sizes stay near equal."""
+    copies = round(900 * share)
+    rows = [(i, "x" * 300 if i < copies else prose(60)[:300].ljust(300, "y")) for i in range(900)]
+    found = kd_shards.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8).toPandas()
+    assert found[found["doc_id"] < copies]["shard"].nunique() == 1
+    size = found.groupby("shard")["size"].sum()
+    assert len(size) == 8 and size.max() <= 1.03 * size.mean() and size.min() >= 0.97 * size.mean()
+
+
+def test_groups_are_given_to_the_emptiest_shard():
+    home, load = kd_shards.placed([(7, 10), (8, 6), (9, 5), (1, 1)], 2)
+    assert home == {7: 0, 8: 1, 9: 1, 1: 0} and load == [11, 11]
+
+
 def test_url_rules_and_model(spark):
     urls = {
-        1: "https://WWW.Example.org/en/123?q", 2: "http://a.com/de/x", 3: "http://a.com/fr/x#y", 4: "http://example.org", 5: None, 6: "no scheme", 7: "http://notorg/", 8: "http://m.free-bets.example.net/en/1",
-        9: "http://garden.example.net/en/5", 10: "http://org/x", 11: "http://badexample.org/en/1", 12: "http://x.example.org/es/?a://b/c",
+        1: "https://WWW.Example.org/en/123?q", 2: "http://a.com/de/x", 3: "http://a.com/fr/x#y", 4: "http://example.org", 5: None, 6: "no scheme", 7: "http://notorg/", 8: "http://m.casino.net/en/1",
+        9: "http://library.net/en/5", 10: "http://org/x", 11: "http://badexample.org/en/1", 12: "http://x.example.org/es/?a://b/c", 13: "https://portal.net/casino/77", 14: "", 15: "http://x.net/" + "a" * 50_000,
     }
-    got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(list(urls.items()), "page_id long, url string")).collect()}
+    rows = [(i, u, "extra", "clash") for i, u in urls.items()] + [(None, "http://casino.net/", "extra", "clash")] * 2
+    out = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, host string, w string")).collect()
+    assert len(out) == len(rows)
+    got = {r["page_id"]: r for r in out}
     rules = {1: "example.org/en/1", 2: "com/de/", 3: "com/fr/", 10: "org/", 11: "org/", 12: "example.org/es/"}
-    assert {i: r["rule"] for i, r in got.items()} == {i: rules.get(i) for i in urls}
-    assert [got[i]["verdict"] for i in (1, 2, 3, 8, 9, 10, 11, 12)] == ["block", "block", "allow", "block", "allow", "allow", "allow", "block"]
-    assert all((r["host"], r["path"]) == url_filter.split(urls[i]) for i, r in got.items())
+    assert {i: r["rule"] for i, r in got.items() if i} == {i: rules.get(i) for i in urls}
+    assert [got[i]["verdict"] for i in (1, 2, 3, 8, 9, 10, 11, 12, 13)] == ["block", "block", "allow", "block", "allow", "allow", "allow", "block", "block"]
+    assert all((got[i]["host"], got[i]["path"]) == url_filter.split(u) for i, u in urls.items())
+    model = url_filter.default_model()
+    assert all(got[i]["block_score"] == pytest.approx(url_filter.block_chance(model, *url_filter.split(u))) for i, u in urls.items())
+
+
+def test_url_words_held_out():
+    """Urls of words that the model has not seen: better than chance, not more (see README)."""
+    assert url_filter.held_out_accuracy(3) > 0.55
 
 
 def test_quality_held_out(spark):
@@ -344,6 +434,26 @@ def test_language_backoff(spark, empty):
     assert langid.fit(empty).predict("the", {}) == ("und", 0.0)
 
 
+def test_language_held_out(spark):
+    """Rare languages are learned as well as common ones; words of held-out texts may be new."""
+    rng = random.Random(9)
+    ends = {"aa": "ung", "bb": "ción", "cc": "ment", "dd": "ness"}
+    word = lambda lang: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 3))) + rng.choice(["", ends[lang]])
+    many = {"aa": 300, "bb": 200, "cc": 100, "dd": 12}
+    rows = [(lang, " ".join(word(lang) for _ in range(40))) for lang, n in many.items() for _ in range(n)]
+    table = spark.createDataFrame([(i, t, lang, lang) for i, (lang, t) in enumerate(rows)] + [(9000, None, "aa", "x"), (9001, "12 !", None, "x"), (None, "x", "aa", "x")], "doc_id long, text string, lang string, lang_pred string")
+    marked = table.withColumn("held_out", langid.held_out(F.col("doc_id"), 4, 2))
+    model = langid.fit(marked.where("NOT held_out"), each=60)
+    found = [r for r in langid.predict(marked, model).collect()]
+    assert len(found) == len(rows) + 3
+    said = {r["doc_id"]: r for r in found}
+    assert said[9000]["lang_pred"] == said[9001]["lang_pred"] == "und"
+    right = [said[i]["lang_pred"] == lang for i, (lang, _) in enumerate(rows) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum(right) >= 0.97 * len(right) and len(right) > 100
+    cache = {}
+    assert all((said[i]["lang_pred"], said[i]["score"]) == (model.predict(t, cache)[0], pytest.approx(model.predict(t, cache)[1])) for i, (_, t) in enumerate(rows[:50]))
+
+
 def test_empty_tables(spark, empty):
     rows = texts(empty)
     assert simhash.near_duplicates(rows).count() == 0
@@ -352,6 +462,24 @@ def test_empty_tables(spark, empty):
     assert packing.packed(rows, **queries._vocabulary()).count() == 0
     assert kd_shards.shard(rows).count() == 0
     assert decontamination.contained(rows, spark.createDataFrame([], "item_id long, text string")).count() == 0
+    model = quality.fit(empty, spark.createDataFrame([], "doc_id long, quality int"))
+    assert quality.scores(empty, model, "doc_id").count() == 0
+    assert langid.predict(empty.withColumn("held_out", F.lit(True)), langid.fit(empty)).count() == 0
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_warc_of_no_pages(spark, tmp_path):
+    pages = spark.createDataFrame([], "page_id long, html string")
+    warc.write(warc.payloads(pages), str(tmp_path / "none"))
+    assert warc.reassembled(warc.read(spark, str(tmp_path / "none"))).count() == 0
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    import corpus_pipeline as p
+
+    for name, schema in {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}.items():
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert p.run(spark, str(tmp_path)).count() == 0
 
 
 def test_pipeline_drops_what_it_should(spark, tmp_path):
