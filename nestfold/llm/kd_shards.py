@@ -5,13 +5,18 @@ as many leaves as shards. The dimensions are computed from the text alone (its b
 per byte, spaces, lines, and a digest), each scaled to 0..1 over all documents. Medians are exact
 up to one group of equal texts: they are found by radix on counts, 13 bits a pass over a narrow
 written table, and never by sorting a leaf in one task.
+
+Equal texts are one point of that space, which no cut can divide, so a heavy group of them would make
+leaves uneven. Groups of more than 1/32 of a shard are therefore given to shards first, the heaviest
+first, each to the shard that has the least; the tree then aims at what each shard still lacks. Only a
+group that outweighs a whole shard is not kept together: its rows are told apart by their ids.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nestfold.llm.tables import parts_for
@@ -66,12 +71,28 @@ def _cuts(rows: DataFrame, halves: dict[int, float]) -> dict[int, int]:
     return cuts
 
 
+def placed(heavy: list[tuple[int, int]], shards: int) -> tuple[dict[int, int], list[int]]:
+    """The shard of each (digest, weight), the heaviest first to the shard that has the least, and what each shard then has."""
+    load, home = [0] * shards, {}
+    for digest, weight in sorted(heavy, key=lambda h: (-h[1], h[0])):
+        home[digest] = at = min(range(shards), key=lambda s: (load[s], s))
+        load[at] += weight
+    return home, load
+
+
+def _chosen(of: Column, values: dict[int, int], otherwise: Column) -> Column:
+    """values[of], or ``otherwise``."""
+    if not values:
+        return otherwise
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[of], otherwise)
+
+
 def tree(rows: DataFrame, shards: int) -> DataFrame:
     """``rows`` (see ``metadata``) with ``shard`` from 0 to ``shards`` - 1.
 
-    A node that has to become n leaves is cut so that floor(n / 2) / n of its bytes go left. Equal
-    texts have equal metadata and stay together, unless they alone outweigh a leaf: then their rows
-    are told apart by id, so that sizes stay near equal whatever share one text has.
+    A node that has to become some shards is cut so that the left half of them gets its part of what
+    they all still lack. Equal texts have equal metadata and stay together, up to a whole shard's
+    bytes (see above). What the driver holds is fewer than 32 groups a shard and the histograms.
     """
     rows = written(rows, "metadata")
     spans = rows.agg(F.sum("size"), *[f(d) for d in DIMENSIONS for f in (F.min, F.max)]).first()
@@ -81,17 +102,20 @@ def tree(rows: DataFrame, shards: int) -> DataFrame:
     if not total:
         return rows.withColumn("shard", F.lit(0))
     leaf = total / shards
-    heavy = rows.groupBy("digest").agg(F.sum("size").alias("_w")).where(F.col("_w") > leaf / 4)
-    heavy = [r["digest"] for r in heavy.select("digest").collect()]  # fewer than 4 x shards
-    parted = F.col("digest").isin(heavy) if heavy else F.lit(False)
-    tie = F.when(parted, F.xxhash64("digest", "doc_id")).otherwise(F.col("digest"))
-    rows = rows.withColumn("_tie", F.shiftrightunsigned(tie, 64 - 34)).withColumn("node", F.lit(0))
-    todo = {0: (shards, 0)}  # node: leaves to become, first shard
+    heavy = rows.groupBy("digest").agg(F.sum("size").alias("_w")).where(F.col("_w") > leaf / 32)
+    heavy = [tuple(r) for r in heavy.collect()]
+    giant = [digest for digest, weight in heavy if weight > leaf]
+    home, load = placed([h for h in heavy if h[1] <= leaf], shards)
+    lacks = [max(leaf - have, 0.0) for have in load]
+    tie = F.when(F.col("digest").isin(giant), F.xxhash64("digest", "doc_id")).otherwise(F.col("digest")) if giant else F.col("digest")
+    rows = rows.withColumns({"_home": _chosen(F.col("digest"), home, F.lit(-1)), "_tie": F.shiftrightunsigned(tie, 64 - 34)})
+    rows = rows.withColumn("node", F.when(F.col("_home") < 0, 0))  # null: not in the tree
+    todo = {0: (0, shards)}  # node: its first shard, and the one after its last
     for _ in range(math.ceil(math.log2(shards)) if shards > 1 else 0):
-        split = {n: v for n, v in todo.items() if v[0] > 1}
+        split = {n: (a, z) for n, (a, z) in todo.items() if z - a > 1}
         inside = rows.where(F.col("node").isin(list(split))).groupBy("node").agg(F.sum("size").alias("w"), *[((F.max(d) - F.min(d)) / width[d]).alias(d) for d in DIMENSIONS]).collect()
         widest = {r["node"]: max(DIMENSIONS, key=lambda d: (r[d], d)) for r in inside}
-        halves = {r["node"]: r["w"] * (split[r["node"]][0] // 2) / split[r["node"]][0] for r in inside}
+        halves = {r["node"]: r["w"] * _share(lacks, *split[r["node"]]) for r in inside}
         scaled = F.lit(0.0)
         for node, d in widest.items():
             scaled = F.when(F.col("node") == node, (F.col(d) - low[d]) / width[d]).otherwise(scaled)
@@ -99,17 +123,24 @@ def tree(rows: DataFrame, shards: int) -> DataFrame:
         rows = rows.withColumn("order", F.shiftleft(place, 34).bitwiseOR(F.col("_tie")))
         cuts = _cuts(rows.select("node", "order", "size"), halves) if halves else {}
         right, following = F.lit(0), {}
-        for node, (n, first) in todo.items():
-            following[2 * node] = (max(n // 2, 1), first)
+        for node, (a, z) in todo.items():
+            middle = a + max((z - a) // 2, 1)
+            following[2 * node] = (a, middle)
             if node in cuts:
                 right = F.when((F.col("node") == node) & (F.col("order") > F.lit(cuts[node])), 1).otherwise(right)
-                following[2 * node + 1] = (n - n // 2, first + n // 2)
+            if z > middle:
+                following[2 * node + 1] = (middle, z)
         rows = rows.withColumn("node", F.col("node") * 2 + right).drop("order")
         todo = following
-    shard = F.lit(0)
-    for node, (_, first) in todo.items():
-        shard = F.when(F.col("node") == node, first).otherwise(shard)
-    return rows.withColumn("shard", shard.cast("int")).drop("node", "_tie")
+    shard = _chosen(F.col("node"), {node: a for node, (a, _) in todo.items()}, F.col("_home"))
+    return rows.withColumn("shard", shard.cast("int")).drop("node", "_tie", "_home")
+
+
+def _share(lacks: list[float], first: int, stop: int) -> float:
+    """The part of what the shards from ``first`` lack that the left half of them does."""
+    middle = first + (stop - first) // 2
+    whole = sum(lacks[first:stop])
+    return sum(lacks[first:middle]) / whole if whole else (middle - first) / (stop - first)
 
 
 def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
