@@ -9,9 +9,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nestfold.llm.tables import small_batches
+
 LONGEST = 5
 WORD = regex.compile(r"\p{L}+")
 UNDETERMINED = "und"
@@ -87,22 +89,25 @@ def held_out(key: Column, of: int, rest: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % of == rest, F.lit(False))
 
 
-def fit(labelled: DataFrame, sample: int = 20_000, vocabulary: int = 40_000) -> Model:
+def sampled(labelled: DataFrame, each: int) -> DataFrame:
+    """About ``each`` rows of every lang, all of those with fewer: the rows with the smallest hashes of their id."""
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("_n"))
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52)) / float(1 << 52)
+    return labelled.join(F.broadcast(sizes), "lang").where(share < each / F.col("_n")).drop("_n")
+
+
+def fit(labelled: DataFrame, each: int = 2_000) -> Model:
     """A model from (doc_id, text, lang).
 
-    ``sample`` bounds the rows that it learns from: those with the smallest hash of their id.
-    ``vocabulary`` bounds the words that it keeps of a language: the most frequent, ties by the word.
-    Rows with a null id, text or lang teach nothing. Without rows the model says ``und``.
+    ``each`` bounds the rows that it learns from, language by language; of those, every word counts,
+    for words and for n-grams. Rows with a null id, text or lang teach nothing. A language is named by
+    every row, so there are few; without rows the model says ``und``.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    picked = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    few = rows.join(F.broadcast(picked), "doc_id", "left_semi")
-    words = few.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
-    n = words.groupBy("lang", "word").count()
-    top = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
-    kept = n.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= vocabulary)
+    words = sampled(rows, each).select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
     counts: dict[str, Counter] = defaultdict(Counter)
-    for lang, word, k in kept.select("lang", "word", "count").collect():
+    for lang, word, k in words.groupBy("lang", "word").count().collect():
         counts[lang][word] = k
     return Model(counts)
 
@@ -113,6 +118,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     ``docs`` needs doc_id, held_out and text. A null text, or one without a letter, is ``und`` with
     score 0. Repeated rows are each predicted.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
