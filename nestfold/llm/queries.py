@@ -11,6 +11,7 @@ from nestfold.storage import new_path
 
 
 def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted: a row for each row of ``documents``, null ids too; null and empty texts are scored on features of 0."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = langid.held_out(F.col("doc_id"), 3, 1)
     model = quality.fit(docs, labels.where(~held))
@@ -19,6 +20,7 @@ def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: a row an id (see ``tables``); null text is empty; a single document is its own next."""
     return imatch.compared(texts(table(spark, sf_dir, "documents")))
 
 
@@ -30,7 +32,8 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = texts(table(spark, sf_dir, "pages"), "page_id", "html")
+    """page_id, payload_bytes, payload_digest, record_type, refers_to: a row an id (see ``tables``); null html is empty; of equal payloads the smallest page_id is the response."""
+    pages = texts(table(spark, sf_dir, "pages"), "page_id", "html", "url")
     path = new_path(spark, "warc")
     warc.write(warc.payloads(pages), path, segment=16 << 10)
     back = warc.reassembled(warc.read(spark, path))
@@ -38,11 +41,13 @@ def op4_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id: a row an id (see ``tables``); texts without words have fingerprint 0 and link like others."""
     found = simhash.near_duplicates(texts(table(spark, sf_dir, "documents")))
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, matched, n_shingles, containment: each document with an item of which it has 0.8 of the 5-word shingles; none for documents or items without words."""
     return decontamination.contained(texts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
@@ -53,19 +58,23 @@ def _vocabulary() -> dict[str, str]:
 
 
 def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row a piece; a null or empty text is the one id 0."""
     return packing.packed(texts(table(spark, sf_dir, "documents")), **_vocabulary())
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score: a row for each row of ``documents``, null ids too; ``und`` and 0 for null text and text without a letter; of equal sums the first lang by name."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id"), 4, 2))
     return langid.predict(docs, langid.fit(docs.where("NOT held_out").select("doc_id", "text", "lang")))
 
 
 def op9_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard: a row an id (see ``tables``), under the law ``bytes``; equal texts are in one shard unless they outweigh it."""
     return kd_shards.shard(texts(table(spark, sf_dir, "documents")), 8)
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict, block_score: a row for each row of ``pages``, null ids and urls too; of rules that fit the longest wins."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict", "block_score")
 

@@ -11,11 +11,13 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nestfold.llm.tables import small_batches
 from nestfold.storage import written
 
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122, for URLs
@@ -34,6 +36,11 @@ def _record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return head.encode() + block + END
 
 
+def _line(url: str | None) -> str:
+    """A url that does not end the header line that it is in."""
+    return quote(url, safe="".join(chr(i) for i in range(33, 127))) if url else ""
+
+
 def chunked(payload: bytes, size: int = 4096) -> bytes:
     """The chunked transfer framing of a payload."""
     parts = [payload[i : i + size] for i in range(0, len(payload), size)]
@@ -55,13 +62,13 @@ def unchunked(body: bytes) -> bytes:
         at += size + 2
 
 
-def records_of(page_id: int, payload: bytes, refers_to: int | None, segment: int) -> Iterator[bytes]:
-    """The records of one page: a revisit, or a response in as many segments as it needs."""
+def records_of(page_id: int, payload: bytes, refers_to: int | None, segment: int, url: str | None = None) -> Iterator[bytes]:
+    """The records of one page: a revisit, or a response in as many segments as it needs. Without a url, ``page:<id>`` stands for it."""
     digest = "sha256:" + hashlib.sha256(payload).hexdigest()
-    common = [("WARC-Date", DATE), ("WARC-Target-URI", f"page:{page_id}"), ("X-Payload-Length", len(payload)), ("Content-Type", "application/http; msgtype=response")]
+    common = [("WARC-Date", DATE), ("WARC-Target-URI", _line(url) or f"page:{page_id}"), ("X-Page-Id", page_id), ("X-Payload-Length", len(payload)), ("Content-Type", "application/http; msgtype=response")]
     if refers_to is not None:
         head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-        yield _record([("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(page_id)), *common, ("WARC-Payload-Digest", digest), ("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to)), ("WARC-Refers-To-Target-URI", f"page:{refers_to}")], head)
+        yield _record([("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(page_id)), *common, ("WARC-Payload-Digest", digest), ("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Page-Id", refers_to)], head)
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
@@ -93,18 +100,19 @@ def payloads(pages: DataFrame, least: int = 100) -> DataFrame:
 
     One row for each page_id that is not null (of repeated ids the smallest html); null html is empty.
     The digests of repeated payloads are a table of their own, so that a payload that a third of
-    the pages share meets it in a join whose partitions Spark can split.
+    the pages share meets it in a join whose partitions Spark can split. A column url is kept.
     """
     rows = pages.withColumn("_digest", F.sha2(F.encode("html", "UTF-8"), 256))
     long = F.octet_length("html") >= least
     seen = rows.where(long).groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
     seen = written(seen.select("_digest", "_first"), "warc-seen")
     found = rows.join(seen, "_digest", "left")
-    return found.select("page_id", "html", F.when(F.col("_first") < F.col("page_id"), F.col("_first")).alias("refers_to"))
+    more = ["url"] if "url" in pages.columns else []
+    return found.select("page_id", "html", F.when(F.col("_first") < F.col("page_id"), F.col("_first")).alias("refers_to"), *more)
 
 
-def write(rows: DataFrame, path: str, segment: int = 1 << 20, records_per_file: int = 2000) -> None:
-    """Write (page_id, html, refers_to) as archives of up to ``records_per_file`` records under ``path``.
+def write(rows: DataFrame, path: str, segment: int = 64 << 10, records_per_file: int = 1000) -> None:
+    """Write (page_id, html, refers_to, and url if there) as archives of up to ``records_per_file`` records under ``path``.
 
     The records go out through Spark's own text writer, from the tasks that make them, so ``path``
     may be in any store that Spark writes to, and a retried task replaces its files. Each record is
@@ -114,8 +122,9 @@ def write(rows: DataFrame, path: str, segment: int = 1 << 20, records_per_file:
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out, size = [], 0
-            for p, html, r in zip(batch["page_id"], batch["html"], batch["refers_to"], strict=True):
-                for x in records_of(int(p), html.encode(), None if pd.isna(r) else int(r), segment):
+            urls = batch["url"] if "url" in batch else [None] * len(batch)
+            for p, html, r, url in zip(batch["page_id"], batch["html"], batch["refers_to"], urls, strict=True):
+                for x in records_of(int(p), html.encode(), None if pd.isna(r) else int(r), segment, url):
                     out.append(x[:-1])
                     size += len(x)
                 if size > 4 << 20:
@@ -123,6 +132,7 @@ def write(rows: DataFrame, path: str, segment: int = 1 << 20, records_per_file:
                     out, size = [], 0
             yield pd.DataFrame({"record": out})
 
+    small_batches(rows.sparkSession)
     made = rows.mapInPandas(records, "record binary")
     # the writer ends each row with the newline that was taken off above; the cast leaves the bytes as they are
     made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).text(path)
@@ -138,8 +148,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     (
                         h["warc-record-id"],
                         h["warc-type"],
-                        int(h["warc-target-uri"].removeprefix("page:")),
-                        int(x.removeprefix("page:")) if (x := h.get("warc-refers-to-target-uri")) else None,
+                        int(h["x-page-id"]),
+                        int(x) if (x := h.get("x-refers-to-page-id")) else None,
                         h.get("warc-segment-origin-id", h["warc-record-id"]),
                         int(x) if (x := h.get("warc-segment-number")) else None,
                         int(x) if (x := h.get("warc-segment-total-length")) else None,
