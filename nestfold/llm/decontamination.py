@@ -1,10 +1,11 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 A test item is contained in a document if at least ``share`` of its distinct word shingles are. Items
-are partitioned by their number of shingles n; an item's sketch is its k smallest shingle hashes,
-with k = n - ceil(share * n) + 1 for its partition, which is the shortest sketch of which a document
-with enough of the item must hold one. So the search loses nothing, however long the document is.
-Documents' shingles probe the sketches; candidates are verified by exact shingle containment.
+are partitioned by the power of two below their number of shingles n. An item's MinHash sketch is its
+k smallest shingle hashes, k being one number for a partition: the largest n - ceil(share * n) + 1 of
+its items, so that a document with enough of an item must hold one of its sketch. So the search loses
+nothing, however long the document is and however short the item. Documents' shingles probe the
+sketches; candidates are verified by exact shingle containment.
 """
 
 from __future__ import annotations
@@ -55,8 +56,11 @@ def contained(docs: DataFrame, items: DataFrame, share: float = 0.8, width: int
     parts = written(item_shingles(items, width), "items")
     lengths = [r["width"] for r in parts.select("width").distinct().collect()]  # at most ``width`` values
     need = F.ceil(F.lit(share) * F.col("n") - 1e-9)
-    smallest = F.slice(F.sort_array(F.collect_list("h")), 1, F.max(F.col("n") - need + 1).cast("int"))
-    sketch = written(parts.groupBy("item_id").agg(smallest.alias("hs")).select("item_id", F.explode("hs").alias("h")), "sketch")
+    size = F.floor(F.log2("n")).alias("partition")
+    k = parts.groupBy(size).agg(F.max(F.col("n") - need + 1).cast("int").alias("k"))  # 31 partitions at most
+    items_of = parts.groupBy("item_id", size).agg(F.sort_array(F.collect_list("h")).alias("hs"))
+    smallest = items_of.join(F.broadcast(k), "partition").select("item_id", F.slice("hs", 1, F.col("k")).alias("hs"))
+    sketch = written(smallest.select("item_id", F.explode("hs").alias("h")), "sketch")
     keys = sketch.select("h").distinct()
     keys = F.broadcast(keys) if sketch.count() <= BROADCAST_ROWS else keys
 
