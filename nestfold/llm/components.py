@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nestfold.storage import written
+from nestfold.storage import drop, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step over (u, v). Least neighbours are a written table, so that the join with a node of
-    very many links has two plain exchanges, whose partitions Spark can split."""
+    """One step over (u, v), as a written table. Least neighbours are a written table too, so that the join with
+    a node of very many links has two plain exchanges, whose partitions Spark can split."""
     both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")) if not large else edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
     met = both.join(least, "u")
@@ -18,14 +18,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = met.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-    return out.where("u <> v").distinct()
+    made = written(out.where("u <> v").distinct(), "edges")
+    drop(least)
+    return made
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component_id): each node of ``edges`` (u, v) and the smallest node that it reaches.
 
     Nodes without links to others are not in the result. Repeated and self links are harmless.
-    Every step is a written table; links never go to the driver, only their number and checksum.
+    Every step is a written table, which goes once the next one is there; links never go to the
+    driver, only their number and checksum.
     """
     edges = written(edges.where("u <> v").distinct(), "edges")
     seen = None
@@ -34,4 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
         if now == seen or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component_id")).union(edges.select(F.col("v"), F.col("v"))).distinct()
         seen = now
-        edges = written(_star(written(_star(edges, True), "edges"), False), "edges")
+        larger = _star(edges, True)
+        smaller = _star(larger, False)
+        drop(edges)
+        drop(larger)
+        edges = smaller
