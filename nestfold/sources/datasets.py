@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -87,6 +88,13 @@ def read(spark: SparkSession, path: str, dataset: Dataset, first: int = 0, stop:
     return rows if stop is None else rows.where(F.col("entry") < stop)
 
 
+def chunks(spark: SparkSession, path: str, dataset: Dataset, step: int, first: int = 0, stop: int | None = None) -> Iterator[DataFrame]:
+    """A file's entries from ``first`` to before ``stop``, ``step`` at a time; for what has to go chunk by chunk, as Spark itself splits its input."""
+    end = read(spark, path, dataset).count() if stop is None else stop
+    for at in range(first, end, step):
+        yield read(spark, path, dataset, at, min(at + step, end))
+
+
 def keyed(rows: DataFrame, dataset: Dataset, file_id: int | Column = 0, layout: KeyLayout | None = None) -> DataFrame:
     """``rows`` with event_id: packed, or taken from the dataset's own column, which allows no file id."""
     if dataset.id_column:

@@ -9,7 +9,7 @@ from nestfold.functions import lists, statistics
 from nestfold.functions.keys import KeyLayout, Manifest, ShardMap, check_conversion
 from nestfold.operators import nesting, regression, shards, tables
 from nestfold.plans import adl
-from nestfold.sources.datasets import DIMUON, NANOAOD, keyed, read, sample_rows, synthetic_events
+from nestfold.sources.datasets import DIMUON, NANOAOD, chunks, keyed, read, sample_rows, synthetic_events
 from nestfold.sources.datasets import tables as tables_of
 from nestfold.streaming.ingest import ingest_new
 
@@ -139,6 +139,8 @@ def test_stream_refuses_what_is_not_listed(spark, tmp_path):
 
 def test_a_folder_of_several_files_has_no_places(spark, tmp_path):
     sample_rows(spark, 40, 1).repartition(3).write.parquet(str(tmp_path / "many"))
+    sample_rows(spark, 40, 1).coalesce(1).write.parquet(str(tmp_path / "one"))
+    assert [c.count() for c in chunks(spark, str(tmp_path / "one"), NANOAOD, 15, 5)] == [15, 15, 5]
     with pytest.raises(ValueError, match="file id of its own"):
         read(spark, str(tmp_path / "many"), NANOAOD)
 

@@ -1,9 +1,12 @@
 """The read-only tools, scoring, the regressor and the command line."""
 
+import importlib.util
 import io
 import json
 import threading
 import urllib.request
+from pathlib import Path
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +106,12 @@ def test_summary_of_values(tools):
     assert said["n"] == 300 and len(said["first"]) == 8 and sum(said["histogram"]["counts"]) == 300
 
 
+def test_picture(tools):
+    said = tools.call("plot_result", sql="SELECT met_pt FROM events", title="MET <all>", bins=20, x_range=[0, 50])
+    picture = ElementTree.fromstring(said["svg"])
+    assert said["bins"] == 20 and said["outside"] > 0 and len(picture.findall("{*}rect")) == 21 and "MET <all>" in "".join(picture.itertext())
+
+
 def test_conversation(tools):
     calls = iter([{"tool": "run_sql", "args": {"sql": "SELECT count(*) FROM jets"}}, {"tool": "submit_answer", "args": {"sql": "SELECT met_pt FROM events"}}])
     heard = []
@@ -185,3 +194,11 @@ def test_command_line(spark, flat, tmp_path, capsys):
     assert run("bench", at("root"), "--repeats", "1") == 0
     assert run("agent", "questions") == 0
     assert run("ingest", at("x"), "--manifest", at("missing.json")) == 2
+
+
+def test_walkthrough(spark, tmp_path):
+    spec = importlib.util.spec_from_file_location("walkthrough", Path(__file__).parent.parent / "examples" / "walkthrough.py")
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    counts = module.tour(spark, str(tmp_path), 200)
+    assert counts["Q7"] == 200 and 0 < counts["Q6"] < 200 and (tmp_path / "Q6.svg").read_text().startswith("<svg")
