@@ -451,12 +451,12 @@ def array_math(spark, d):
     )
 
 
-@query("SELECT event_id, CAST(k AS INTEGER) AS k, round(met_pt * k / 8, 6) AS x, CAST(k % 3 = 0 AS BOOLEAN) AS third FROM ev CROSS JOIN range(9) t(k) WHERE event_id % 10 = 0")
+@query("SELECT event_id, CAST(k AS INTEGER) AS k, round(met_pt * k / 8, 8) AS x, CAST(k % 3 = 0 AS BOOLEAN) AS third FROM ev CROSS JOIN range(9) t(k) WHERE event_id % 10 = 0")
 def array_builders(spark, d):
     """Evenly spaced numbers up to each event's MET, for every tenth event."""
     grid = F.transform(lists.linspace(0.0, 1.0, 9), lambda x, k: F.struct(k.alias("k"), x.alias("x")))
     made = events(spark, d).where("event_id % 10 = 0").select("event_id", "met_pt", F.explode(grid).alias("g"))
-    return made.select("event_id", "g.k", F.round(F.col("met_pt") * F.col("g.x"), 6).alias("x"), (F.pmod("g.k", F.lit(3)) == 0).alias("third"))
+    return made.select("event_id", "g.k", F.round(F.col("met_pt") * F.col("g.x"), 8).alias("x"), (F.pmod("g.k", F.lit(3)) == 0).alias("third"))
 
 
 @query("SELECT o_orderkey, (8192 + o_orderkey // 1000) * 1099511627776 + o_orderkey % 1000 AS event_id, 8192 + o_orderkey // 1000 AS file_id, o_orderkey % 1000 AS entry FROM orders", True)
