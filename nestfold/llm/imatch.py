@@ -9,8 +9,9 @@ A fingerprint hashes the sorted distinct in-band terms of a text once for each s
   leaves some of them as they were. The densities are for the text's own size, a half and a quarter
   of that, so any two texts of like size have densities in common.
 
-The likeness of two fingerprints is the share of equal hashes, among the subsets of which either has
-a term, at the densities that both have. It is 1 only if all wide hashes agree too.
+The likeness of two fingerprints is the share of equal hashes, among the disjoint subsets of which
+either has a term, at the densities that both have; all wide subsets, which hash the same terms again
+and again, count as one more. It is 1 only if they all agree too.
 
 The band's rare end is a share of all documents, so with m distinct terms in a document on average
 the lexicon has at most m / rare terms, however many documents there are.
@@ -138,7 +139,7 @@ def likeness(a: Column, b: Column) -> Column:
     both = total(F.zip_with(x, y, lambda p, q: F.when((p == q) & (p != 0), 1).otherwise(0)))
     any_ = total(F.zip_with(x, y, lambda p, q: F.when((p != 0) | (q != 0), 1).otherwise(0)))
     wide = total(F.zip_with(a["wide"], b["wide"], lambda p, q: F.when(p == q, 1).otherwise(0)))
-    share = (both + wide) / (any_ + WIDE)
+    share = (both + wide / WIDE) / (any_ + 1)
     return F.when((a["level"] < 0) | (b["level"] < 0), (a == b).cast("double")).when(F.abs(up) >= LEVELS, 0.0).otherwise(share)
 
 

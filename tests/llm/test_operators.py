@@ -294,7 +294,7 @@ def slow_imatch(by_id, common=0.2, rare=0.0005):
             return 0.0
         x, y = a[2][max(up, 0) * 32 :][: (3 - abs(up)) * 32], b[2][max(-up, 0) * 32 :][: (3 - abs(up)) * 32]
         both, any_ = sum(p == q != 0 for p, q in zip(x, y, strict=True)), sum((p or q) != 0 for p, q in zip(x, y, strict=True))
-        return (both + sum(p == q for p, q in zip(a[1], b[1], strict=True))) / (any_ + 8)
+        return (both + sum(p == q for p, q in zip(a[1], b[1], strict=True)) / 8) / (any_ + 1)
 
     ids = sorted(by_id)
     out = {}
