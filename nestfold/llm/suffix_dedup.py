@@ -266,7 +266,7 @@ def repeated(b: pd.DataFrame, length: int, seed: int) -> pd.DataFrame:
     return found.spans()
 
 
-def spans(docs: DataFrame, length: int = 50, seed: int = 25, hot: int = 4000, filter_bits: int = FILTER_BITS) -> DataFrame:
+def spans(docs: DataFrame, length: int = 50, seed: int = 25, hot: int = 20_000, filter_bits: int = FILTER_BITS) -> DataFrame:
     """(doc_id, spans): array of (first, last, source), the words from ``first`` to before ``last`` that are in ``source`` before.
 
     ``docs`` is (doc_id, text) with one row per id; words are what white space separates. ``source``
