@@ -100,10 +100,9 @@ def q8(events: DataFrame) -> DataFrame:
 def zmumu_flat(events: DataFrame) -> DataFrame:
     """Mass of the two muons of events with exactly two, of opposite charge, in 60 < m < 120."""
     first, second = F.get("muons", F.lit(0)), F.get("muons", F.lit(1))
-    made = events.where((F.size("muons") == 2) & (first["charge"] + second["charge"] == 0))
-    vector = lambda o: p4(o["pt"], o["eta"], o["phi"], o["mass"])
-    one = F.filter(F.array(pair_mass(vector(first), vector(second))), lambda m: (m > 60) & (m < 120))
-    return _value(made, F.explode(one))
+    made = events.where((F.size("muons") == 2) & (first["charge"] + second["charge"] == 0)).withColumn("_m", with_p4(F.col("muons")))
+    one = pairs(F.col("_m"), lambda a, b: pair_mass(a["v"], b["v"]))
+    return _value(made, F.explode(F.filter(one, lambda m: (m > 60) & (m < 120))))
 
 
 def zmumu_jagged(events: DataFrame) -> DataFrame:
