@@ -6,8 +6,8 @@ a long path does not thin out what the host says.
 
 The table used by default follows from ``data/url_words.csv``: words that were written down for it by
 kind of site (what public block lists sort by: adult, gambling, pharmacy spam, phishing, malware, piracy,
-link spam, advertising; and ordinary sites), without a look at the tables that are judged. Each word is
-put into hosts with neutral paths, and into paths of neutral hosts, short and long.
+link spam, advertising; and ordinary sites), without a look at the tables that are judged; what was known
+of them beforehand is told in the README. Each word is put into hosts with neutral paths, and into paths of neutral hosts, short and long.
 """
 
 from __future__ import annotations
