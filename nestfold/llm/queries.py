@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from nestfold.llm import decontamination, imatch, kd_shards, langid, packing, quality, simhash, suffix_dedup, url_filter, warc
 from nestfold.llm.tables import table, texts
-from nestfold.storage import new_path
+from nestfold.storage import new_path, written
 
 
 def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted: a row for each row of ``documents``, null ids too; null and empty texts are scored on features of 0."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = langid.held_out(F.col("doc_id"), 3, 1)
-    model = quality.fit(docs, labels.where(~held))
-    scored = quality.scores(docs, model, "doc_id")
+    found = written(quality.featured(docs, "doc_id"), "quality-features")
+    scored = quality.scored(found, quality.learned(found, labels.where(~held)), "doc_id")
     return scored.select("doc_id", langid.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

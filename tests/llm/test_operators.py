@@ -425,6 +425,41 @@ def test_quality_held_out(spark):
     assert quality.fit(docs, labels.where("false")).score(np.zeros((1, len(quality.NAMES))))[0] > 0.5
 
 
+def test_quality_of_all_pairs(spark):
+    """The model is that of every pair of a good and a bad document, listed one by one."""
+    rng = random.Random(8)
+    rows = [(i, prose(rng.randint(5, 60), rng).capitalize() + rng.choice([".", "", "!!"]), int(rng.random() < 0.7)) for i in range(240)]
+    rows = [(i, t.upper() if not q and rng.random() < 0.5 else t, q) for i, t, q in rows] + [(500, "", 0), (501, None, 1)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    model = quality.fit(docs, spark.createDataFrame([(i, q) for i, _, q in rows] + [(7, None), (None, 1), (8, 9)], "doc_id long, quality int"))
+    x = np.array([quality.features(t).astype("float32") for _, t, _ in rows], float)
+    good = np.array([q for *_, q in rows]) == 1
+    z = (x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-6)
+    d, w = (z[good][:, None] - z[~good][None]).reshape(-1, z.shape[1]), np.zeros(z.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(d @ w))
+        w = w + np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + 1e-3 * np.eye(len(w)), d.T @ p / len(d) - 1e-3 * w)
+    u = z @ w
+    assert model.weights == pytest.approx(w, abs=1e-5)
+    assert model.threshold == pytest.approx(np.sort(u)[[(~good).sum() - 1, (~good).sum()]].mean(), abs=1e-5)
+    assert model.slope == pytest.approx(8 / (np.median(u[good]) - np.median(u[~good])), rel=1e-4)
+    assert [r["score"] for r in quality.scores(docs, model, "doc_id").orderBy("doc_id").collect()] == pytest.approx([r["score"] for r in quality.scored(quality.featured(docs, "doc_id"), model, "doc_id").orderBy("doc_id").collect()])
+
+
+def test_quality_learns_from_every_label(spark):
+    """Of more than 40,000 labels each one counts, in the means and in the threshold."""
+    n = 42_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("Word "), F.repeat(F.lit("a, "), (F.col("id") % 13).cast("int")), F.sha2(F.col("id").cast("string"), 256)).alias("text"))
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 13 > 2 or doc_id % 100 = 0 as int) as quality")
+    model = quality.fit(docs, labels)
+    x = np.array([quality.features(r["text"]).astype("float32") for r in docs.orderBy("doc_id").collect()], float)
+    assert model.centre == pytest.approx(x.mean(axis=0), rel=1e-9, abs=1e-12)
+    assert model.scale == pytest.approx(np.maximum(x.std(axis=0), 1e-6), rel=1e-6)
+    u, bad = np.sort(model.utility(x)), sum(i % 13 <= 2 and i % 100 != 0 for i in range(n))
+    assert model.threshold == pytest.approx((u[bad - 1] + u[bad]) / 2, rel=1e-12)
+    assert u[bad - 1] == u[bad] and (model.score(x) >= 0.5).sum() == (u >= u[bad]).sum()  # a tie, which counts as good
+
+
 def test_language_backoff(spark, empty):
     model = langid.Model({"aa": Counter({"the": 9, "them": 2}), "bb": Counter({"der": 9, "dem": 2})})
     assert model.predict("the the", {})[0] == "aa"
