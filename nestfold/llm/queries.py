@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nestfold.llm import decontamination, imatch, kd_shards, langid, packing, quality, simhash, suffix_dedup, url_filter, warc
+from nestfold.llm import decontamination, imatch, kd_shards, langid, packing, quality, runs, simhash, suffix_dedup, url_filter, warc
 from nestfold.llm.tables import table, texts
 from nestfold.storage import new_path, written
 
@@ -79,11 +81,34 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
+def _with_a_period(doc_id: int, words: list[bytes]) -> list[bytes]:
+    """The words of a tenth of the documents, by the crc32 of their id, made periodic from some word on."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    return words[:a] + (words[a : a + 1 + (n - a) // (3 + g % 8)] * (3 + g % 8 + 1))[: n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_runs, start, length, period, exponent_milli, runs_sha256, collapsed_sha256: a row an id (see ``tables``); without a run four nulls and hashes of no runs; null and empty texts have no words."""
+    found = runs.find(texts(table(spark, sf_dir, "documents")), 12, _with_a_period)
+    told = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    best = found.withColumn("best", runs.longest(F.col("runs")))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(told, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_ranking, op2_imatch_fingerprints, op3_suffix_array_dedup, op4_warc_reassembly, op5_simhash_near_dedup,
         op6_benchmark_decontamination, op7_pattern_packing, op8_language_id, op9_kd_tree_sharding, op10_url_filter,
+        op11_periodic_runs,
     )
 }
 
