@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nestfold.llm import decontamination, imatch, kd_shards, langid, packing, quality, runs, simhash, suffix_dedup, url_filter, warc
+from nestfold.llm import alignment, decontamination, imatch, kd_shards, langid, packing, quality, runs, simhash, suffix_dedup, url_filter, warc
 from nestfold.llm.tables import table, texts
 from nestfold.storage import new_path, written
 
@@ -103,12 +103,22 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256: a row an id (see ``tables``); zeros and '' for null and empty texts and those whose tokens do not spell them."""
+    import public_tokenizers
+
+    path = public_tokenizers.path
+    files = alignment.Files(path("byte_bpe_50k.json"), path("piece_bpe_32k.model"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    found = alignment.align(texts(table(spark, sf_dir, "documents")), files)
+    return found.withColumn("groups_sha256", F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")).drop("groups")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_ranking, op2_imatch_fingerprints, op3_suffix_array_dedup, op4_warc_reassembly, op5_simhash_near_dedup,
         op6_benchmark_decontamination, op7_pattern_packing, op8_language_id, op9_kd_tree_sharding, op10_url_filter,
-        op11_periodic_runs,
+        op11_periodic_runs, op13_token_alignment,
     )
 }
 
