@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nestfold.llm import alignment, decontamination, imatch, kd_shards, langid, packing, quality, runs, simhash, suffix_dedup, url_filter, warc
+from nestfold.llm import alignment, decontamination, graph_search, imatch, kd_shards, langid, packing, quality, runs, simhash, suffix_dedup, url_filter, warc
 from nestfold.llm.tables import table, texts
 from nestfold.storage import new_path, written
 
@@ -103,6 +103,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 20 nearest found of each vector whose id is divisible by 20; none for vectors that take no part (see ``graph_search.fit_vectors``); of a repeated id the smallest vector counts."""
+    vectors = written(graph_search.fit_vectors(table(spark, sf_dir, "embeddings")), "fit-vectors")
+    return graph_search.search(graph_search.index(vectors), vectors.where("vec_id % 20 = 0"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256: a row an id (see ``tables``); zeros and '' for null and empty texts and those whose tokens do not spell them."""
     import public_tokenizers
@@ -118,7 +124,7 @@ QUERIES = {
     for f in (
         op1_quality_ranking, op2_imatch_fingerprints, op3_suffix_array_dedup, op4_warc_reassembly, op5_simhash_near_dedup,
         op6_benchmark_decontamination, op7_pattern_packing, op8_language_id, op9_kd_tree_sharding, op10_url_filter,
-        op11_periodic_runs, op13_token_alignment,
+        op11_periodic_runs, op12_graph_search, op13_token_alignment,
     )
 }
 
