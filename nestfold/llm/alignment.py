@@ -26,7 +26,9 @@ from nestfold.llm.tables import small_batches
 from nestfold.storage import make_folder, new_path, written
 
 #: Partial counts are merged beyond so many new keys, and given out beyond so many keys.
-_MERGE, _HELD = 1 << 20, 1 << 22
+_MERGE, _HELD = 1 << 18, 1 << 22
+#: Bytes of a batch, which holds many more bytes of tokens, places and names in Python.
+_BATCH = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -85,7 +87,7 @@ def tokens(docs: DataFrame, files: Files) -> DataFrame:
 
     Both are empty where a text is null or empty, and where the bytes of either do not spell the space and the text.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, _BATCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, other = ByteLevel(files), Pieces(files)
@@ -197,19 +199,29 @@ def partial_counts(aligned: DataFrame, a_bytes: np.ndarray, b_bytes: np.ndarray)
     return aligned.select("a", "b").mapInArrow(run, "key long, n long")
 
 
+def _run_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sums of runs of equal keys of sorted batches; a run may go on in the next batch."""
+    held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for batch in batches:
+        new = (batch.column(i).to_numpy() for i in (0, 1))
+        keys, n = _summed(*(np.concatenate(x) for x in zip(held, new, strict=True)))
+        held = keys[-1:], n[-1:]
+        yield keys[:-1], n[:-1]
+    yield held
+
+
+def _sorted(partial: DataFrame) -> DataFrame:
+    return partial.select("key", "n").repartitionByRange("key").sortWithinPartitions("key")
+
+
 def counts(partial: DataFrame) -> DataFrame:
     """(key, n): each key once, in order within and across partitions. partial: a written table, which ranges are sampled from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64))  # the last key goes on in the next batch
-        for batch in batches:
-            new = (batch.column(i).to_numpy() for i in (0, 1))
-            keys, n = _summed(*(np.concatenate(x) for x in zip(held, new, strict=True)))
-            held = keys[-1:], n[-1:]
-            yield _counted(keys[:-1], n[:-1])
-        yield _counted(*held)
+        for keys, n in _run_lengths(batches):
+            yield _counted(keys, n)
 
-    return partial.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, "key long, n long")
+    return _sorted(partial).mapInArrow(run, "key long, n long")
 
 
 @dataclass(frozen=True)
@@ -241,44 +253,44 @@ def _file_system(path: str):
 def _array(path: str) -> tuple[np.ndarray, np.ndarray]:
     """The (keys, counts) of a shard: mapped into memory from a mounted folder, read from another store."""
     if urlsplit(path).scheme in ("", "file"):
-        values = np.memmap(unquote(urlsplit(path).path), np.int64, "r")
-    else:
-        system, name = _file_system(path)
+        name = unquote(urlsplit(path).path)
+        return np.memmap(f"{name}.keys", np.int64, "r"), np.memmap(f"{name}.n", np.int64, "r")
+    found = []
+    for end in ("keys", "n"):
+        system, name = _file_system(f"{path}.{end}")
         with system.open_input_file(name) as f:
-            values = np.frombuffer(f.read_buffer(), np.int64)
-    half = len(values) // 2
-    return values[:half], values[half:]
+            found.append(np.frombuffer(f.read_buffer(), np.int64))
+    return found[0], found[1]
 
 
-def shards(found: DataFrame, n_a: int) -> Shards:
-    """Each partition of ``counts`` written as a shard, keys and then counts.
+def shards(partial: DataFrame, n_a: int) -> Shards:
+    """The ``counts`` of ``partial``, each partition written as a shard of two files as its runs are summed.
 
-    A task may run again: every try has a file of its own, and only the files of tries that ended are
+    A task may run again: every try has files of its own, and only those of tries that ended are
     told to the driver, with a row for each first id of a pair (``n_a`` and one a shard at most).
     """
-    spark = found.sparkSession
+    spark = partial.sparkSession
     folder = new_path(spark, "pair-counts")
     make_folder(spark, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for batch in batches:
-            keys.append(batch.column(0).to_numpy())
-            n.append(batch.column(1).to_numpy())
-        keys, n = np.concatenate(keys), np.concatenate(n)
-        if not len(keys):
-            return
-        path = f"{folder}/{uuid.uuid4().hex}.bin"
+        path, best, first = f"{folder}/{uuid.uuid4().hex}", {}, None
         system, name = _file_system(path)
-        with system.open_output_stream(name) as f:
-            f.write(memoryview(keys).cast("B"))
-            f.write(memoryview(n).cast("B"))
-        one = keys >> 32
-        first = np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1]]))
-        rows = [pa.array([path] * len(first)), pa.array(np.full(len(first), keys[0])), pa.array(one[first]), pa.array(np.maximum.reduceat(n, first))]
-        yield pa.RecordBatch.from_arrays(rows, ["path", "first", "a", "best"])
-
-    told = written(found.mapInArrow(run, "path string, first long, a long, best long"), "shards")
+        with system.open_output_stream(f"{name}.keys") as some, system.open_output_stream(f"{name}.n") as others:
+            for keys, n in _run_lengths(batches):
+                if len(keys):
+                    first = int(keys[0]) if first is None else first
+                    some.write(memoryview(np.ascontiguousarray(keys)).cast("B"))
+                    others.write(memoryview(np.ascontiguousarray(n)).cast("B"))
+                    one = keys >> 32
+                    at = np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1]]))
+                    for a, most in zip(one[at].tolist(), np.maximum.reduceat(n, at).tolist(), strict=True):
+                        best[a] = max(best.get(a, 0), most)
+        if best:
+            rows = [pa.array([path] * len(best)), pa.array([first] * len(best), pa.int64()), pa.array([*best], pa.int64()), pa.array([*best.values()], pa.int64())]
+            yield pa.RecordBatch.from_arrays(rows, ["path", "first", "a", "best"])
+
+    told = written(_sorted(partial).mapInArrow(run, "path string, first long, a long, best long"), "shards")
     at = told.select("path", "first").distinct().orderBy("first").collect()
     best = np.zeros(n_a, np.int64)
     for a, n in told.groupBy("a").agg(F.max("best")).collect():
@@ -299,7 +311,7 @@ def align(docs: DataFrame, files: Files) -> DataFrame:
     n_a, n_b = len(names_a), len(names_b)
     aligned = written(tokens(docs, files), "tokens")
     partial = written(partial_counts(aligned, *lengths), "partial-counts")
-    known = spark.sparkContext.broadcast(shards(counts(partial), n_a))
+    known = spark.sparkContext.broadcast(shards(partial, n_a))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, found = _names(n_a, n_b), known.value
@@ -313,5 +325,5 @@ def align(docs: DataFrame, files: Files) -> DataFrame:
             spelled = pa.array(rows.groups(names, n_a, n_b), pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in (*numbers, *sums)], spelled], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
 
-    small_batches(spark)
+    small_batches(spark, _BATCH)
     return aligned.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")

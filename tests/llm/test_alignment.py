@@ -92,8 +92,10 @@ def test_counts_are_sorted_shards(spark, parts, monkeypatch):
     keys = rng.integers(0, 40, 5000) << 32 | rng.integers(0, 20, 5000)
     partial = written(spark.createDataFrame([(int(k), 1) for k in keys], "key long, n long").repartition(5), "partial")
     spark.conf.set("spark.sql.shuffle.partitions", parts)
-    made = alignment.shards(alignment.counts(partial), 40)
+    made = alignment.shards(partial, 40)
+    listed = [(r["key"], r["n"]) for r in alignment.counts(partial).collect()]
     spark.conf.set("spark.sql.shuffle.partitions", 8)
     values, n = np.unique(keys, return_counts=True)
+    assert listed == list(zip(values.tolist(), n.tolist(), strict=True))
     assert (made.look_up(values) == n).all() and len(made.paths) <= parts
     assert made.best.tolist() == [int(n[values >> 32 == a].max()) for a in range(40)]
