@@ -19,7 +19,7 @@ os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 from pyspark.sql import SparkSession
 
 from nestfold.functions.keys import Manifest
-from nestfold.operators import nesting, tables
+from nestfold.operators import nesting, record, tables
 from nestfold.plans import adl
 from nestfold.sources import datasets
 from nestfold.tools.analysis import TASKS, Analysis
@@ -36,7 +36,7 @@ def tour(spark: SparkSession, out: str, events: int = 5000) -> dict[str, int]:
     with stages("load"):
         listed = Manifest()
         listed.add(f"{out}/source", events)
-        tables.ingest(spark, listed, datasets.NANOAOD, f"{out}/tables")
+        record.ingest(spark, listed, datasets.NANOAOD, f"{out}/tables")
     flat = {n: tables.stored(spark, f"{out}/tables", n).drop("file_id") for n in ("events", "jets", "muons")}
     nested = nesting.nest(flat["events"], {n: flat[n] for n in ("jets", "muons")}, {"jets": "jet_index", "muons": "muon_index"})
     tools = Analysis(spark, flat | {"nested": nested})

@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 
 from nestfold.functions.keys import KeyLayout, Manifest, ShardMap
 from nestfold.functions.kinematics import mass, total
-from nestfold.operators import nesting, regression, shards, tables
+from nestfold.operators import nesting, record, regression, shards, tables
 from nestfold.plans import adl
 from nestfold.sources import datasets
-from nestfold.storage import exists
 from nestfold.tools import analysis, mcp, timing
 from nestfold.tools.records import Checks
 
@@ -38,7 +37,7 @@ def _flat(spark: SparkSession, path: str, dataset: str) -> dict[str, DataFrame]:
     """The tables of a stored root, or of a source file or folder that has the dataset's columns."""
     made = datasets.DATASETS[dataset]
     names = ["events", *[c.name for c in made.collections]]
-    if exists(spark, f"{path}/_schemas"):
+    if tables.has(spark, path):
         return {n: tables.stored(spark, path, n).drop("file_id") for n in names}
     return datasets.tables(datasets.keyed(datasets.read(spark, path, made), made), made)
 
@@ -63,7 +62,7 @@ def manifest(spark, a) -> None:
 
 def ingest(spark, a) -> None:
     """Load the files of a manifest, or of each a range of entries."""
-    n = tables.ingest(spark, _manifest(a.manifest), datasets.DATASETS[a.dataset], a.root, (a.first, a.stop), not a.append)
+    n = record.ingest(spark, _manifest(a.manifest), datasets.DATASETS[a.dataset], a.root, (a.first, a.stop), not a.append)
     print(f"{n} events")
 
 
@@ -77,7 +76,7 @@ def shards_init(spark, a) -> None:
 
 def shards_ingest(spark, a) -> None:
     """Load each file of a manifest into the shard that owns it."""
-    n = tables.ingest(spark, _manifest(a.manifest), datasets.DATASETS[a.dataset], a.root, shards=_shards(a))
+    n = record.ingest(spark, _manifest(a.manifest), datasets.DATASETS[a.dataset], a.root, shards=_shards(a))
     print(f"{n} events")
 
 
@@ -102,7 +101,7 @@ def shards_migrate(spark, a) -> None:
     names = ["events", *[c.name for c in datasets.DATASETS[a.dataset].collections]]
     moved = made.with_layout(new)
     for name, _, _ in _shards(a).shards:
-        if exists(spark, f"{a.root}/{name}/_schemas"):
+        if tables.has(spark, f"{a.root}/{name}"):
             tables.migrate(spark, f"{a.root}/{name}", f"{a.to}/{name}", names, made.layout, new)
     _save(a.manifest, moved.to_json())
 

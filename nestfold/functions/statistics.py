@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 from itertools import chain
 from operator import add
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nestfold.ranks import in_order
+from nestfold.functions import selection
 
 
 def finite(name: str):
@@ -23,24 +22,39 @@ def finite(name: str):
 def quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> list[float | None]:
     """Exact quantiles, interpolated between neighbours, of the values that are finite; None for each if there is none.
 
-    Values are put in order by ranges; only those at the wanted places, two a quantile, go to the driver.
+    Found digit by digit (see ``selection``), so nothing is sorted; only the quantiles go to the driver.
     """
-    values = df.where(finite(value)).select(F.col(value).cast("double").alias("_v"))
-    n = values.count()
-    if not n:
-        return [None] * len(shares)
-    at = [s * (n - 1) for s in shares]
-    wanted = sorted({p for x in at for p in (math.floor(x), math.ceil(x))})
-    found = dict(in_order(values, "_v").where(F.col("place").isin(wanted)).select("place", "_v").collect())
-    return [found[math.floor(x)] + (found[math.ceil(x)] - found[math.floor(x)]) * (x - math.floor(x)) for x in at]
+    found = {r["share"]: r["value"] for r in selection.quantiles(df, [value], list(shares)).collect()}
+    return [found.get(float(s)) for s in shares]
+
+
+QUARTILES = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q100": 1.0}
 
 
 def summary(df: DataFrame, value: str) -> DataFrame:
     """One row: n, n_nonfinite (nulls too), mean, std (population) and exact quantiles of the finite values."""
-    ok = F.when(finite(value), F.col(value))
-    names = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q100": 1.0}
-    made = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(finite(value), 0).otherwise(1)), F.lit(0)).alias("n_nonfinite"), F.avg(ok).alias("mean"), F.stddev_pop(ok).alias("std"))
-    return made.withColumns({k: F.lit(q).cast("double") for k, q in zip(names, quantiles(df, value, list(names.values())), strict=True)})
+    return summaries(df, [value]).drop("column")
+
+
+def summaries(df: DataFrame, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by, column, n, n_nonfinite, mean, std, q0, q25, q50, q75, q100): a ``summary`` of each column in each group, in the same few passes.
+
+    A group without finite values has null quantiles; without rows and ``by``, n is 0.
+    """
+    by, made = list(by), []
+    for v in values:
+        ok = F.when(finite(v), F.col(v))
+        stats = df.groupBy(*by) if by else df
+        made.append(stats.agg(F.lit(v).alias("column"), F.count("*").alias("n"), F.coalesce(F.sum(F.when(finite(v), 0).otherwise(1)), F.lit(0)).alias("n_nonfinite"), F.avg(ok).alias("mean"), F.stddev_pop(ok).alias("std")))
+    found = selection.quantiles(df, values, list(QUARTILES.values()), by)
+    wide = found.groupBy(*by, "column").agg(*[F.max(F.when(F.col("share") == q, F.col("value"))).alias(k) for k, q in QUARTILES.items()])
+    both = reduce(DataFrame.unionByName, made).alias("s").join(wide.alias("q"), _equal("s", "q", [*by, "column"]), "left")
+    return both.select(*[f"s.{c}" for c in (*by, "column", "n", "n_nonfinite", "mean", "std")], *[f"q.{k}" for k in QUARTILES])
+
+
+def _equal(a: str, b: str, columns: Sequence[str]) -> Column:
+    """Whether rows agree in ``columns``, nulls too."""
+    return reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns])
 
 
 def metric(df: DataFrame, value: str = "value") -> DataFrame:

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from nestfold.functions.keys import KeyLayout, ShardMap
 from nestfold.functions.statistics import combine
 from nestfold.operators import nesting, tables
-from nestfold.storage import exists
 
 
 class ShardError(RuntimeError):
@@ -55,7 +54,7 @@ def shard_keys(shards: ShardMap, name: str, layout: KeyLayout) -> tuple[int, int
 
 def table(spark: SparkSession, root: str, shards: ShardMap, name: str) -> DataFrame:
     """A table over all shards that have it, with the column ``shard``."""
-    there = [s for s, _, _ in shards.shards if exists(spark, f"{root}/{s}/_schemas/{name}")]
+    there = [s for s, _, _ in shards.shards if tables.has(spark, f"{root}/{s}", name)]
     if not there:
         raise ValueError(f"no shard under {root} has the table {name}")
     return reduce(DataFrame.unionByName, [tables.stored(spark, f"{root}/{s}", name).withColumn("shard", F.lit(s)) for s in there])
@@ -92,7 +91,7 @@ def map_events(spark: SparkSession, root: str, shards: ShardMap, f: Callable[[Da
     """
 
     def one(name: str, first: int, stop: int | None):
-        if not exists(spark, f"{root}/{name}/_schemas/events"):
+        if not tables.has(spark, f"{root}/{name}", "events"):
             return None
         events = fetch_shard(spark, root, name, where, collections, event_columns, ordered=False)
         return f(events) if events.take(1) else None

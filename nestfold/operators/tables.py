@@ -1,83 +1,85 @@
-"""Stored tables: schemas, idempotent loading by file or range of entries, migration of keys, verification, ranges of work."""
+"""Stored tables: schemas, idempotent loading as versions (see ``snapshots``) by file or range of entries, migration of keys, verification, ranges of work."""
 
 from __future__ import annotations
 
-import json
 import math
-import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from nestfold.functions.keys import KeyLayout, Manifest, ShardMap, check_conversion
-from nestfold.sources.datasets import Dataset, keyed, read, tables
-from nestfold.storage import exists, make_folder, move, remove
+from nestfold.functions import selection
+from nestfold.functions.keys import KeyLayout, ShardMap, check_conversion
+from nestfold.operators import snapshots
 
 Ranges = dict[int, tuple[int, int | None]]
 
 
+def has(spark: SparkSession, root: str, name: str | None = None) -> bool:
+    """Whether there is a table under ``root``, or any."""
+    there = snapshots.version(spark, root).schemas
+    return bool(there) if name is None else name in there
+
+
+def _plain(schema: StructType) -> str:
+    return StructType([f for f in schema if f.name != "file_id"]).json()
+
+
 def create(spark: SparkSession, root: str, schemas: dict[str, StructType], drop: bool = False) -> None:
     """Empty tables under ``root``. One that is there keeps its rows, unless ``drop``."""
-    for name, schema in schemas.items():
-        if drop:
-            remove(spark, f"{root}/{name}")
-        make_folder(spark, f"{root}/{name}")
-        text = StructType([f for f in schema if f.name != "file_id"]).json()
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/_schemas/{name}")
 
+    def change(v: snapshots.Version) -> snapshots.Version:
+        parts = {n: p for n, p in v.parts.items() if not (drop and n in schemas)}
+        new = {n: _plain(s) for n, s in schemas.items() if drop or n not in v.schemas}
+        return replace(v, schemas=v.schemas | new, parts=parts)
 
-def truncate(spark: SparkSession, root: str, names: list[str]) -> None:
-    """Remove all rows of the tables, which stay."""
-    for name in names:
-        remove(spark, f"{root}/{name}")
-        make_folder(spark, f"{root}/{name}")
+    snapshots.commit(spark, root, change)
 
 
-def _partitions(spark: SparkSession, root: str, name: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(StructType([*schema]).add("file_id", "long")).parquet(f"{root}/{name}")
+def truncate(spark: SparkSession, root: str, names: list[str]) -> None:
+    """Remove all rows of the tables, which stay."""
+    snapshots.commit(spark, root, lambda v: replace(v, parts={n: p for n, p in v.parts.items() if n not in names}))
 
 
-def load(made: dict[str, DataFrame], root: str, layout: KeyLayout, replace: bool = True, ranges: Ranges | None = None) -> None:
-    """Write each table under ``root`` by file_id.
+def load(made: dict[str, DataFrame], root: str, layout: KeyLayout, replace_rows: bool = True, ranges: Ranges | None = None) -> None:
+    """Write each table under ``root`` by file_id, as one version.
 
-    With ``replace``, what each file had in its range of entries goes first, from all tables, also
-    from those for which it has no rows now; other rows stay. ``ranges`` is file id -> (first entry,
-    the entry after the last or None for all); by default, all entries of the files of ``made``'s
-    events. Everything is written to a staging folder first; then each file's folders are exchanged
-    by renaming, so a run that fails before leaves the tables as they were.
+    With ``replace_rows``, what each file had in its range of entries goes, from all of these tables,
+    also from those for which it has no rows now; other rows stay. ``ranges`` is file id -> (first
+    entry, the entry after the last or None for all); by default, all entries of the files of
+    ``made``'s events. A run that stops anywhere leaves either the old rows in all tables or the new
+    ones. Raises ``Conflict`` if another writer changed one of the files meanwhile.
     """
     spark = next(iter(made.values())).sparkSession
     dealt = {n: df.withColumn("file_id", layout.file_of(F.col("event_id"))) for n, df in made.items()}
-    create(spark, root, {n: df.schema for n, df in made.items() if not exists(spark, f"{root}/_schemas/{n}")})
-    if not replace:
-        for name, df in dealt.items():
-            df.write.partitionBy("file_id").mode("append").parquet(f"{root}/{name}")
-        return
-    if ranges is None:
+    if replace_rows and ranges is None:
         ranges = {r["file_id"]: (0, None) for r in dealt["events"].select("file_id").distinct().collect()}
-    part = {f: r for f, r in ranges.items() if r != (0, None)}
-    staging = f"{root}/_staging-{uuid.uuid4().hex[:12]}"
-    for name, df in dealt.items():
-        if part:
-            old = _partitions(spark, root, name, made[name].schema).where(F.col("file_id").isin(list(part)))
-            entry, inside = layout.entry_of(F.col("event_id")), F.lit(False)
-            for f, (first, stop) in part.items():
-                inside |= (F.col("file_id") == f) & (entry >= first) & (F.lit(True) if stop is None else entry < stop)
-            df = df.unionByName(old.where(~inside))
-        df.write.partitionBy("file_id").parquet(f"{staging}/{name}")
-    for f in ranges:
-        for name in dealt:
-            remove(spark, f"{root}/{name}/file_id={f}")
-            if exists(spark, f"{staging}/{name}/file_id={f}"):
-                move(spark, f"{staging}/{name}/file_id={f}", f"{root}/{name}/file_id={f}")
-    remove(spark, staging)
-
-
-def stored(spark: SparkSession, root: str, name: str, keys: tuple[int, int] | None = None, layout: KeyLayout | None = None) -> DataFrame:
-    """A stored table; a key range is also put on file_id, so that whole partitions are skipped."""
-    schema = StructType.fromJson(json.loads(spark.read.text(f"{root}/_schemas/{name}").first()[0]))
-    df = _partitions(spark, root, name, schema)
+    base, gone = snapshots.version(spark, root), set(ranges or ())
+    part = {f: r for f, r in (ranges or {}).items() if r != (0, None)} if replace_rows else {}
+    if part:
+        limits = spark.createDataFrame([(f, first, stop) for f, (first, stop) in part.items()], "file_id long, _first long, _stop long")
+        entry = layout.entry_of(F.col("event_id"))
+        for name in [n for n in dealt if n in base.schemas]:
+            old = snapshots.read(spark, root, name, base, set(part)).join(F.broadcast(limits), "file_id")
+            outside = (entry < F.col("_first")) | F.coalesce(entry >= F.col("_stop"), F.lit(False))
+            dealt[name] = dealt[name].unionByName(old.where(outside).drop("_first", "_stop"))
+    named = snapshots.new_commit()
+    wrote = snapshots.write(dealt, root, named)
+
+    def change(v: snapshots.Version) -> snapshots.Version:
+        mine = lambda of: {n: {c: [i for i in p.ids if i in gone] for c, p in of.parts.get(n, {}).items() if gone & {*p.ids}} for n in dealt}
+        if replace_rows and mine(v) != mine(base):
+            raise snapshots.Conflict(f"another writer changed files of {sorted(gone)[:5]} under {root}")
+        v = replace(v, schemas={n: _plain(df.schema) for n, df in made.items()} | v.schemas)
+        return v.with_files(named, wrote, gone if replace_rows else set())
+
+    snapshots.commit(spark, root, change)
+
+
+def stored(spark: SparkSession, root: str, name: str, keys: tuple[int, int] | None = None, layout: KeyLayout | None = None, at: int | None = None) -> DataFrame:
+    """A stored table, as version ``at`` has it (default: the last). A key range is also put on file_id, so that whole folders are skipped; rows lie in the order of keys, so row groups are skipped too."""
+    df = snapshots.read(spark, root, name, at)
     if keys:
         bits = (layout or KeyLayout()).entry_bits
         df = df.where(F.col("file_id").between(keys[0] >> bits, (keys[1] - 1) >> bits) & (F.col("event_id") >= keys[0]) & (F.col("event_id") < keys[1]))
@@ -90,40 +92,6 @@ def store_nested(nested: DataFrame, table: str, buckets: int) -> DataFrame:
     return nested.sparkSession.table(table)
 
 
-def check_files(spark: SparkSession, manifest: Manifest, dataset: Dataset, shards: ShardMap | None = None) -> None:
-    """Raise, with all that is wrong, if a file lacks a column, is no single file, or has no shard."""
-    bad = []
-    for f in manifest.files:
-        try:
-            read(spark, f["path"], dataset)
-            if shards:
-                shards.shard_for(f["file_id"])
-        except KeyError:
-            bad.append(f"{f['path']}: no shard owns file {f['file_id']}")
-        except Exception as e:  # noqa: BLE001 - all bad files are told at once
-            bad.append(f"{f['path']}: {str(e).splitlines()[0]}")
-    if bad:
-        raise ValueError("nothing was loaded; bad files: " + "; ".join(bad))
-
-
-def ingest(spark: SparkSession, manifest: Manifest, dataset: Dataset, root: str, entries: tuple[int, int | None] = (0, None), replace: bool = True, shards: ShardMap | None = None) -> int:
-    """Load every file of the manifest, or the same range of entries of each; the number of events.
-
-    All files are checked first; if one is bad, nothing is loaded. With ``replace``, a run again
-    gives the same rows. With ``shards``, each file goes to the folder of the shard that owns it.
-    """
-    check_files(spark, manifest, dataset, shards)
-    first, stop = entries
-    total = 0
-    for f in manifest.files:
-        end = min((x for x in (stop, f["entries"]) if x is not None), default=None)
-        rows = keyed(read(spark, f["path"], dataset, first, end), dataset, f["file_id"], manifest.layout)
-        home = f"{root}/{shards.shard_for(f['file_id'])}" if shards else root
-        load(tables(rows, dataset), home, manifest.layout, replace, {f["file_id"]: (first, stop)})
-        total += rows.count()
-    return total
-
-
 def migrate(spark: SparkSession, root: str, to: str, names: list[str], old: KeyLayout, new: KeyLayout) -> None:
     """Rewrite stored tables to another key layout under ``to``; all are checked before any is written."""
     found = {n: stored(spark, root, n).drop("file_id") for n in names}
@@ -138,13 +106,17 @@ def misplaced(df: DataFrame, shards: ShardMap, layout: KeyLayout) -> DataFrame:
     return df.groupBy(shard.alias("shard")).agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
 
 
-def event_ranges(events: DataFrame, layout: KeyLayout, chunk: int) -> list[tuple[int, int]] | None:
-    """Half-open key ranges of about ``chunk`` events each, file by file; None if one chunk holds all."""
-    by_file = events.groupBy(layout.file_of(F.col("event_id")).alias("f")).agg(F.count("*"), F.min("event_id"), F.max("event_id")).orderBy("f").collect()
-    if sum(r[1] for r in by_file) <= chunk:
+def event_ranges(events: DataFrame, chunk: int) -> list[tuple[int, int]] | None:
+    """Half-open key ranges that together hold all events, of ``chunk`` events at most and of equal numbers but for one; None if one holds all.
+
+    The first keys of the ranges are found by digits (see ``selection``), over all files at once, so
+    gaps between keys do not matter. Keys are unique.
+    """
+    n, last = events.agg(F.count("*"), F.max("event_id")).first()
+    if n <= chunk:
         return None
-    out = []
-    for _, n, lo, hi in by_file:
-        step = math.ceil(chunk * (hi - lo + 1) / n)
-        out += [(a, min(a + step, hi + 1)) for a in range(lo, hi + 1, step)]
-    return out
+    ranges = math.ceil(n / chunk)
+    spark = events.sparkSession
+    wanted = spark.range(ranges).select(F.expr(f"id * {n} div {ranges}").alias("place"))
+    starts = sorted(r["value"] for r in selection.at_places(events.select("event_id"), wanted, key="event_id").collect())
+    return list(zip(starts, [*starts[1:], last + 1], strict=True))

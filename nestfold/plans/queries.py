@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nestfold.functions import lists, statistics
-from nestfold.functions.keys import KeyLayout, ShardMap
+from nestfold.functions.keys import KeyLayout, Manifest, ShardMap
 from nestfold.functions.kinematics import mass, p4, register, total_of
-from nestfold.operators import nesting, shards, tables
+from nestfold.operators import nesting, record, shards, tables
 from nestfold.plans import adl
 from nestfold.plans.fixture import ORACLE, events, nested, objects
 from nestfold.sources import datasets
-from nestfold.storage import new_path
+from nestfold.storage import children, new_path
 from nestfold.tools.scoring import compare
 
 QUERIES: dict = {}
@@ -209,16 +209,24 @@ def key_migrate(spark, d):
     return tables.stored(spark, to, "events").select("o_orderkey", "event_id")
 
 
-@query("""SELECT f * 1000 AS first, f * 1000 + 400 AS stop FROM (SELECT DISTINCT o_orderkey // 1000 AS f FROM orders) UNION ALL
-    SELECT f * 1000 + 400, f * 1000 + 800 FROM (SELECT DISTINCT o_orderkey // 1000 AS f FROM orders) UNION ALL
-    SELECT f * 1000 + 800, f * 1000 + 1000 FROM (SELECT DISTINCT o_orderkey // 1000 AS f FROM orders)""", True)
+@query("""WITH n AS (SELECT count(*) AS n, CAST(ceil(count(*) / 400.0) AS BIGINT) AS m, max(o_orderkey) AS last FROM orders), r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS p FROM orders),
+    c AS (SELECT i, o_orderkey AS first, last FROM n, range((SELECT m FROM n)) t(i), r WHERE n > 400 AND r.p = i * n // m) SELECT first, coalesce(lead(first) OVER (ORDER BY i), last + 1) AS stop FROM c""", True)
 def event_ranges(spark, d):
-    """Chunks of 400 keys of each file, as starts and stops in order keys."""
-    made = tables.event_ranges(_packed(spark, d), WIDE, 400) or []
+    """Ranges of 400 events at most, of equal numbers, over all files, as starts and stops in order keys."""
+    made = tables.event_ranges(_packed(spark, d), 400) or []
     plain = lambda k: WIDE.split(k)[0] * PER_FILE + WIDE.split(k)[1]
     return spark.createDataFrame([(plain(a), plain(b)) for a, b in made], "first long, stop long")
 
 
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN 'part' || (o_orderkey // 3) END AS shard FROM orders", True)
+def interval_lookup(spark, d):
+    """The owner of each key, of as many intervals as a third of the keys, with gaps between them."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey")
+    last = orders.agg(F.max("o_orderkey")).first()[0]
+    split = ShardMap([(f"part{k}", 3 * k, 3 * k + 2) for k in range(last // 3 + 1)])
+    return orders.withColumn("shard", split.column(F.col("o_orderkey")))
+
+
 @query("SELECT CASE WHEN o_orderkey // 1000 < 4 THEN 'shard0' ELSE 'shard1' END AS shard, count(*) AS n FROM orders GROUP BY 1", True)
 def verify_shards(spark, d):
     return tables.misplaced(_packed(spark, d), ShardMap([("shard0", 0, 4), ("shard1", 4, None)]), WIDE).select("shard", "n")
@@ -266,6 +274,17 @@ def summary_stats(spark, d):
     return made.select("n", "n_nonfinite", *[F.round(c, 6).alias(c) for c in made.columns[2:]])
 
 
+_QUARTILES = ", ".join(f"round(quantile_cont(v, {q}), 6) AS q{int(100 * q)}" for q in (0, 0.25, 0.5, 0.75, 1))
+
+
+@query(f"""SELECT charge, "column", count(*) AS n, CAST(0 AS BIGINT) AS n_nonfinite, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, {_QUARTILES}
+    FROM (SELECT charge, 'pt' AS "column", pt AS v FROM jets UNION ALL SELECT charge, 'phi', phi FROM jets) GROUP BY 1, 2""")
+def grouped_quantiles(spark, d):
+    """Summaries of two columns in each group, with exact quantiles."""
+    made = statistics.summaries(objects(spark, d, False), ["pt", "phi"], ["charge"])
+    return made.select("charge", "column", "n", "n_nonfinite", *[F.round(c, 6).alias(c) for c in made.columns[4:]])
+
+
 @query("SELECT CAST(least(floor(met_pt / 25), 19) AS INTEGER) AS bin, count(*) AS n FROM ev WHERE met_pt BETWEEN 0 AND 500 GROUP BY 1")
 def histogram(spark, d):
     return statistics.histogram(events(spark, d), "met_pt", 20, 0.0, 500.0)
@@ -451,11 +470,11 @@ def array_math(spark, d):
     )
 
 
-@query("SELECT event_id, CAST(k AS INTEGER) AS k, round(met_pt * k / 8, 8) AS x, CAST(k % 3 = 0 AS BOOLEAN) AS third FROM ev CROSS JOIN range(9) t(k) WHERE event_id % 10 = 0")
+@query("SELECT event_id, CAST(k AS INTEGER) AS k, round(met_pt * k / 8, 8) AS x, CAST(k % 3 = 0 AS BOOLEAN) AS third FROM ev CROSS JOIN range(9) t(k)")
 def array_builders(spark, d):
-    """Evenly spaced numbers up to each event's MET, for every tenth event."""
+    """Evenly spaced numbers up to each event's MET."""
     grid = F.transform(lists.linspace(0.0, 1.0, 9), lambda x, k: F.struct(k.alias("k"), x.alias("x")))
-    made = events(spark, d).where("event_id % 10 = 0").select("event_id", "met_pt", F.explode(grid).alias("g"))
+    made = events(spark, d).select("event_id", "met_pt", F.explode(grid).alias("g"))
     return made.select("event_id", "g.k", F.round(F.col("met_pt") * F.col("g.x"), 8).alias("x"), (F.pmod("g.k", F.lit(3)) == 0).alias("third"))
 
 
@@ -510,6 +529,30 @@ def replace_range(spark, d):
     return tables.stored(spark, root, "events").join(n, "event_id", "left").select("event_id", F.round("met_pt", 6).alias("met_pt"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+@query("""WITH f AS (SELECT o_orderkey // 1000 AS file_id, count(*) AS rows FROM orders GROUP BY 1), j AS (SELECT l_orderkey // 1000 AS file_id, count(*) AS jets FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1)
+    SELECT file_id, 'ok' AS status, rows, jets FROM f LEFT JOIN j USING (file_id) UNION ALL SELECT max(file_id) + 1, 'failed', NULL, NULL FROM f""", True)
+def ingest_log(spark, d):
+    """Many source files and one that is not there, loaded as one record: what became of each, and how many jets are stored."""
+    source, root = new_path(spark, "source"), new_path(spark, "record")
+    rows = _nano(spark, d).withColumn("file", WIDE.file_of(F.col("event_id")))
+    rows.repartition("file").sortWithinPartitions("file", "event_id").drop("event_id").write.partitionBy("file").parquet(source)
+    files = sorted(int(n.removeprefix("file=")) for n in children(spark, source) if n.startswith("file="))
+    listed = Manifest(WIDE, [{"path": f"{source}/file={i}", "file_id": i} for i in [*files, files[-1] + 1]])
+    told = record.ingest_record(spark, listed, _NANO, root, retries=0)
+    jets = tables.stored(spark, root, "jets").groupBy("file_id").agg(F.count("*").alias("jets"))
+    return told.join(jets, "file_id", "left").select("file_id", "status", "rows", "jets")
+
+
+@query("""SELECT version, count(*) AS n, round(sum(met_pt + CASE WHEN version = 2 AND event_id // 1000 = 1 THEN 10 ELSE 0 END), 3) AS met FROM ev CROSS JOIN (VALUES (1), (2)) t(version) WHERE version = 1 OR event_id // 1000 <> 2 GROUP BY version""")
+def stored_versions(spark, d):
+    """Two versions of a stored table, the second with a file's rows replaced and those of another gone; both can be read."""
+    made, root, file = datasets.events_table(_nano(spark, d), _NANO), new_path(spark, "versions"), WIDE.file_of(F.col("event_id"))
+    tables.load({"events": made}, root, WIDE)
+    tables.load({"events": made.where(file == 1).withColumn("met_pt", F.col("met_pt") + 10)}, root, WIDE, ranges={1: (0, None), 2: (0, None)})
+    both = [tables.stored(spark, root, "events", at=v).select(F.lit(v).alias("version"), "met_pt") for v in (1, 2)]
+    return both[0].unionByName(both[1]).groupBy("version").agg(F.count("*").alias("n"), F.round(F.sum("met_pt"), 3).alias("met"))
+
+
 @query(f"""SELECT {_KEY} AS event_id, CAST(count(j.i) AS INTEGER) AS n_jets, CASE WHEN event_id // 1000 < 4 THEN 'shard0' ELSE 'shard1' END AS shard FROM ev LEFT JOIN jets j USING (event_id) WHERE met_pt > 100 GROUP BY event_id""")
 def shard_fetch(spark, d):
     """Selected events over a shard map, fetched in one query."""

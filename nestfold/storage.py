@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 CONF = "spark.checkpoint.dir"
@@ -70,6 +71,52 @@ def move(spark: SparkSession, path: str, to: str) -> None:
         raise OSError(f"could not move {path} to {to}")
 
 
+def move_new(spark: SparkSession, path: str, to: str) -> bool:
+    """Rename to a name that nothing has, in one step; false, with nothing changed, if something has it."""
+    jvm, kinds = spark._jvm, spark.sparkContext._gateway
+    source, target = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(to)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), spark._jsc.hadoopConfiguration())
+    none = kinds.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    if system.exists(target):
+        return False
+    try:
+        context.rename(system.makeQualified(source), system.makeQualified(target), none)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    system, target = _system(spark, path)
+    out = system.create(target, True)
+    out.write(text.encode())
+    out.close()
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    system, target = _system(spark, path)
+    stream = system.open(target)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if it is not there."""
+    system, target = _system(spark, path)
+    return sorted(f.getPath().getName() for f in system.listStatus(target)) if system.exists(target) else []
+
+
+def modified(spark: SparkSession, path: str) -> float:
+    """When a folder was last changed, in seconds since 1970."""
+    system, target = _system(spark, path)
+    return system.getFileStatus(target).getModificationTime() / 1000
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """The full name of a path, with its scheme, as Spark's file systems write it."""
     system, target = _system(spark, path)

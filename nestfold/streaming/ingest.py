@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nestfold.functions.keys import Manifest
+from nestfold.operators.record import BROADCAST_FILES, row_path
 from nestfold.operators.tables import load
 from nestfold.sources.datasets import Dataset, tables
 from nestfold.storage import qualified
@@ -18,17 +19,17 @@ def ingest_new(spark: SparkSession, folder: str, manifest: Manifest, dataset: Da
     error before anything of its batch is loaded.
     """
     schema = spark.read.parquet(folder).schema
-    ids = {qualified(spark, f["path"]): f["file_id"] for f in manifest.files}
-    known = F.create_map(*[F.lit(x) for p, i in ids.items() for x in (p, i)]) if ids else F.create_map().cast("map<string,bigint>")
+    known = spark.createDataFrame([(qualified(spark, f["path"]), f["file_id"]) for f in manifest.files], "_path string, _file long")
+    known = F.broadcast(known) if len(manifest.files) <= BROADCAST_FILES else known
 
     def batch(rows: DataFrame, _: int) -> None:
-        lost = rows.where("event_id IS NULL").select("_path").distinct().limit(5).collect()
+        met = rows.join(known, "_path", "left")
+        lost = met.where("_file IS NULL").select("_path").distinct().limit(5).collect()
         if lost:
             raise ValueError(f"not in the manifest: {', '.join(r[0] for r in lost)}")
-        load(tables(rows.drop("_path"), dataset), root, manifest.layout)
+        keyed = met.withColumn("event_id", manifest.layout.pack(F.col("_file"), F.col("_entry")))
+        load(tables(keyed.drop("_path", "_file", "_entry"), dataset), root, manifest.layout)
 
     rows = spark.readStream.schema(schema).parquet(folder)
-    # as a URL in the metadata: escapes are taken back, and the scheme is written as file systems write it
-    path = F.regexp_replace(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
-    rows = rows.withColumn("_path", path).withColumn("event_id", manifest.layout.pack(known[F.col("_path")], F.col("_metadata.row_index")))
+    rows = rows.select("*", row_path().alias("_path"), F.col("_metadata.row_index").alias("_entry"))
     rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

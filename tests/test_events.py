@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nestfold.functions import lists, statistics
 from nestfold.functions.keys import KeyLayout, Manifest, ShardMap, check_conversion
-from nestfold.operators import nesting, regression, shards, tables
+from nestfold.operators import nesting, record, regression, shards, tables
 from nestfold.plans import adl
 from nestfold.sources.datasets import DIMUON, NANOAOD, chunks, keyed, read, sample_rows, synthetic_events
 from nestfold.sources.datasets import tables as tables_of
@@ -96,19 +96,22 @@ def test_loading_is_idempotent_and_migrates(spark, tmp_path):
         sample_rows(spark, size, n).coalesce(1).write.parquet(path)
         m.add(path, size)
     root = str(tmp_path / "db")
-    tables.ingest(spark, m, NANOAOD, root)
+    record.ingest(spark, m, NANOAOD, root)
     first = sorted(r["event_id"] for r in tables.stored(spark, root, "events").collect())
-    tables.ingest(spark, m, NANOAOD, root)
+    record.ingest(spark, m, NANOAOD, root)
     assert sorted(r["event_id"] for r in tables.stored(spark, root, "events").collect()) == first and len(first) == 50
     lo, hi = m.layout.range_of(1)
     assert tables.stored(spark, root, "events", (lo, hi), m.layout).count() == 20
     tables.migrate(spark, root, str(tmp_path / "db31"), ["events", "jets"], m.layout, KeyLayout(31))
     moved = tables.stored(spark, str(tmp_path / "db31"), "events")
     assert sorted(r["event_id"] for r in moved.collect()) == sorted(KeyLayout(31).key(*m.layout.split(k)) for k in first)
-    assert len(tables.event_ranges(tables.stored(spark, root, "events"), m.layout, 10)) == 5
+    ranges = tables.event_ranges(tables.stored(spark, root, "events"), 12)
+    sizes = [sum(a <= k < b for k in first) for a, b in ranges]
+    assert len(ranges) == 5 and sum(sizes) == 50 and max(sizes) - min(sizes) <= 1 and max(sizes) <= 12
+    assert tables.event_ranges(tables.stored(spark, root, "events"), 50) is None
     m.add(str(tmp_path / "none"))
     with pytest.raises(ValueError, match="nothing was loaded"):
-        tables.ingest(spark, m, NANOAOD, root)
+        record.ingest(spark, m, NANOAOD, root)
 
 
 def test_stream_takes_only_what_is_new(spark, tmp_path):
@@ -157,10 +160,10 @@ def test_replacing_a_file_takes_all_its_old_rows(spark, tmp_path):
     path, root, m = str(tmp_path / "f"), str(tmp_path / "db"), Manifest()
     made_file(spark, path, 20, 1)
     m.add(path)
-    assert tables.ingest(spark, m, NANOAOD, root) == 20
+    assert record.ingest(spark, m, NANOAOD, root) == 20
     assert tables.stored(spark, root, "muons").count() > 0
     made_file(spark, path, 20, 1, muons=False)
-    tables.ingest(spark, m, NANOAOD, root)
+    record.ingest(spark, m, NANOAOD, root)
     assert tables.stored(spark, root, "muons").count() == 0
     assert tables.stored(spark, root, "events").count() == 20
 
@@ -170,12 +173,12 @@ def test_replacing_a_range_of_entries_leaves_the_others(spark, tmp_path):
     made_file(spark, path, 20, 1)
     m.add(path)
     everything = lambda: {n: sorted(map(str, tables.stored(spark, root, n).collect())) for n in ("events", "jets", "muons")}
-    tables.ingest(spark, m, NANOAOD, root)
+    record.ingest(spark, m, NANOAOD, root)
     before = everything()
-    assert tables.ingest(spark, m, NANOAOD, root, entries=(0, 5)) == 5
+    assert record.ingest(spark, m, NANOAOD, root, entries=(0, 5)) == 5
     assert everything() == before
     for entries in ((0, 7), (7, 13), (13, None)):  # in chunks, to another root
-        tables.ingest(spark, m, NANOAOD, f"{root}2", entries=entries)
+        record.ingest(spark, m, NANOAOD, f"{root}2", entries=entries)
     root = f"{root}2"
     assert everything() == before
     tables.truncate(spark, root, ["events", "jets"])
@@ -191,9 +194,9 @@ def test_shards(spark, tmp_path):
         made_file(spark, path, size, n)
         m.add(path)
     with pytest.raises(ValueError, match="no shard owns"):
-        tables.ingest(spark, m, NANOAOD, root, shards=ShardMap([("a", 0, 2)]))
+        record.ingest(spark, m, NANOAOD, root, shards=ShardMap([("a", 0, 2)]))
     split = ShardMap([("a", 0, 2), ("b", 2, 3), ("empty", 3, None)])
-    assert tables.ingest(spark, m, NANOAOD, root, shards=split) == 30
+    assert record.ingest(spark, m, NANOAOD, root, shards=split) == 30
     both = shards.fetch(spark, root, split)
     ids = [r["event_id"] for r in both.select("event_id").collect()]
     assert ids == sorted(ids) and len(ids) == 30
