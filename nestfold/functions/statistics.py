@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
-from itertools import chain
-from operator import add
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,31 +78,3 @@ def combined(parts: Iterable[DataFrame | None], by: Sequence[str] | None = None)
     if by is None:
         return rows
     return rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in rows.columns if c not in by])
-
-
-def _leaves(part, path: tuple = ()):
-    if isinstance(part, Mapping):
-        yield path, None, Mapping
-        for k, v in part.items():
-            yield from _leaves(v, (*path, k))
-    elif part is not None:
-        yield path, part, list if isinstance(part, Sequence | np.ndarray) else object
-
-
-def combine(partials: Iterable):
-    """Small partial results on the driver as one, told apart by their place: a leaf that is a sequence is joined, another is added up.
-
-    None counts for nothing, at any depth; None if there is nothing else.
-    """
-    gathered: dict[tuple, tuple[type, list]] = {}
-    for part in partials:
-        for path, leaf, kind in _leaves(part):
-            gathered.setdefault(path, (kind, []))[1].append(leaf)
-    out: dict = {}
-    for path, (kind, leaves) in gathered.items():
-        made = {} if kind is Mapping else list(chain.from_iterable(leaves)) if kind is list else reduce(add, leaves)
-        home = out
-        for step in ((), *path)[: len(path)]:
-            home = home[step]
-        home[path[-1] if path else ()] = made
-    return out.get(())

@@ -1,22 +1,25 @@
 """Tables that are split over shards: a folder each, under one root, by ranges of file ids.
 
-A query over all shards is one DataFrame over all folders. What has to run shard by shard is handed
-to a few threads, each of which submits Spark jobs; the work itself is on the executors.
+A query over all shards is one DataFrame over all folders, and so is a function of their events. What
+has to be done to shards one by one is handed to a few threads, each of which submits Spark jobs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nestfold.functions.keys import KeyLayout, ShardMap
-from nestfold.functions.statistics import combine
 from nestfold.operators import nesting, tables
+from nestfold.storage import written
 
 
 class ShardError(RuntimeError):
@@ -83,21 +86,88 @@ def _nested(events, objects, where, collections, event_columns, ordered) -> Data
     return made.orderBy("event_id") if ordered else made
 
 
-def map_events(spark: SparkSession, root: str, shards: ShardMap, f: Callable[[DataFrame], object], where: str | None = None, collections: Sequence[str] = ("jets", "muons"), event_columns: list[str] | None = None, reduce: Callable | None = combine, workers: int = 8):
-    """f(nested events) of each shard, and all results put together by ``reduce`` (None: a dict by shard).
+PARTIAL = "shard string, path array<string>, whole long, number double, items array<double>"
 
-    A shard without events that ``where`` selects gives None, and f is not asked. f may return a
-    DataFrame (then give ``statistics.combined`` as ``reduce``) or something small.
-    """
 
-    def one(name: str, first: int, stop: int | None):
-        if not tables.has(spark, f"{root}/{name}", "events"):
-            return None
-        events = fetch_shard(spark, root, name, where, collections, event_columns, ordered=False)
-        return f(events) if events.take(1) else None
+def _leaves(result, path: tuple[str, ...] = ()) -> Iterator[tuple]:
+    """(path, whole, number, items) of each number and each sequence of numbers of a result; nothing of None."""
+    if isinstance(result, Mapping):
+        for name, inner in result.items():
+            yield from _leaves(inner, (*path, str(name)))
+    elif result is None:
+        return
+    elif np.ndim(result):
+        yield [*path], None, None, np.asarray(result, float).tolist()
+    elif isinstance(result, int | np.integer | bool | np.bool_):
+        yield [*path], int(result), None, None
+    else:
+        yield [*path], None, float(result), None
+
 
-    found = scatter(spark, shards, one, workers)
-    return found if reduce is None else reduce(list(found.values()))
+def map_events(spark: SparkSession, root: str, shards: ShardMap, f: Callable[[pa.Table], object], where: str | None = None, collections: Sequence[str] = ("jets", "muons"), event_columns: list[str] | None = None) -> DataFrame:
+    """(shard, path, whole, number, item): f(nested events), next to each shard's data, and its results put together.
+
+    f runs on the executors, on one batch of a shard's events after another, so no shard needs to fit a
+    task. It gives a number, a sequence of numbers, a mapping of names to such, nested or not, or None.
+    Numbers are added up for each shard, whole ones exactly, in a row for each path of names;
+    sequences are joined, in a row for each item, in no order. Of a shard without events that
+    ``where`` selects there are no rows, and f is not asked. All shards are one job.
+    """
+    columns = None if event_columns is None else [*event_columns, "shard"]
+    events = table(spark, root, shards, "events").drop("file_id")
+    nested = _nested(events, lambda c: table(spark, root, shards, c).drop("file_id", "shard"), where, collections, columns, False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        summed: dict[tuple, list] = {}
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            for shard in rows.column("shard").unique().to_pylist():
+                mine = rows.filter(pa.compute.equal(rows.column("shard"), shard)).drop_columns("shard")
+                lists = []
+                for path, whole, number, items in _leaves(f(mine)) if len(mine) else ():
+                    if items is not None:
+                        lists.append((shard, path, None, None, items))
+                    else:
+                        have = summed.setdefault((shard, *path), [None, None])
+                        for k, x in ((0, whole), (1, number)):
+                            have[k] = have[k] if x is None else x + (have[k] or 0)
+                yield _partial(lists)
+        yield _partial([(shard, [*path], *numbers, None) for (shard, *path), numbers in summed.items()])
+
+    made = written(nested.mapInArrow(run, PARTIAL), "partial-results")
+    numbers = made.where("items IS NULL").groupBy("shard", "path").agg(F.sum("whole").alias("whole"), F.sum("number").alias("number"), F.lit(None).cast("double").alias("item"))
+    return numbers.unionByName(made.where("items IS NOT NULL").select("shard", "path", F.lit(None).cast("long").alias("whole"), F.lit(None).cast("double").alias("number"), F.explode("items").alias("item")))
+
+
+def _partial(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"shard": pa.string(), "path": pa.list_(pa.string()), "whole": pa.int64(), "number": pa.float64(), "items": pa.list_(pa.float64())}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], list(kinds))
+
+
+def merged(found: DataFrame) -> DataFrame:
+    """(path, whole, number, item): what ``map_events`` gave, of all shards together."""
+    numbers = found.where("item IS NULL").groupBy("path").agg(F.sum("whole").alias("whole"), F.sum("number").alias("number"), F.lit(None).cast("double").alias("item"))
+    return numbers.unionByName(found.where("item IS NOT NULL").select("path", "whole", "number", "item"))
+
+
+def as_result(found: DataFrame):
+    """Small rows of ``merged`` as f gives them, on the driver: a number, a list in order of size, or a dict; None if there are none."""
+    out: dict = {}
+    lists: list[list] = []
+    for path, whole, number, item in found.select("path", "whole", "number", "item").toLocalIterator():
+        home = out
+        for step in path[:-1]:
+            home = home.setdefault(step, {})
+        name = path[-1] if path else None
+        if item is None:
+            home[name] = whole if number is None else number + (whole or 0)
+        else:
+            if name not in home:
+                lists.append(home.setdefault(name, []))
+            home[name].append(item)
+    for x in lists:
+        x.sort()
+    return out.get(None) if set(out) <= {None} else out
 
 
 def misrouted(spark: SparkSession, root: str, shards: ShardMap, name: str, layout: KeyLayout) -> DataFrame:

@@ -567,14 +567,15 @@ def shard_fetch(spark, d):
 
 @query("""SELECT CASE WHEN event_id // 1000 < 4 THEN 'shard0' ELSE 'shard1' END AS shard, count(*) AS n, round(sum(met_pt), 3) AS met FROM ev GROUP BY 1""")
 def shard_map_reduce(spark, d):
-    """A function of each shard's events, run shard by shard, and the results put together."""
+    """A function of each shard's events, run next to them, and the results put together."""
     root, split = new_path(spark, "shards"), ShardMap([("shard0", 0, 4), ("shard1", 4, None)])
     made = {"events": datasets.events_table(_nano(spark, d), _NANO)}
     at = split.column(WIDE.file_of(F.col("event_id")))
     for name in ("shard0", "shard1"):
         tables.load({n: df.where(at == name) for n, df in made.items()}, f"{root}/{name}", WIDE)
-    one = lambda e: e.groupBy(split.column(WIDE.file_of(F.col("event_id"))).alias("shard")).agg(F.count("*").alias("n"), F.round(F.sum("met_pt"), 3).alias("met"))
-    return shards.map_events(spark, root, split, one, collections=(), reduce=statistics.combined)
+    found = shards.map_events(spark, root, split, lambda e: {"n": len(e), "met": sum(e.column("met_pt").to_pylist())}, collections=())
+    value = lambda name, c: F.max(F.when(F.col("path")[0] == name, F.col(c)))
+    return found.groupBy("shard").agg(value("n", "whole").alias("n"), F.round(value("met", "number"), 3).alias("met"))
 
 
 @query("""SELECT 'same' AS pair, count(*) = 0 AS equal FROM (SELECT round(pt, 6) AS v FROM jets EXCEPT ALL SELECT round(pt, 6) FROM jets)

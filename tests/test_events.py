@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,12 +205,17 @@ def test_shards(spark, tmp_path):
     few = shards.fetch(spark, root, split, "n_jets >= 5", [], ["event_id", "n_jets"])
     assert few.count() == both.where("size(jets) >= 5").count()
     assert shards.misrouted(spark, root, split, "events", m.layout).count() == 0
-    asked = []
-    count = shards.map_events(spark, root, split, lambda e: asked.append(1) or {"n": e.count(), "met": [e.count()]})
-    assert count == {"n": 30, "met": [20, 10]} and len(asked) == 2
-    assert shards.map_events(spark, root, split, lambda e: e.count(), where="met_pt < 0") is None
-    by_jets = shards.map_events(spark, root, split, lambda e: e.groupBy("n_jets").agg(F.count("*").alias("n")), reduce=lambda p: statistics.combined(p, ["n_jets"]))
-    assert by_jets.agg(F.sum("n")).first()[0] == 30 and by_jets.count() == both.select("n_jets").distinct().count()
+    found = shards.map_events(spark, root, split, lambda e: {"n": len(e), "met": e.column("met_pt").to_numpy(), "in": {"jets": sum(map(len, e.column("jets").to_pylist()))}})
+    assert {(r["shard"], *r["path"]): r["whole"] for r in found.where("item IS NULL").collect()} == {("a", "n"): 20, ("b", "n"): 10, **{(s, "in", "jets"): shards.fetch_shard(spark, root, s).agg(F.sum(F.size("jets"))).first()[0] for s in "ab"}}
+    whole = shards.as_result(shards.merged(found))
+    assert whole["n"] == 30 and whole["in"]["jets"] == both.agg(F.sum(F.size("jets"))).first()[0]
+    assert whole["met"] == sorted(r["met_pt"] for r in both.collect())
+    few = shards.map_events(spark, root, split, len, where=f"event_id < {2 << 40} AND met_pt > 20", collections=())
+    assert {r["shard"]: r["whole"] for r in few.collect()} == {"a": both.where(f"event_id < {2 << 40} AND met_pt > 20").count()}
+    assert shards.as_result(shards.merged(few)) == few.first()["whole"]
+    assert shards.as_result(shards.merged(shards.map_events(spark, root, split, lambda e: 1 / 0, where="met_pt < 0"))) is None
+    means = shards.map_events(spark, root, split, lambda e: {"sum": float(np.sum(e.column("met_pt").to_numpy())), "none": None}, event_columns=["event_id", "met_pt"], collections=())
+    assert shards.as_result(shards.merged(means)) == {"sum": pytest.approx(both.agg(F.sum("met_pt")).first()[0])}
 
     def task(name, first, stop):
         if name != "b":
@@ -279,8 +285,6 @@ def test_statistics(spark):
     none = statistics.summary(df.where("false"), "v").first()
     assert (none["n"], none["mean"], none["q50"]) == (0, None, None)
     assert math.isnan(statistics.metric(df.where("false").withColumnRenamed("v", "value")).first()["mean"])
-    assert statistics.combine([None, {"a": 1, "b": [1]}, {"a": 2, "b": [2], "c": {"d": 1}}, {"c": {"d": None}}]) == {"a": 3, "b": [1, 2], "c": {"d": 1}}
-    assert statistics.combine([None]) is None and statistics.combine([2, None, 3]) == 5 and statistics.combine([[1], (2,)]) == [1, 2]
     parts = [df.limit(0), None, statistics.histogram(df, "v", 3, 0.0, 9.0)]
     assert statistics.combined([None, None]) is None
     assert {r["bin"]: r["n"] for r in statistics.combined([parts[2], None, parts[2]], ["bin"]).collect()} == {0: 6, 1: 6, 2: 8}
