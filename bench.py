@@ -1,7 +1,7 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line of median seconds.
 
 ``queries`` are timed from the given tables, with all that it takes to nest them. ``stored`` are those over
-nested events, timed over a bucketed table of them that was written before (``prepare``). ``slope`` is
+nested events, timed over a bucketed table of them that was written before (``prepare``), and those over clustered flat tables. ``slope`` is
 microseconds for each further event, from a tenth of the size to the whole, so without fixed cost.
 """
 
@@ -13,9 +13,10 @@ os.environ["PYTHONPATH"] = os.path.dirname(os.path.abspath(__file__)) + os.paths
 
 from pyspark.sql import SparkSession
 
+from nestfold.operators import clustered
 from nestfold.operators.tables import store_nested
 from nestfold.plans import adl
-from nestfold.plans.fixture import nested
+from nestfold.plans.fixture import nested, store_clustered
 from nestfold.plans.queries import QUERIES
 from nestfold.tools.timing import drain, timed
 
@@ -28,6 +29,9 @@ def measured(spark: SparkSession, folder: str, cpus: int) -> dict:
     prepare = timed(lambda: store_nested(nested(spark, folder), "bench_nested", cpus), 1, 0)
     table = spark.table("bench_nested")
     stored = {name: round(timed(lambda f=f: drain(f(table)), 3, 2).median, 3) for name, f in STORED.items()}
+    store_clustered(spark, folder, cpus, "bench")
+    flat = {f"{name}_clustered": f for name, f in (("trijet", clustered.trijet), ("zmumu_flat", clustered.zmumu_two), ("zmumu_jagged", clustered.zmumu_pairs))}
+    stored |= {name: round(timed(lambda f=f: drain(f(spark, "bench")), 3, 2).median, 3) for name, f in flat.items()}
     return {"queries": took, "stored": stored, "prepare": round(prepare.median, 3), "events": table.count()}
 
 

@@ -15,8 +15,7 @@ Z_MASS, TOP_MASS = 91.1876, 172.5
 def p4(pt: Column, eta: Column, phi: Column, mass: Column) -> Column:
     """struct(px, py, pz, e)."""
     pt, eta, phi, mass = (c.cast("double") for c in (pt, eta, phi, mass))
-    sinh = (F.exp(eta) - F.exp(-eta)) / 2
-    px, py, pz = pt * F.cos(phi), pt * F.sin(phi), pt * sinh
+    px, py, pz = pt * F.cos(phi), pt * F.sin(phi), pt * F.sinh(eta)
     return F.struct(px.alias("px"), py.alias("py"), pz.alias("pz"), F.sqrt(px * px + py * py + pz * pz + mass * mass).alias("e"))
 
 
@@ -68,7 +67,7 @@ def _norm(names: list[str], part: str) -> str:
     return "(" + " + ".join(part.format(n=n) for n in names) + ")"
 
 
-_PX, _PY, _PZ = "pt{n} * cos(phi{n})", "pt{n} * sin(phi{n})", "pt{n} * (exp(eta{n}) - exp(-eta{n})) / 2"
+_PX, _PY, _PZ = "pt{n} * cos(phi{n})", "pt{n} * sin(phi{n})", "pt{n} * sinh(eta{n})"
 _E = f"sqrt(({_PX}) * ({_PX}) + ({_PY}) * ({_PY}) + ({_PZ}) * ({_PZ}) + m{{n}} * m{{n}})"
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from nestfold.functions import lists, statistics
 from nestfold.functions.keys import KeyLayout, Manifest, ShardMap
 from nestfold.functions.kinematics import mass, p4, register, total_of
-from nestfold.operators import nesting, record, shards, tables
+from nestfold.operators import clustered, nesting, record, shards, tables
 from nestfold.plans import adl
-from nestfold.plans.fixture import ORACLE, events, nested, objects
+from nestfold.plans.fixture import ORACLE, events, nested, objects, store_clustered
 from nestfold.sources import datasets
 from nestfold.storage import children, new_path
 from nestfold.tools.scoring import compare
@@ -154,6 +154,37 @@ def trijet_sql(spark, d):
         SELECT event_id, round(sqrt(x * x + y * y), 6) AS value FROM best WHERE r = 1""")
 
 
+def _clustered(spark, d) -> str:
+    return store_clustered(spark, d, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+@query(_TRIJET)
+def trijet_clustered(spark, d):
+    """The trijet as joins of jets that are stored in buckets with their vectors: no exchange."""
+    return _rounded(clustered.trijet(spark, _clustered(spark, d)))
+
+
+@query(f", {_OS}, two AS (SELECT event_id FROM muons GROUP BY event_id HAVING count(*) = 2) SELECT event_id, round(m, 6) AS value FROM mm JOIN two USING (event_id) WHERE m BETWEEN 60 AND 120")
+def zmumu_flat_clustered(spark, d):
+    """Two slots joined to each other and to their event's count in stored buckets: no exchange."""
+    return _rounded(clustered.zmumu_two(spark, _clustered(spark, d)))
+
+
+@query(f", {_OS} SELECT event_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(m, 6) AS m FROM mm WHERE m > 60 AND m < 120")
+def zmumu_jagged_clustered(spark, d):
+    """All pairs of muons of an event, bucket by bucket."""
+    return clustered.zmumu_pairs(spark, _clustered(spark, d)).select("event_id", "i", "j", F.round("value", 6).alias("m"))
+
+
+@query("SELECT event_id, CAST(i AS INTEGER) AS i, round(pt, 6) AS pt FROM jets JOIN ev USING (event_id) WHERE met_pt > 60 AND event_id >= (SELECT max(event_id) // 4 FROM ev) AND event_id < (SELECT max(event_id) // 3 FROM ev)")
+def clustered_range(spark, d):
+    """Objects of the selected events in a range of keys, of which other row groups are skipped."""
+    prefix = _clustered(spark, d)
+    last = clustered.table(spark, prefix, "events").agg(F.max("event_id")).first()[0]
+    found = clustered.fetch(spark, prefix, "jets", "met_pt > 60", (last // 4, last // 3), object_columns=["event_id", "i", "pt"])[1]
+    return found.withColumn("pt", F.round("pt", 6))
+
+
 @query("""SELECT event_id, CAST(coalesce(nj, 0) AS INTEGER) AS n_jets, CAST(coalesce(nm, 0) AS INTEGER) AS n_muons FROM ev
     LEFT JOIN (SELECT event_id, count(*) AS nj FROM jets GROUP BY 1) a USING (event_id) LEFT JOIN (SELECT event_id, count(*) AS nm FROM muons GROUP BY 1) b USING (event_id)""")
 def nest_counts(spark, d):
