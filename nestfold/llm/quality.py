@@ -21,9 +21,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nestfold.functions import selection
 from nestfold.llm.tables import small_batches
 from nestfold.storage import drop, written
 
@@ -134,25 +136,15 @@ def _kind(batch: pa.RecordBatch) -> np.ndarray:
 
 def _spreads(rows: DataFrame) -> tuple[list[int], np.ndarray, np.ndarray]:
     """How many rows are bad and good; mean and deviation of their features."""
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = _matrix(b)
-            if len(x):
-                mean = x.mean(axis=0)
-                yield pa.RecordBatch.from_pydict({"good": [int(_kind(b).sum())], "n": [len(x)], "mean": [mean], "spread": [((x - mean) ** 2).sum(axis=0)]})
-
-    n, good, mean, spread = 0, 0, np.zeros(len(NAMES)), np.zeros(len(NAMES))
-    for r in rows.mapInArrow(part, "good long, n long, mean array<double>, spread array<double>").collect():
-        away = np.array(r["mean"]) - mean
-        n, good = n + r["n"], good + r["good"]
-        mean = mean + away * r["n"] / n
-        spread = spread + np.array(r["spread"]) + away**2 * r["n"] * (n - r["n"]) / n
-    return [n - good, good], mean, np.maximum(np.sqrt(spread / n), 1e-6) if n else np.ones(len(NAMES))
+    each = [F.col("x")[i].cast("double") for i in range(len(NAMES))]
+    n, good, *found = rows.agg(F.count("*"), F.sum("quality"), *[F.avg(c) for c in each], *[F.stddev_pop(c) for c in each]).first()
+    if not n:
+        return [0, 0], np.zeros(len(NAMES)), np.ones(len(NAMES))
+    return [n - good, good], np.array(found[: len(NAMES)]), np.maximum(np.array(found[len(NAMES) :]), 1e-6)
 
 
 def _all_pairs(rows: DataFrame, model: Model) -> tuple[float, np.ndarray, np.ndarray]:
-    """``pair_loss`` of a model; each task sends its sums by node to the driver."""
+    """``pair_loss`` of a model. Sums by node are added up on the executors, so the driver gets one of each node."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: tuple[dict, dict] = ({}, {})
@@ -161,52 +153,51 @@ def _all_pairs(rows: DataFrame, model: Model) -> tuple[float, np.ndarray, np.nda
             z, u = (x - model.centre) / model.scale, model.utility(x)
             for q in (0, 1):
                 node_sums(z[kind == q], u[kind == q], sums[q])
+        of = TaskContext.get().partitionId()
         for q in (0, 1):
-            s = pa.array([s[_TRIANGLE].tobytes() for s in sums[q].values()], pa.binary())
-            yield pa.RecordBatch.from_pydict({"good": pa.array([q] * len(s), pa.int64()), "node": pa.array(list(sums[q]), pa.int64()), "s": s})
+            yield _node_rows([(q, node, of, s[_TRIANGLE]) for node, s in sums[q].items()])
 
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, at = None, None  # rows of a node are side by side, in the order of tasks
+        for b in batches:
+            for q, node, s in zip(*(b.column(c).to_pylist() for c in ("good", "node", "s")), strict=True):
+                if at != (q, node):
+                    if at:
+                        yield _node_rows([(*at, 0, have)])
+                    have, at = np.zeros(len(_TRIANGLE[0])), (q, node)
+                have = have + np.frombuffer(s)
+        if at:
+            yield _node_rows([(*at, 0, have)])
+
+    schema = "good long, node long, task long, s binary"
+    made = rows.mapInArrow(part, schema).repartition("good", "node").sortWithinPartitions("good", "node", "task").mapInArrow(together, schema)
     found: tuple[dict, dict] = ({}, {})
-    for r in rows.mapInArrow(part, "good long, node long, s binary").collect():
+    for r in made.select("good", "node", "s").collect():
         s = np.zeros((len(NAMES) + 1,) * 2)
         s[_TRIANGLE] = np.frombuffer(r["s"])
-        s = s + np.triu(s, 1).T
-        into = found[r["good"]]
-        into[r["node"]] = into[r["node"]] + s if r["node"] in into else s
+        found[r["good"]][r["node"]] = s + np.triu(s, 1).T
     return pair_loss(found[1], found[0])
 
 
-def _keys(u: np.ndarray) -> np.ndarray:
-    """Unsigned integers in the order of the numbers."""
-    bits = (u + 0.0).view(np.uint64)
-    return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+def _node_rows(rows: list[tuple]) -> pa.RecordBatch:
+    whole = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
+    return pa.RecordBatch.from_arrays([*whole, pa.array([r[3].tobytes() for r in rows], pa.binary())], ["good", "node", "task", "s"])
 
 
 def _at_places(rows: DataFrame, model: Model, places: list[tuple[int | None, int]]) -> list[float]:
-    """The exact utility at each (quality or None for all, place from 0 in ascending order), found 16 bits at a time."""
-    have, left = [0] * len(places), [place for _, place in places]
-    for shift in (48, 32, 16, 0):
-        wanted = sorted({(-1 if q is None else q, h) for (q, _), h in zip(places, have, strict=True)})
-
-        def part(batches: Iterator[pa.RecordBatch], shift: int = shift, wanted: list = wanted) -> Iterator[pa.RecordBatch]:
-            counts = np.zeros((len(wanted), 1 << 16), np.int64)
-            for b in batches:
-                keys, kind = _keys(model.utility(_matrix(b))) >> np.uint64(shift), _kind(b)
-                for i, (q, h) in enumerate(wanted):
-                    some = keys[(keys >> np.uint64(16) == np.uint64(h)) & ((kind == q) | (q < 0))]
-                    counts[i] += np.bincount((some & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
-            for i, c in enumerate(counts):
-                there = np.flatnonzero(c)
-                yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int64()), "digit": pa.array([there.tobytes()], pa.binary()), "n": pa.array([c[there].tobytes()], pa.binary())})
-
-        totals = np.zeros((len(wanted), 1 << 16), np.int64)
-        for r in rows.mapInArrow(part, "i long, digit binary, n binary").collect():
-            totals[r["i"], np.frombuffer(r["digit"], np.int64)] += np.frombuffer(r["n"], np.int64)
-        for j, (q, _) in enumerate(places):
-            to = totals[wanted.index((-1 if q is None else q, have[j]))].cumsum()
-            digit = int(np.searchsorted(to, left[j], side="right"))
-            left[j] -= int(to[digit - 1]) if digit else 0
-            have[j] = have[j] << 16 | digit
-    return [float(np.array([h ^ (1 << 63) if h >> 63 else h ^ ((1 << 64) - 1)], np.uint64).view(float)[0]) for h in have]
+    """The exact utility at each (quality or None for all, place from 0 in ascending order), found digit by digit (see ``selection``)."""
+
+    def utilities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"q": pa.array(_kind(b), pa.int64()), "u": model.utility(_matrix(b))})
+
+    spark = rows.sparkSession
+    found = written(rows.mapInArrow(utilities, "q long, u double"), "utilities")
+    values = found.select(F.explode(F.array("q", F.lit(-1).cast("long"))).alias("q"), selection.ordered_bits(F.col("u")).alias("key"), "u")
+    wanted = spark.createDataFrame([(-1 if q is None else q, place, k) for k, (q, place) in enumerate(places)], "q long, place long, k int")
+    out = {r["k"]: r["value"] for r in selection.at_places(values, wanted, ["q"], "key", "u").collect()}
+    drop(found)
+    return [out[k] for k in range(len(places))]
 
 
 def fit_pairs(rows: DataFrame, l2: float = 1e-3, steps: int = 50) -> Model:
