@@ -15,6 +15,7 @@ from nestfold.functions.kinematics import mass, total
 from nestfold.operators import nesting, record, regression, shards, tables
 from nestfold.plans import adl
 from nestfold.sources import datasets
+from nestfold.sources.root import write_root
 from nestfold.tools import analysis, mcp, timing
 from nestfold.tools.records import Checks
 
@@ -48,14 +49,19 @@ def _nested(flat: dict[str, DataFrame]) -> DataFrame:
 
 
 def make_nano(spark, a) -> None:
-    datasets.sample_rows(spark, a.events, a.seed, not a.no_triggers).coalesce(1).write.mode("overwrite").parquet(a.out)
+    """Invented events as Parquet, or as a tree if the name ends in .root."""
+    rows = datasets.sample_rows(spark, a.events, a.seed, not a.no_triggers).coalesce(1)
+    if a.out.endswith(".root"):
+        write_root(rows, a.out, mode="overwrite")
+    else:
+        rows.write.mode("overwrite").parquet(a.out)
 
 
 def manifest(spark, a) -> None:
     made = _manifest(a.out) if os.path.exists(a.out) and not a.fresh else Manifest(KeyLayout(a.entry_bits))
     for path in a.files:
         if path not in made:
-            made.add(path, spark.read.parquet(path).count() if a.count_entries else None)
+            made.add(path, datasets.entries_of(spark, path) if a.count_entries else None)
     _save(a.out, made.to_json())
     print(f"{len(made.files)} files")
 

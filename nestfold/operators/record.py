@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from nestfold.functions.keys import Manifest, ShardMap
 from nestfold.operators import snapshots
 from nestfold.sources.datasets import Dataset, Wide, keyed, tables
+from nestfold.sources.root import Opened, read_root, schema_of
 from nestfold.storage import children, exists, make_folder, move, qualified, remove
 
 #: A list of more files than this meets the rows in a shuffled join.
@@ -43,7 +44,7 @@ def _one_file(path: str) -> tuple[str, object]:
     return path.rstrip("/") + inside[0].path[len(name.rstrip("/")) :], (system, inside[0].path)
 
 
-def footers(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame:
+def footers(spark: SparkSession, files: list[tuple[int, str]], dataset: Dataset) -> DataFrame:
     """(file_id, path, file, rows, columns, layout, error) of (file id, path): what each file's footer says, read on the executors."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -54,6 +55,10 @@ def footers(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame:
             for path in b["path"]:
                 try:
                     file, (system, name) = _one_file(path)
+                    if file.endswith(".root"):
+                        with Opened(file, dataset.tree) as o:
+                            told.append((file, o.tree.entries, [*o.tree.branches], f"root {schema_of(o.tree).simpleString()}", None))
+                        continue
                     with system.open_input_file(name) as f:
                         found = parquet.ParquetFile(f)
                         schema = found.schema_arrow.remove_metadata()
@@ -75,7 +80,7 @@ def row_path() -> Column:
 
 def checked(spark: SparkSession, manifest: Manifest, dataset: Dataset, files: list[dict], entries: tuple[int, int | None], shards: ShardMap | None = None) -> list[dict]:
     """``files`` with what their footers say: file, layout, first, stop (of entries), and error (None: can be loaded)."""
-    told = {r["file_id"]: r for r in footers(spark, [(f["file_id"], f["path"]) for f in files]).collect()}
+    told = {r["file_id"]: r for r in footers(spark, [(f["file_id"], f["path"]) for f in files], dataset).collect()}
     out = []
     for f in files:
         found = told[f["file_id"]]
@@ -102,15 +107,23 @@ def scan(spark: SparkSession, files: list[dict], dataset: Dataset, manifest: Man
     for f in files:
         layouts.setdefault(f["layout"], []).append(f["file"])
     found = []
-    for paths in layouts.values():
+    for layout, paths in layouts.items():
+        if layout.startswith("root "):
+            rows = read_root(spark, paths, dataset).withColumn("_path", F.regexp_replace("path", "^file:/+", "file:/")).drop("path")
+            found.append(_placed(rows, named, dataset, manifest))
+            continue
         rows = spark.read.schema(spark.read.parquet(paths[0]).schema).option("ignoreCorruptFiles", skip_corrupt).parquet(*paths)
         dataset.check(rows)
         placed = rows.select("*", row_path().alias("_path"), F.col("_metadata.row_index").alias("entry"))
-        met = placed.join(named, "_path").where("entry >= _first AND entry < _stop")
-        found.append(keyed(met, dataset, F.col("_file"), manifest.layout).drop("_path", "_file", "_first", "_stop", "entry"))
+        found.append(_placed(placed, named, dataset, manifest))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
 
 
+def _placed(rows: DataFrame, named: DataFrame, dataset: Dataset, manifest: Manifest) -> DataFrame:
+    met = rows.join(named, "_path").where("entry >= _first AND entry < _stop")
+    return keyed(met, dataset, F.col("_file"), manifest.layout).drop("_path", "_file", "_first", "_stop", "entry")
+
+
 def _counts(spark: SparkSession, root: str, named: str, dataset: Dataset, shard: str | None) -> tuple[dict, dict]:
     """({file id: events}, {file id: a table that lacks rows}) of what a commit wrote."""
     there = lambda name: f"{root}/{name}/commit={named}" + (f"/shard={shard}" if shard else "")

@@ -11,7 +11,7 @@ from nestfold.functions.kinematics import mass, p4, register, total_of
 from nestfold.operators import clustered, nesting, record, shards, tables
 from nestfold.plans import adl
 from nestfold.plans.fixture import ORACLE, events, nested, objects, store_clustered
-from nestfold.sources import datasets
+from nestfold.sources import datasets, root
 from nestfold.storage import children, new_path
 from nestfold.tools.scoring import compare
 
@@ -546,6 +546,15 @@ def source_jets(spark, d):
     return made.withColumns({c: F.round(c, 6) for c in ("pt", "eta")})
 
 
+@query(f"SELECT {_KEY} AS event_id, CAST(i AS INTEGER) AS jet_index, round(pt, 6) AS pt, round(eta, 6) AS eta FROM jets")
+def root_jets(spark, d):
+    """The jets of trees that were written to ROOT files and read back."""
+    path = new_path(spark, "trees")
+    root.write_root(_nano(spark, d), path, cluster=1000)
+    rows = root.read_root(spark, path, columns=["event_id", "Jet_pt", "Jet_eta"], entries=4000)
+    return datasets.objects_table(rows, _NANO.collections[0]).withColumns({c: F.round(c, 6) for c in ("pt", "eta")})
+
+
 @query(f"""SELECT {_KEY} AS event_id, round(met_pt + CASE WHEN event_id // 1000 = 2 AND event_id % 1000 BETWEEN 100 AND 599 THEN 1 ELSE 0 END, 6) AS met_pt, CAST(count(i) AS BIGINT) AS n
     FROM ev LEFT JOIN (SELECT * FROM muons WHERE NOT (event_id // 1000 = 2 AND event_id % 1000 BETWEEN 100 AND 599)) USING (event_id) GROUP BY ALL""")
 def replace_range(spark, d):

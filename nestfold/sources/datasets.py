@@ -75,22 +75,41 @@ DATASETS = {d.name: d for d in (DIMUON, NANOAOD)}
 
 
 def read(spark: SparkSession, path: str, dataset: Dataset, first: int = 0, stop: int | None = None) -> DataFrame:
-    """A Parquet file in the source layout, with ``entry``: a row's place in its file.
+    """A Parquet file, or a ROOT file if its name ends in .root, in the source layout, with ``entry``: a row's place in its file.
 
     A folder stands for the one file in it; with more, places would not be unique, so that is an error.
     """
-    rows = spark.read.parquet(path)
-    if len(files := rows.inputFiles()) > 1:
+    if path.rstrip("/").endswith(".root"):
+        from nestfold.sources.root import files_of, read_root
+
+        rows, files = read_root(spark, path, dataset).drop("path"), files_of(path)
+    else:
+        rows = spark.read.parquet(path)
+        files = rows.inputFiles()
+        dataset.check(rows)
+        rows = rows.withColumn("entry", F.col("_metadata.row_index"))
+    if len(files) > 1:
         raise ValueError(f"{path} has {len(files)} files; each needs a file id of its own")
-    dataset.check(rows)
-    rows = rows.withColumn("entry", F.col("_metadata.row_index"))
     rows = rows.where(F.col("entry") >= first) if first else rows
     return rows if stop is None else rows.where(F.col("entry") < stop)
 
 
+def entries_of(spark: SparkSession, path: str) -> int:
+    """How many entries a file has."""
+    if path.rstrip("/").endswith(".root"):
+        from nestfold.sources.root import Opened, files_of
+
+        total = 0
+        for file in files_of(path):
+            with Opened(file, None) as o:
+                total += o.tree.entries
+        return total
+    return spark.read.parquet(path).count()
+
+
 def chunks(spark: SparkSession, path: str, dataset: Dataset, step: int, first: int = 0, stop: int | None = None) -> Iterator[DataFrame]:
     """A file's entries from ``first`` to before ``stop``, ``step`` at a time; for what has to go chunk by chunk, as Spark itself splits its input."""
-    end = read(spark, path, dataset).count() if stop is None else stop
+    end = entries_of(spark, path) if stop is None else stop
     for at in range(first, end, step):
         yield read(spark, path, dataset, at, min(at + step, end))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nestfold.functions.keys import KeyLayout, Manifest, ShardMap
 from nestfold.operators import record, shards, snapshots, tables
 from nestfold.sources.datasets import NANOAOD, sample_rows
+from nestfold.sources.root import write_root
 
 NAMES = ("events", "jets", "muons")
 
@@ -172,9 +173,11 @@ def test_files_of_two_layouts_and_shards(spark, tmp_path):
     sample_rows(spark, 6, 9, triggers=False).coalesce(1).write.parquet(str(tmp_path / "plain"))
     m.add(str(tmp_path / "plain"))
     split = ShardMap([("a", 0, 1), ("b", 1, None)])
+    write_root(sample_rows(spark, 7, 4).coalesce(1), str(tmp_path / "tree.root"))
+    m.add(str(tmp_path / "tree.root"))
     told = record.ingest_record(spark, m, NANOAOD, root, split)
-    assert told.where("status = 'ok'").agg(F.sum("rows")).first()[0] == 24
+    assert told.where("status = 'ok'").agg(F.sum("rows")).first()[0] == 31
     both = shards.table(spark, root, split, "events")
-    assert {(r["shard"], r["file_id"], r["n"]) for r in both.groupBy("shard", "file_id").agg(F.count("*").alias("n")).collect()} == {("a", 0, 10), ("b", 1, 8), ("b", 2, 6)}
+    assert {(r["shard"], r["file_id"], r["n"]) for r in both.groupBy("shard", "file_id").agg(F.count("*").alias("n")).collect()} == {("a", 0, 10), ("b", 1, 8), ("b", 2, 6), ("b", 3, 7)}
     assert both.where("file_id = 2 AND hlt_isomu24 IS NOT NULL").count() == 0 < both.where("hlt_isomu24 IS NOT NULL").count()
     assert json.loads(snapshots.version(spark, f"{root}/b").to_json())["number"] == 1
