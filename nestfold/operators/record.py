@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from nestfold.functions.keys import Manifest, ShardMap
 from nestfold.operators import snapshots
 from nestfold.sources.datasets import Dataset, Wide, keyed, tables
-from nestfold.sources.root import Opened, read_root, schema_of
+from nestfold.sources.root import Opened, described, read_root
 from nestfold.storage import children, exists, make_folder, move, qualified, remove
 
 #: A list of more files than this meets the rows in a shuffled join.
@@ -57,7 +57,7 @@ def footers(spark: SparkSession, files: list[tuple[int, str]], dataset: Dataset)
                     file, (system, name) = _one_file(path)
                     if file.endswith(".root"):
                         with Opened(file, dataset.tree) as o:
-                            told.append((file, o.tree.entries, [*o.tree.branches], f"root {schema_of(o.tree).simpleString()}", None))
+                            told.append((file, o.tree.entries, [*o.tree.branches], f"root {described(o.tree)}", None))
                         continue
                     with system.open_input_file(name) as f:
                         found = parquet.ParquetFile(f)

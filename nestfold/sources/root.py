@@ -65,11 +65,15 @@ class Opened:
         self.stream.close()
 
 
-def schema_of(tree: Tree) -> StructType:
+def described(tree: Tree) -> str:
     """What Spark calls the branches that can be read, and ``entry``."""
     kinds = [(n, b.arrow) for n, b in tree.branches.items()]
     told = [f"`{n}` " + (f"array<{SPARK_TYPES[k.value_type]}>" if pa.types.is_list(k) else SPARK_TYPES[k]) for n, k in kinds]
-    return StructType.fromDDL(", ".join([*told, "entry long"]))
+    return ", ".join([*told, "entry long"])
+
+
+def schema_of(tree: Tree) -> StructType:
+    return StructType.fromDDL(described(tree))
 
 
 @dataclass
