@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from nestfold.functions.keys import KeyLayout, Manifest, ShardMap
 from nestfold.functions.kinematics import mass, total
-from nestfold.operators import nesting, record, regression, shards, tables
+from nestfold.operators import nesting, record, regression, set_network, shards, tables
 from nestfold.plans import adl
 from nestfold.sources import datasets
 from nestfold.sources.root import write_root
@@ -147,8 +147,10 @@ def bench(spark, a) -> None:
 def learn(spark, a) -> None:
     """Train on a value of the events, and tell R2 on held-out ones and events a second."""
     events = _nested(_flat(spark, a.path, "nanoaod")) if a.path else datasets.synthetic_events(spark, a.events, seed=a.seed)
-    rows = regression.dataset(events, target=a.target)
-    _, r2 = regression.train(rows, trees=a.trees)
+    if a.network:
+        r2 = set_network.train(events, target=a.target, seed=a.seed)[1]
+    else:
+        r2 = regression.train(regression.dataset(events, target=a.target), trees=a.trees)[1]
     print(json.dumps({"r2": round(r2, 4), **regression.throughput(events, a.target)}))
 
 
@@ -231,7 +233,7 @@ def parser() -> argparse.ArgumentParser:
         verb(verbs, name, reconstruct, path, ("--where", {"default": "mass BETWEEN 60 AND 120" if name == "roundtrip" else "true"}))
     verb(verbs, "adl", run_adl, path, where)
     verb(verbs, "bench", bench, path, ("--repeats", {"type": int, "default": 5}))
-    verb(verbs, "learn", learn, ("--path", {"default": None}), ("--events", {"type": int, "default": 20_000}), ("--seed", {"type": int, "default": 0}), ("--target", {"default": "met_pt"}), ("--trees", {"action": "store_true"}))
+    verb(verbs, "learn", learn, ("--path", {"default": None}), ("--events", {"type": int, "default": 20_000}), ("--seed", {"type": int, "default": 0}), ("--target", {"default": "met_pt"}), ("--trees", {"action": "store_true"}), ("--network", {"action": "store_true"}))
     agent = group("agent")
     log, kept, replayed = ("--check-log", {"default": None}), ("--references", {"default": None}), ("--replay", {"default": None})
     verb(agent, "eval", agent_eval, path, ("--queries", {"nargs": "*"}), replayed, kept)

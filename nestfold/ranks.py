@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nestfold.storage import written
-
 
 def slots(df: DataFrame, groups: list[str], bucket: str, order: list[str], name: str) -> DataFrame:
     """Number the rows of every group from 0, by ``bucket`` and then ``order``.
@@ -30,13 +28,3 @@ def slots(df: DataFrame, groups: list[str], bucket: str, order: list[str], name:
 def spread(key: Column, buckets: int) -> Column:
     """A bucket from 0 to ``buckets`` - 1 that depends on the key alone."""
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-
-
-def in_order(df: DataFrame, value: str, name: str = "place") -> DataFrame:
-    """``df`` with each row's place from 0 in the order of ``value``, nulls first and NaN last.
-
-    Rows are dealt by ranges of the value and a salt, so a value that very many rows have is not one task.
-    """
-    salted = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
-    rows = salted.repartitionByRange(value, "_salt").drop("_salt").withColumn("_part", F.spark_partition_id())
-    return slots(written(rows, "ordered"), [], "_part", [value], name).drop("_part")

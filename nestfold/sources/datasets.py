@@ -6,7 +6,6 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,12 +150,21 @@ def tables(rows: DataFrame, dataset: Dataset) -> dict[str, DataFrame]:
     return {"events": events_table(rows, dataset)} | {c.name: objects_table(rows, c) for c in dataset.collections}
 
 
+def _draw(seed: int, *of) -> Column:
+    """A number from 0 to below 1 that follows from ``seed`` and ``of`` alone."""
+    return F.pmod(F.xxhash64(F.lit(seed), *of), F.lit(1 << 52)).cast("double") / float(1 << 52)
+
+
+def _numbers(count: Column) -> Column:
+    return F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+
+
 def synthetic_events(spark: SparkSession, n: int, avg_jets: float = 6.0, seed: int = 0, parts: int | None = None) -> DataFrame:
     """Nested events for learning: a Poisson number of jets each, and a MET that their sum and spread say, with noise.
 
     Made on the executors; an event follows from the seed and its id alone.
     """
-    draw = lambda *of: F.pmod(F.xxhash64(F.lit(seed), *of), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    draw = lambda *of: _draw(seed, *of)
     key = F.col("event_id")
     # a Poisson number by inversion: how many of the first cumulative chances are below a draw
     chances, term = [], math.exp(-avg_jets)
@@ -171,32 +179,36 @@ def synthetic_events(spark: SparkSession, n: int, avg_jets: float = 6.0, seed: i
             (20.0 - 30.0 * F.log(1 - u("pt"))).alias("pt"), (u("eta") * 5 - 2.5).alias("eta"), (u("phi") * 2 * F.pi() - F.pi()).alias("phi"), (u("mass") * 15 + 5).alias("mass"),
         )
 
-    numbers = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    made = spark.range(0, n, 1, parts).select(F.col("id").alias("event_id")).withColumn("jets", F.transform(numbers, jet))
+    made = spark.range(0, n, 1, parts).select(F.col("id").alias("event_id")).withColumn("jets", F.transform(_numbers(count), jet))
     total = lambda of: F.aggregate("jets", F.lit(0.0), lambda s, j: s + of(j))
     noise = F.sqrt(-2 * F.log(1 - draw(key, F.lit("a")))) * F.cos(2 * F.pi() * draw(key, F.lit("b")))
     met = 0.2 * total(lambda j: j["pt"]) + 3.0 * total(lambda j: j["eta"] * j["eta"]) + 2.0 * noise
     return made.withColumns({"met_pt": F.abs(met), "met_phi": draw(key, F.lit("phi")) * 2 * F.pi() - F.pi()})
 
 
-def sample_rows(spark: SparkSession, n: int, seed: int = 1, triggers: bool = True) -> DataFrame:
-    """Invented events in the nanoaod layout, the same for the same seed; for tests and examples."""
-    rng = np.random.default_rng(seed)
-    rows = []
-    for i in range(n):
-        jets, muons = int(rng.integers(0, 8)), int(rng.integers(0, 5))
-        muon_pt = (5 + rng.exponential(20, muons)).tolist()
-        row = {
-            "run": 1, "luminosityBlock": int(rng.integers(1, 2000)), "event": i, "MET_pt": float(rng.exponential(30)), "MET_phi": float(rng.uniform(-np.pi, np.pi)),
-            "Jet_pt": (15 + rng.exponential(40, jets)).tolist(), "Jet_eta": rng.uniform(-4, 4, jets).tolist(), "Jet_phi": rng.uniform(-np.pi, np.pi, jets).tolist(), "Jet_mass": rng.uniform(2, 25, jets).tolist(),
-            "Muon_pt": muon_pt, "Muon_eta": rng.uniform(-2.5, 2.5, muons).tolist(), "Muon_phi": rng.uniform(-np.pi, np.pi, muons).tolist(), "Muon_mass": [0.10566] * muons, "Muon_charge": rng.choice([-1, 1], muons).tolist(),
-        }
-        if triggers:
-            lead = max(muon_pt, default=0.0)
-            row |= {f"HLT_IsoMu{t}": bool(lead > t and rng.random() < 0.9) for t in (24, 27)}
-        rows.append(row)
-    lists = lambda kind, names: ", ".join(f"{kind}_{f} array<double>" for f in names)
-    schema = "run int, luminosityBlock int, event long, MET_pt double, MET_phi double, " + lists("Jet", ("pt", "eta", "phi", "mass")) + ", " + lists("Muon", ("pt", "eta", "phi", "mass")) + ", Muon_charge array<int>"
-    schema += ", HLT_IsoMu24 boolean, HLT_IsoMu27 boolean" if triggers else ""
-    names = [c.strip().split()[0] for c in schema.split(",")]
-    return spark.createDataFrame([tuple(r[c] for c in names) for r in rows], schema)
+def sample_rows(spark: SparkSession, n: int, seed: int = 1, triggers: bool = True, parts: int | None = None) -> DataFrame:
+    """Invented events in the nanoaod layout: 0 to 7 jets, 0 to 4 muons, and triggers that ask for a muon of 24 or 27.
+
+    Made on the executors. Every number follows from the seed, the event, the object and the field alone,
+    so it is the same however rows are dealt, and with and without triggers.
+    """
+    key, turn = F.col("event"), 2 * math.pi
+    even = lambda low, high, *of: low + (high - low) * _draw(seed, key, *of)
+    decay = lambda least, mean, *of: least - mean * F.log(1 - _draw(seed, key, *of))
+    whole = lambda low, high, name: F.floor(even(low, high, F.lit(name))).cast("int")
+    each = lambda count, f: F.transform(_numbers(F.col(count)), f)
+    kinds = {
+        "Jet_pt": ("jets", lambda i: decay(15, 40, i, F.lit("Jet_pt"))), "Jet_eta": ("jets", lambda i: even(-4, 4, i, F.lit("Jet_eta"))), "Jet_phi": ("jets", lambda i: even(-math.pi, turn / 2, i, F.lit("Jet_phi"))), "Jet_mass": ("jets", lambda i: even(2, 25, i, F.lit("Jet_mass"))),
+        "Muon_pt": ("muons", lambda i: decay(5, 20, i, F.lit("Muon_pt"))), "Muon_eta": ("muons", lambda i: even(-2.5, 2.5, i, F.lit("Muon_eta"))), "Muon_phi": ("muons", lambda i: even(-math.pi, turn / 2, i, F.lit("Muon_phi"))), "Muon_mass": ("muons", lambda i: F.lit(0.10566)),
+        "Muon_charge": ("muons", lambda i: F.when(even(0, 1, i, F.lit("Muon_charge")) < 0.5, -1).otherwise(1)),
+    }
+    rows = spark.range(0, n, 1, parts).select(
+        F.lit(1).alias("run"), F.col("id").alias("event"),
+    ).withColumns({"luminosityBlock": whole(1, 2000, "luminosityBlock"), "MET_pt": decay(0, 30, F.lit("MET_pt")), "MET_phi": even(-math.pi, turn / 2, F.lit("MET_phi")), "jets": whole(0, 8, "jets"), "muons": whole(0, 5, "muons")})
+    rows = rows.withColumns({name: each(count, f) for name, (count, f) in kinds.items()})
+    names = ["run", "luminosityBlock", "event", "MET_pt", "MET_phi", *kinds]
+    if triggers:
+        lead, fired = F.coalesce(F.array_max("Muon_pt"), F.lit(0.0)), even(0, 1, F.lit("fired")) < 0.9
+        rows = rows.withColumns({f"HLT_IsoMu{t}": (lead > t) & fired for t in (24, 27)})
+        names += ["HLT_IsoMu24", "HLT_IsoMu27"]
+    return rows.select(names)
