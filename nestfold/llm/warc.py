@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,20 +81,56 @@ def records_of(page_id: int, payload: bytes, refers_to: int | None, segment: int
         yield _record([*kind, ("WARC-Record-ID", record_id(page_id, n)), *common, *numbered, *total], part)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of every record of an archive; lengths alone say where a record ends."""
-    at = 0
+def members(data: bytes) -> Iterator[bytes]:
+    """An archive's bytes without compression: each gzip member in turn, or all as they are."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    view, at = memoryview(data), 0
     while at < len(data):
-        end = data.index(END, at)
-        first, *lines = data[at:end].decode().split("\r\n")
-        if not first.startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        headers = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
-        start, size = end + len(END), int(headers["content-length"])
-        if data[start + size : start + size + 4] != END:
-            raise ValueError(f"the record at byte {at} has not the length it states")
-        yield headers, data[start : start + size]
-        at = start + size + len(END)
+        one, out = zlib.decompressobj(31), []
+        while not one.eof:
+            if at == len(data):
+                raise ValueError("a gzip member breaks off")
+            piece = view[at : at + (1 << 16)]
+            out.append(one.decompress(piece))
+            at += len(piece) - len(one.unused_data)
+        yield b"".join(out)
+        while at < len(data) and not data[at]:  # padding may follow a member
+            at += 1
+
+
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of every record of an archive, compressed member by member or not; lengths alone say where a record ends.
+
+    Header names are in lower case; of a repeated name the values are joined by a comma, and a line that begins with
+    white space goes on the one before. Headers are UTF-8; bytes that are not are read as Latin-1.
+    """
+    for whole in members(data):
+        at = 0
+        while at < len(whole):
+            end = whole.find(END, at)
+            head = whole[at:end] if end >= 0 else b""
+            if not head.startswith(b"WARC/"):
+                raise ValueError(f"no record at byte {at}")
+            try:
+                lines = head.decode().split("\r\n")
+            except UnicodeDecodeError:
+                lines = head.decode("latin-1").split("\r\n")
+            headers: dict[str, str] = {}
+            name = ""
+            for line in lines[1:]:
+                if line[:1] in (" ", "\t") and name:
+                    headers[name] += " " + line.strip()
+                    continue
+                name, _, value = line.partition(":")
+                name = name.strip().lower()
+                headers[name] = f"{headers[name]}, {value.strip()}" if name in headers else value.strip()
+            start, size = end + len(END), int(headers["content-length"])
+            if whole[start + size : start + size + 4] != END:
+                raise ValueError(f"the record at byte {at} has not the length it states")
+            yield headers, whole[start : start + size]
+            at = start + size + len(END)
 
 
 def payloads(pages: DataFrame, least: int = 100) -> DataFrame:
@@ -138,32 +176,108 @@ def write(rows: DataFrame, path: str, segment: int = 64 << 10, records_per_file:
     made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Every record under ``path``, one row each."""
+def archive(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
+    """(file, place, record_id, type, target_uri, date, headers, block) of every record of the archives under ``path``.
 
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Any WARC archives, plain or of gzip members, with records of any type: warcinfo, request, response,
+    resource, metadata, revisit, conversion, continuation. An archive that breaks a rule raises, with
+    its name. A task holds one archive at a time.
+    """
+    kinds = {"file": pa.string(), "place": pa.int32(), "record_id": pa.string(), "type": pa.string(), "target_uri": pa.string(), "date": pa.string(), "headers": pa.map_(pa.string(), pa.string()), "block": pa.binary()}
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch["content"]:
-                rows = [
-                    (
-                        h["warc-record-id"],
-                        h["warc-type"],
-                        int(h["x-page-id"]),
-                        int(x) if (x := h.get("x-refers-to-page-id")) else None,
-                        h.get("warc-segment-origin-id", h["warc-record-id"]),
-                        int(x) if (x := h.get("warc-segment-number")) else None,
-                        int(x) if (x := h.get("warc-segment-total-length")) else None,
-                        h.get("warc-payload-digest", "").removeprefix("sha256:") or None,
-                        int(h["x-payload-length"]),
-                        block,
-                    )
-                    for h, block in parse(content)
-                ]
-                frame = pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")])
-                yield frame.astype({"refers_to": "Int64", "total": "Int64", "number": "Int32"})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInPandas(records, RECORD)
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows, held = [], 0
+                try:
+                    for place, (h, block) in enumerate(parse(content)):
+                        rows.append((file, place, h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-date"), [*h.items()], block))
+                        held += len(block) + 500
+                        if held > 4 << 20:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], [*kinds])
+                            rows, held = [], 0
+                except (ValueError, KeyError, zlib.error) as e:
+                    raise ValueError(f"{file}: {e}") from e
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], [*kinds])
+
+    small_batches(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return files.mapInArrow(records, "file string, place int, record_id string, type string, target_uri string, date string, headers map<string,string>, block binary")
+
+
+def read(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
+    """Every record under ``path`` that names a page, one row each (see ``write``); other records, as of foreign archives, are passed over."""
+    h = lambda name: F.col("headers")[name]
+    own = archive(spark, path, names).where(h("x-page-id").isNotNull())
+    return own.select(
+        "record_id", "type", h("x-page-id").cast("long").alias("page_id"), h("x-refers-to-page-id").cast("long").alias("refers_to"), F.coalesce(h("warc-segment-origin-id"), "record_id").alias("origin"),
+        h("warc-segment-number").cast("int").alias("number"), h("warc-segment-total-length").cast("long").alias("total"), F.regexp_replace(h("warc-payload-digest"), "^sha256:", "").alias("digest"), h("x-payload-length").cast("long").alias("declared"), "block",
+    )
+
+
+def entity(block: bytes, content_type: str | None) -> bytes:
+    """The payload of a record's block: the body of an HTTP message without chunks and content coding, or the block itself.
+
+    Codings other than gzip and deflate are left as they are.
+    """
+    if not (content_type or "").lower().startswith("application/http"):
+        return block
+    head, _, body = block.partition(END)
+    fields = {k.strip().lower(): v.strip().lower() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
+    if b"chunked" in fields.get(b"transfer-encoding", b""):
+        body = unchunked(body)
+    coding = fields.get(b"content-encoding", b"")
+    if coding in (b"gzip", b"x-gzip"):
+        return b"".join(members(body))
+    return zlib.decompress(body) if coding == b"deflate" and body[:1] == b"\x78" else body
+
+
+def assembled(records: DataFrame) -> DataFrame:
+    """(record_id, type, target_uri, date, headers, block, payload, problem) of ``archive``: segments together in one row, in the place of their first record.
+
+    Continuations are grouped by the record that they name, put in the order of their numbers, and
+    held against the total length. problem says what is wrong: a segment that is missing or repeated,
+    another total length, a continuation without its first record, broken framing; it is null if
+    nothing is. Groups are as large as one record's block.
+    """
+    h = lambda name: F.col("headers")[name]
+    part = records.withColumns({"_origin": F.coalesce(h("warc-segment-origin-id"), "record_id"), "_number": h("warc-segment-number").cast("int"), "_total": h("warc-segment-total-length").cast("long")})
+    out = "record_id string, type string, target_uri string, date string, headers map<string,string>, block binary, payload binary, problem string"
+    named = [c.split()[0] for c in out.split(", ")]
+
+    def finished(row: dict, block: bytes, problem: str | None) -> dict:
+        payload = None
+        if not problem:
+            try:
+                payload = entity(block, dict(row["headers"]).get("content-type"))
+            except (ValueError, zlib.error) as e:
+                problem = f"broken framing: {e}"
+        return {k: row[k] for k in named[:5]} | {"block": block, "payload": payload, "problem": problem}
+
+    def table(rows: list[dict]) -> pa.Table:
+        kinds = [pa.string()] * 4 + [pa.map_(pa.string(), pa.string()), pa.binary(), pa.binary(), pa.string()]
+        return pa.table([pa.array([r[n] for r in rows], t) for n, t in zip(named, kinds, strict=True)], named)
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from table([finished(r, r["block"], None) for r in b.to_pylist()]).to_batches()
+
+    def joined(rows: pa.Table) -> pa.Table:
+        parts = sorted(rows.to_pylist(), key=lambda r: r["_number"] or 0)
+        block, first, problem = b"".join(r["block"] for r in parts), parts[0], None
+        numbers = [r["_number"] for r in parts]
+        if first["type"] == "continuation":
+            problem = "continuations without their first record"
+        elif numbers != list(range(1, len(parts) + 1)):
+            problem = f"segments {numbers} are there"
+        elif parts[-1]["_total"] != len(block):
+            problem = f"{len(block)} bytes, the last segment states {parts[-1]['_total']}"
+        return table([finished(first, block, problem)])
+
+    alone = (F.col("type") != "continuation") & F.col("_number").isNull()
+    one = part.where(F.coalesce(alone, F.lit(True))).select(*named[:6]).mapInArrow(single, out)
+    return one.unionByName(part.where(~alone).groupBy("_origin").applyInArrow(joined, out))
 
 
 def reassembled(records: DataFrame) -> DataFrame:
