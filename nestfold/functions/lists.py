@@ -203,3 +203,21 @@ def linspace(low: float, high: float, n: int) -> Column:
     if n < 2:
         return F.array(*[F.lit(float(low))] * n)
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(float(low)) + i * ((high - low) / (n - 1)))
+
+
+def quantile(items: Column, share: float | Column) -> Column:
+    """The quantile of a list's numbers that are neither null nor NaN, interpolated between neighbours; null of none."""
+    ordered = F.array_sort(F.filter(items, lambda x: x.isNotNull() & ~F.isnan(x)))
+    at = (F.lit(share) if isinstance(share, float | int) else share) * (F.size(ordered) - 1)
+    low = F.floor(at).cast("int")
+    below, above = F.get(ordered, low), F.get(ordered, F.ceil(at).cast("int"))
+    return F.when(F.size(ordered) > 0, below + (above - below) * (at - low))
+
+
+def median(items: Column) -> Column:
+    return quantile(items, 0.5)
+
+
+def searchsorted(items: Column, x: Column, right: bool = False) -> Column:
+    """Where ``x`` would go in a sorted list: before equal elements, or after them if ``right``. Elements that are null do not count."""
+    return F.size(F.filter(items, lambda v: F.coalesce(v <= x if right else v < x, F.lit(False))))

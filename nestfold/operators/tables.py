@@ -92,12 +92,20 @@ def store_nested(nested: DataFrame, table: str, buckets: int) -> DataFrame:
     return nested.sparkSession.table(table)
 
 
-def migrate(spark: SparkSession, root: str, to: str, names: list[str], old: KeyLayout, new: KeyLayout) -> None:
-    """Rewrite stored tables to another key layout under ``to``; all are checked before any is written."""
-    found = {n: stored(spark, root, n).drop("file_id") for n in names}
+def migrate(spark: SparkSession, root: str, to: str, names: list[str], old: KeyLayout, new: KeyLayout, check_only: bool = False) -> None:
+    """Rewrite stored tables to another key layout under ``to``, which may be ``root``; all are checked before any is written.
+
+    In place it is one new version: until that is there, the old keys stay, so old and new keys that
+    collide never meet. With ``check_only``, it only raises if a key does not fit.
+    """
+    found = {n: stored(spark, root, n) for n in names}
     for df in found.values():
         check_conversion(df, old, new)
-    load({n: df.withColumn("event_id", old.converted(F.col("event_id"), new)) for n, df in found.items()}, to, new)
+    if check_only:
+        return
+    files = set().union(*[snapshots.version(spark, root).file_ids(n) for n in names])
+    made = {n: df.drop("file_id").withColumn("event_id", old.converted(F.col("event_id"), new)) for n, df in found.items()}
+    load(made, to, new, ranges={i: (0, None) for i in files})
 
 
 def misplaced(df: DataFrame, shards: ShardMap, layout: KeyLayout) -> DataFrame:

@@ -436,6 +436,15 @@ def list_reductions(spark, d):
     return _lists(spark, d, "pt", "eta").select("event_id", *[c.alias(k) for k, c in made.items()])
 
 
+@query("""SELECT event_id, round(median(pt), 6) AS median, round(quantile_cont(pt, 0.25), 6) AS q25, round(quantile_cont(pt, 0.9), 6) AS q90, CAST(count(*) FILTER (pt < 25) AS INTEGER) AS below, CAST(count(*) FILTER (pt <= 25) AS INTEGER) AS upto
+    FROM ev LEFT JOIN jets USING (event_id) GROUP BY event_id""")
+def list_quantiles(spark, d):
+    """Median and quantiles of each list, and where a number would go in it."""
+    pt = F.col("pt")
+    made = {"median": F.round(lists.median(pt), 6), "q25": F.round(lists.quantile(pt, 0.25), 6), "q90": F.round(lists.quantile(pt, 0.9), 6), "below": lists.searchsorted(lists.sort(pt), F.lit(25.0)), "upto": lists.searchsorted(lists.sort(pt), F.lit(25.0), right=True)}
+    return _lists(spark, d, "pt").select("event_id", *[c.alias(k) for k, c in made.items()])
+
+
 @query("""SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY pt, i) - 1 AS INTEGER) AS rank, CAST(i AS INTEGER) AS place, pt,
     CAST(first_value(i) OVER (PARTITION BY event_id ORDER BY pt, i) AS INTEGER) AS least, CAST(first_value(i) OVER (PARTITION BY event_id ORDER BY pt DESC, i) AS INTEGER) AS largest FROM jets""")
 def list_order(spark, d):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nestfold.functions.keys import KeyLayout
+from nestfold.storage import total_bytes
 
 
 @dataclass(frozen=True)
@@ -106,9 +108,21 @@ def entries_of(spark: SparkSession, path: str) -> int:
     return spark.read.parquet(path).count()
 
 
-def chunks(spark: SparkSession, path: str, dataset: Dataset, step: int, first: int = 0, stop: int | None = None) -> Iterator[DataFrame]:
-    """A file's entries from ``first`` to before ``stop``, ``step`` at a time; for what has to go chunk by chunk, as Spark itself splits its input."""
-    end = entries_of(spark, path) if stop is None else stop
+def entries_in(spark: SparkSession, path: str, step: int | str) -> int:
+    """So many entries of a file as ``step`` says: a number, or a size such as ``100 MB``, of which the file's own bytes an entry tell how many they are."""
+    if isinstance(step, int):
+        return step
+    told = re.fullmatch(r"\s*(\d+(?:\.\d+)?)\s*([kMG]?B)\s*", step)
+    if not told:
+        raise ValueError(f"{step!r} is neither a number of entries nor a size such as 100 MB")
+    size = float(told[1]) * {"B": 1, "kB": 1e3, "MB": 1e6, "GB": 1e9}[told[2]]
+    n = entries_of(spark, path)
+    return max(1, int(size * n / max(total_bytes(spark, path), 1))) if n else 1
+
+
+def chunks(spark: SparkSession, path: str, dataset: Dataset, step: int | str, first: int = 0, stop: int | None = None) -> Iterator[DataFrame]:
+    """A file's entries from ``first`` to before ``stop``, ``step`` at a time, a number or a size (see ``entries_in``); for what has to go chunk by chunk, as Spark itself splits its input."""
+    end, step = entries_of(spark, path) if stop is None else stop, entries_in(spark, path, step)
     for at in range(first, end, step):
         yield read(spark, path, dataset, at, min(at + step, end))
 

@@ -117,6 +117,12 @@ def modified(spark: SparkSession, path: str) -> float:
     return system.getFileStatus(target).getModificationTime() / 1000
 
 
+def total_bytes(spark: SparkSession, path: str) -> int:
+    """The bytes of a file, or of all files in a folder."""
+    system, target = _system(spark, path)
+    return system.getContentSummary(target).getLength()
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """The full name of a path, with its scheme, as Spark's file systems write it."""
     system, target = _system(spark, path)

@@ -145,10 +145,30 @@ def test_a_folder_of_several_files_has_no_places(spark, tmp_path):
     sample_rows(spark, 40, 1).repartition(3).write.parquet(str(tmp_path / "many"))
     sample_rows(spark, 40, 1).coalesce(1).write.parquet(str(tmp_path / "one"))
     assert [c.count() for c in chunks(spark, str(tmp_path / "one"), NANOAOD, 15, 5)] == [15, 15, 5]
+    sizes = [c.count() for c in chunks(spark, str(tmp_path / "one"), NANOAOD, "8 kB")]
+    assert sum(sizes) == 40 and 1 < len(sizes) < 40 and len(set(sizes[:-1])) == 1
+    assert len(list(chunks(spark, str(tmp_path / "one"), NANOAOD, "100 MB"))) == 1
+    with pytest.raises(ValueError, match="nor a size"):
+        list(chunks(spark, str(tmp_path / "one"), NANOAOD, "many"))
     with pytest.raises(ValueError, match="file id of its own"):
         read(spark, str(tmp_path / "many"), NANOAOD)
 
 
+def test_migration_in_place_and_check_only(spark, tmp_path):
+    """From 4 to 6 bits of entries, where new keys of one file are old keys of another."""
+    root, old, new = str(tmp_path / "db"), KeyLayout(4), KeyLayout(6)
+    keys = [(f, e) for f in range(6) for e in range(4)]
+    rows = spark.createDataFrame([(old.key(f, e), 10 * f + e) for f, e in keys], "event_id long, v int")
+    tables.load({"events": rows, "jets": rows}, root, old)
+    tables.migrate(spark, root, root, ["events", "jets"], old, new, check_only=True)
+    assert {r["event_id"] for r in tables.stored(spark, root, "jets").collect()} == {old.key(f, e) for f, e in keys}
+    tables.migrate(spark, root, root, ["events", "jets"], old, new)
+    for name in ("events", "jets"):
+        assert {(r["event_id"], r["v"]) for r in tables.stored(spark, root, name).collect()} == {(new.key(f, e), 10 * f + e) for f, e in keys}
+    with pytest.raises(ValueError, match="does not fit"):
+        tables.migrate(spark, root, root, ["events"], new, KeyLayout(1), check_only=True)
+
+
 def made_file(spark, path, n, seed, muons=True):
     rows = sample_rows(spark, n, seed)
     if not muons:
