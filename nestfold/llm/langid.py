@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from nestfold.llm.tables import small_batches
 
 LONGEST = 5
-WORD = regex.compile(r"\p{L}+")
+#: A word begins with a letter; the marks that go with letters, as vowel signs do, are part of it.
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNDETERMINED = "und"
 
 
@@ -59,7 +60,7 @@ class Model:
 
     def predict(self, text: str | None, cache: dict[str, np.ndarray]) -> tuple[str, float]:
         """The language and its share of the softmax over tempered sums; ``und``, 0 without a letter."""
-        words = WORD.findall(text.lower()) if text else []
+        words = words_of(text)
         if not words or not self.langs:
             return UNDETERMINED, 0.0
         names, rows = self.words
@@ -79,6 +80,11 @@ class Model:
         return self.langs[best], float(shares[best])
 
 
+def words_of(text: str | None) -> list[str]:
+    """The words of a text in lower case, alike for learning and for prediction."""
+    return WORD.findall(text.lower()) if text else []
+
+
 def grams(word: str, n: int) -> list[str]:
     text = f" {word} " if n > 1 else word
     return [text[i : i + n] for i in range(len(text) - n + 1)]
@@ -93,21 +99,29 @@ def sampled(labelled: DataFrame, each: int) -> DataFrame:
     """About ``each`` rows of every lang, all of those with fewer: the rows with the smallest hashes of their id."""
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("_n"))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52)) / float(1 << 52)
-    return labelled.join(F.broadcast(sizes), "lang").where(share < each / F.col("_n")).drop("_n")
+    return labelled.join(sizes, "lang").where(share < each / F.col("_n")).drop("_n")
 
 
 def fit(labelled: DataFrame, each: int = 2_000) -> Model:
     """A model from (doc_id, text, lang).
 
     ``each`` bounds the rows that it learns from, language by language; of those, every word counts,
-    for words and for n-grams. Rows with a null id, text or lang teach nothing. A language is named by
+    for words and for n-grams, so what the driver gets follows the vocabulary of those rows. Rows with a null id, text or lang teach nothing. A language is named by
     every row, so there are few; without rows the model says ``und``.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    words = sampled(rows, each).select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found: Counter = Counter()
+            for lang, text in zip(b["lang"], b["text"], strict=True):
+                found.update((lang, w) for w in words_of(text))
+            yield pd.DataFrame([(lang, w, k) for (lang, w), k in found.items()], columns=["lang", "word", "k"])
+
+    words = sampled(rows, each).select("lang", "text").mapInPandas(part, "lang string, word string, k long")
     counts: dict[str, Counter] = defaultdict(Counter)
-    for lang, word, k in words.groupBy("lang", "word").count().collect():
+    for lang, word, k in words.groupBy("lang", "word").agg(F.sum("k")).collect():
         counts[lang][word] = k
     return Model(counts)
 
