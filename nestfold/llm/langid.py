@@ -18,6 +18,8 @@ LONGEST = 5
 #: A word begins with a letter; the marks that go with letters, as vowel signs do, are part of it.
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNDETERMINED = "und"
+#: So many languages are broadcast with their numbers of rows; above, texts meet them in a shuffled join.
+BROADCAST_LANGS = 100_000
 
 
 class Model:
@@ -99,6 +101,7 @@ def sampled(labelled: DataFrame, each: int) -> DataFrame:
     """About ``each`` rows of every lang, all of those with fewer: the rows with the smallest hashes of their id."""
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("_n"))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52)) / float(1 << 52)
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGS else sizes
     return labelled.join(sizes, "lang").where(share < each / F.col("_n")).drop("_n")
 
 
