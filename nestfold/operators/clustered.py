@@ -22,16 +22,18 @@ def with_vectors(objects: DataFrame) -> DataFrame:
     return objects.select("*", vector).select(*objects.columns, "_v.*")
 
 
-def store(flat: dict[str, DataFrame], prefix: str, buckets: int, group_bytes: int = 8 << 20, key: str = "event_id") -> None:
+def store(flat: dict[str, DataFrame], prefix: str, buckets: int, group_bytes: int = 8 << 20, key: str = "event_id", folder: str | None = None) -> None:
     """Write each table as ``<prefix>_<name>``, in place of one of that name; row groups are of ``group_bytes``.
 
     A column that ends in ``_index``, or ``i``, is an object's place, by which rows of an event are ordered.
-    Choose ``buckets`` so that one has about as many bytes as a task should read.
+    Choose ``buckets`` so that one has about as many bytes as a task should read. With ``folder``, the
+    tables' files go there instead of the warehouse.
     """
     for name, df in flat.items():
         order = [key, *[c for c in df.columns if c == "i" or c.endswith("_index")]]
         rows = df.repartition(buckets, key).sortWithinPartitions(*order)
-        rows.write.bucketBy(buckets, key).sortBy(*order).option("parquet.block.size", group_bytes).mode("overwrite").saveAsTable(f"{prefix}_{name}")
+        at = {"path": f"{folder}/{name}"} if folder else {}
+        rows.write.bucketBy(buckets, key).sortBy(*order).options(**{"parquet.block.size": group_bytes}, **at).mode("overwrite").saveAsTable(f"{prefix}_{name}")
 
 
 def table(spark: SparkSession, prefix: str, name: str, keys: tuple[int, int] | None = None, key: str = "event_id") -> DataFrame:

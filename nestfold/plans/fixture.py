@@ -6,13 +6,14 @@ gives each its place. The same derivation as SQL, in ``ORACLE``, is what results
 
 from __future__ import annotations
 
-import zlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nestfold.operators import clustered
 from nestfold.operators.clustered import with_vectors
+from nestfold.storage import new_path
 
 ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate", "l_discount", "l_tax")
 FIELDS = ("pt", "eta", "phi", "mass")
@@ -74,12 +75,16 @@ def nested(spark: SparkSession, sf_dir: str, jets: bool = True, muons: bool = Tr
 
 
 def store_clustered(spark: SparkSession, sf_dir: str, buckets: int, prefix: str | None = None) -> str:
-    """The flat events, jets and muons as clustered tables, objects with their vectors and events with counts; the tables' prefix."""
-    prefix = prefix or f"clustered_{zlib.crc32(sf_dir.encode()):08x}"
+    """The flat events, jets and muons as clustered tables, objects with their vectors and events with counts; the tables' prefix.
+
+    Without ``prefix``, each call has names and a folder of its own, so that neither another session nor what one left in the warehouse is met.
+    """
+    folder = None if prefix else new_path(spark, "clustered")
+    prefix = prefix or f"clustered_{uuid.uuid4().hex[:12]}"
     both = with_vectors(objects(spark, sf_dir))
     n = lambda of: F.count_if(of).cast("int")
     counts = both.groupBy("event_id").agg(n(~F.col("muon")).alias("n_jets"), n(F.col("muon")).alias("n_muons"))
     flat = {"events": events(spark, sf_dir).join(counts, "event_id", "left").fillna(0, ["n_jets", "n_muons"])}
     flat |= {name: both.where(of).drop("muon") for name, of in (("jets", "NOT muon"), ("muons", "muon"))}
-    clustered.store(flat, prefix, buckets)
+    clustered.store(flat, prefix, buckets, folder=folder)
     return prefix

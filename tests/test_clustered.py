@@ -1,9 +1,14 @@
 """Clustered flat tables: joins without an exchange, row groups that are skipped."""
 
+import zlib
+from pathlib import Path
+from urllib.parse import urlsplit
+
 import pytest
 from pyspark.sql import functions as F
 
 from nestfold.operators import clustered, nesting
+from nestfold.plans.queries import QUERIES
 from nestfold.sources.datasets import NANOAOD, keyed, read, sample_rows
 from nestfold.sources.datasets import tables as tables_of
 
@@ -77,3 +82,14 @@ def test_rows_lie_in_order_and_pairs_agree_with_lists(spark, stored):
     masses = plain.select(F.sqrt(v["e"] ** 2 - v["px"] ** 2 - v["py"] ** 2 - v["pz"] ** 2).alias("m")).where("m > 60 AND m < 120")
     found = sorted(r["value"] for r in clustered.zmumu_pairs(spark, "of_a_test").collect())
     assert found == pytest.approx(sorted(r["m"] for r in masses.collect()))
+
+
+@pytest.mark.parametrize("query", ["zmumu_flat_clustered", "zmumu_jagged_clustered"])
+def test_what_another_session_left_in_the_warehouse_is_not_met(spark, query):
+    folder = "/root/testdata/sf0.001"
+    for name in ("events", "jets", "muons"):  # as earlier sessions named the tables
+        left = Path(urlsplit(spark.conf.get("spark.sql.warehouse.dir")).path) / f"clustered_{zlib.crc32(folder.encode()):08x}_{name}"
+        left.mkdir(parents=True, exist_ok=True)
+        (left / "part-0").write_text("left")
+    first, again = QUERIES[query](spark, folder), QUERIES[query](spark, folder)  # the second call leaves the first one's tables
+    assert sorted(first.collect()) == sorted(again.collect()) != []
