@@ -14,6 +14,8 @@ from nestfold.functions.keys import KeyLayout, ShardMap, check_conversion
 from nestfold.operators import snapshots
 
 Ranges = dict[int, tuple[int, int | None]]
+#: So many bits of entries of one file are written by one task.
+TASK_BITS = 20
 
 
 def has(spark: SparkSession, root: str, name: str | None = None) -> bool:
@@ -65,7 +67,8 @@ def load(made: dict[str, DataFrame], root: str, layout: KeyLayout, replace_rows:
             outside = (entry < F.col("_first")) | F.coalesce(entry >= F.col("_stop"), F.lit(False))
             dealt[name] = dealt[name].unionByName(old.where(outside).drop("_first", "_stop"))
     named = snapshots.new_commit()
-    wrote = snapshots.write(dealt, root, named)
+    part_of_file = F.shiftright(layout.entry_of(F.col("event_id")), TASK_BITS)  # else each task writes into all folders
+    wrote = snapshots.write({n: df.repartition("file_id", part_of_file) for n, df in dealt.items()}, root, named)
 
     def change(v: snapshots.Version) -> snapshots.Version:
         mine = lambda of: {n: {c: [i for i in p.ids if i in gone] for c, p in of.parts.get(n, {}).items() if gone & {*p.ids}} for n in dealt}

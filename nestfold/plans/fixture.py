@@ -66,6 +66,8 @@ def nested(spark: SparkSession, sf_dir: str, jets: bool = True, muons: bool = Tr
     if jets != muons:  # one collection: the others' rows stay in the file
         lines = lines.where(F.col("l_returnflag") == "R" if muons else F.col("l_returnflag") != "R")
     made = F.struct(*ORDER, *[c.alias(k) for k, c in _kinematics().items()])
+    lines = lines.select("l_orderkey", "l_returnflag", made.alias("made"))  # in compiled code, which an aggregate of lists is not
+    made = F.col("made")
     wanted = {n: r for n, r, on in (("jets", F.col("l_returnflag") != "R", jets), ("muons", F.col("l_returnflag") == "R", muons)) if on}
     strip = lambda o: F.struct(*[o[f].alias(f) for f in (*FIELDS, "charge")])
     lists = [F.transform(F.array_sort(F.collect_list(F.when(r, made))), strip).alias(n) for n, r in wanted.items()]

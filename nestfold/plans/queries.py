@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nestfold.functions import lists, statistics
-from nestfold.functions.keys import KeyLayout, Manifest, ShardMap
+from nestfold.functions.keys import KeyLayout, Manifest, ShardMap, owners
 from nestfold.functions.kinematics import mass, p4, register, total_of
 from nestfold.operators import clustered, nesting, record, shards, tables
 from nestfold.plans import adl
 from nestfold.plans.fixture import ORACLE, events, nested, objects, store_clustered
 from nestfold.sources import datasets, root
-from nestfold.storage import children, new_path
+from nestfold.storage import children, new_path, written
 from nestfold.tools.scoring import compare
 
 QUERIES: dict = {}
@@ -253,9 +253,9 @@ def event_ranges(spark, d):
 def interval_lookup(spark, d):
     """The owner of each key, of as many intervals as a third of the keys, with gaps between them."""
     orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey")
-    last = orders.agg(F.max("o_orderkey")).first()[0]
-    split = ShardMap([(f"part{k}", 3 * k, 3 * k + 2) for k in range(last // 3 + 1)])
-    return orders.withColumn("shard", split.column(F.col("o_orderkey")))
+    last = orders.agg(F.coalesce(F.max("o_orderkey"), F.lit(-1))).first()[0]
+    parts = spark.range(last // 3 + 1).select(F.concat(F.lit("part"), F.col("id")).alias("name"), (3 * F.col("id")).alias("start"), (3 * F.col("id") + 2).alias("stop"))
+    return owners(orders, "o_orderkey", parts, "shard")
 
 
 @query("SELECT CASE WHEN o_orderkey // 1000 < 4 THEN 'shard0' ELSE 'shard1' END AS shard, count(*) AS n FROM orders GROUP BY 1", True)
@@ -568,7 +568,7 @@ def root_jets(spark, d):
     FROM ev LEFT JOIN (SELECT * FROM muons WHERE NOT (event_id // 1000 = 2 AND event_id % 1000 BETWEEN 100 AND 599)) USING (event_id) GROUP BY ALL""")
 def replace_range(spark, d):
     """Stored tables in which a range of one file's entries was replaced by rows of another MET and without muons."""
-    made, root = datasets.tables(_nano(spark, d), _NANO), new_path(spark, "replaced")
+    made, root = datasets.tables(written(_nano(spark, d), "nano"), _NANO), new_path(spark, "replaced")
     tables.load(made, root, WIDE)
     mine = (WIDE.file_of(F.col("event_id")) == 2) & WIDE.entry_of(F.col("event_id")).between(100, 599)
     again = {"events": made["events"].where(mine).withColumn("met_pt", F.col("met_pt") + 1), "jets": made["jets"].where(mine), "muons": made["muons"].where(F.lit(False))}
@@ -595,7 +595,7 @@ def ingest_log(spark, d):
 @query("""SELECT version, count(*) AS n, round(sum(met_pt + CASE WHEN version = 2 AND event_id // 1000 = 1 THEN 10 ELSE 0 END), 3) AS met FROM ev CROSS JOIN (VALUES (1), (2)) t(version) WHERE version = 1 OR event_id // 1000 <> 2 GROUP BY version""")
 def stored_versions(spark, d):
     """Two versions of a stored table, the second with a file's rows replaced and those of another gone; both can be read."""
-    made, root, file = datasets.events_table(_nano(spark, d), _NANO), new_path(spark, "versions"), WIDE.file_of(F.col("event_id"))
+    made, root, file = datasets.events_table(written(_nano(spark, d), "nano"), _NANO), new_path(spark, "versions"), WIDE.file_of(F.col("event_id"))
     tables.load({"events": made}, root, WIDE)
     tables.load({"events": made.where(file == 1).withColumn("met_pt", F.col("met_pt") + 10)}, root, WIDE, ranges={1: (0, None), 2: (0, None)})
     both = [tables.stored(spark, root, "events", at=v).select(F.lit(v).alias("version"), "met_pt") for v in (1, 2)]
@@ -606,7 +606,7 @@ def stored_versions(spark, d):
 def shard_fetch(spark, d):
     """Selected events over a shard map, fetched in one query."""
     root, split = new_path(spark, "shards"), ShardMap([("shard0", 0, 4), ("shard1", 4, None)])
-    made = datasets.tables(_nano(spark, d), _NANO)
+    made = datasets.tables(written(_nano(spark, d), "nano"), _NANO)
     at = split.column(WIDE.file_of(F.col("event_id")))
     for name in ("shard0", "shard1"):
         tables.load({n: df.where(at == name) for n, df in made.items()}, f"{root}/{name}", WIDE)
@@ -618,7 +618,7 @@ def shard_fetch(spark, d):
 def shard_map_reduce(spark, d):
     """A function of each shard's events, run next to them, and the results put together."""
     root, split = new_path(spark, "shards"), ShardMap([("shard0", 0, 4), ("shard1", 4, None)])
-    made = {"events": datasets.events_table(_nano(spark, d), _NANO)}
+    made = {"events": datasets.events_table(written(_nano(spark, d), "nano"), _NANO)}
     at = split.column(WIDE.file_of(F.col("event_id")))
     for name in ("shard0", "shard1"):
         tables.load({n: df.where(at == name) for n, df in made.items()}, f"{root}/{name}", WIDE)

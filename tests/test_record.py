@@ -1,6 +1,7 @@
 """Versions of stored tables, and loading many files at once."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,8 +10,10 @@ from nestfold.functions.keys import KeyLayout, Manifest, ShardMap
 from nestfold.operators import record, shards, snapshots, tables
 from nestfold.sources.datasets import NANOAOD, sample_rows
 from nestfold.sources.root import write_root
+from nestfold.storage import children
 
 NAMES = ("events", "jets", "muons")
+LAYOUT = KeyLayout()
 
 
 def made_files(spark, folder, sizes, manifest, seed=0):
@@ -181,3 +184,23 @@ def test_files_of_two_layouts_and_shards(spark, tmp_path):
     assert {(r["shard"], r["file_id"], r["n"]) for r in both.groupBy("shard", "file_id").agg(F.count("*").alias("n")).collect()} == {("a", 0, 10), ("b", 1, 8), ("b", 2, 6), ("b", 3, 7)}
     assert both.where("file_id = 2 AND hlt_isomu24 IS NOT NULL").count() == 0 < both.where("hlt_isomu24 IS NOT NULL").count()
     assert json.loads(snapshots.version(spark, f"{root}/b").to_json())["number"] == 1
+
+
+def test_files_written_do_not_follow_the_number_of_tasks(spark, tmp_path):
+    root, n = str(tmp_path / "r"), 40
+    rows = spark.range(0, 2000, numPartitions=16).select(LAYOUT.pack(F.col("id") % n, F.floor(F.col("id") / n)).alias("event_id"), F.col("id").cast("double").alias("met"))
+    tables.load({"events": rows}, root, LAYOUT)
+    assert len(list(Path(root).glob("events/*/*/*.parquet"))) == n
+    tables.load({"events": rows.where(LAYOUT.file_of(F.col("event_id")) == 3).withColumn("met", F.lit(-1.0))}, root, LAYOUT)
+    found = tables.stored(spark, root, "events")  # more folders than are listed one by one
+    want = sorted((LAYOUT.key(i % n, i // n), -1.0 if i % n == 3 else float(i), i % n) for i in range(2000))
+    assert sorted(map(tuple, found.collect())) == want
+    assert sorted(map(tuple, tables.stored(spark, root, "events", at=1).collect())) == sorted((k, float((k & LAYOUT.max_entry) * n + f), f) for k, _, f in want)
+
+
+def test_children_of_any_names(spark, tmp_path):
+    names = ["a b", "c, d", "z=1", "é+%20x", "e,f"]
+    for name in names:
+        (tmp_path / name).mkdir()
+    assert children(spark, f"file://{tmp_path}") == children(spark, str(tmp_path)) == sorted(names)
+    assert children(spark, f"{tmp_path}/z=1") == children(spark, f"{tmp_path}/none") == []

@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from nestfold.functions import selection, statistics
-from nestfold.functions.keys import ShardMap
+from nestfold.functions.keys import ShardMap, owners
 from nestfold.operators import tables
+from nestfold.plans.queries import QUERIES
 
 
 def bits(x):
@@ -71,3 +72,22 @@ def test_lookup_in_many_intervals_has_a_plan_of_constant_size(spark):
     assert got == [None, None, "s, 0", "s, 0", None, "s, 1", "s, 50000", "s, 99999", "s, 99999", None, None, None]
     open_ended = ShardMap([("a", 0, 2), ("b", 2, None)])
     assert [r[0] for r in rows.select(open_ended.column(F.col("x"))).collect()][:3] == ["a", "b", "b"]
+
+
+@pytest.mark.parametrize("rows", [7, 100, 10**6])
+def test_owners_among_intervals_that_are_rows(spark, rows):
+    rng = random.Random(rows)
+    edges = sorted({rng.randrange(-(2**62), 2**62) for _ in range(300)} | set(range(0, 400, 2)))
+    edges = edges[: len(edges) // 2 * 2]
+    split = [(f"p{i}", lo, hi) for i, (lo, hi) in enumerate(zip(edges[::2], edges[1::2], strict=True))] + [("rest", 2**62 + 5, None)]
+    keys = [e + d for e in edges for d in (-1, 0, 1)] + [None, None, 0, 0, 0, 2**62 + 4, 2**62 + 5, 2**63 - 1, -(2**63)]
+    df = spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "key long, n int")
+    found = owners(df, "key", spark.createDataFrame(split, "name string, start long, stop long"), "who", rows)
+    want = [next((s for s, lo, hi in split if k is not None and lo <= k and (hi is None or k < hi)), None) for k in keys]
+    assert found.columns == ["key", "n", "who"]
+    assert [tuple(r) for r in found.orderBy("n").collect()] == [(k, n, w) for n, (k, w) in enumerate(zip(keys, want, strict=True))]
+
+
+def test_interval_query_keeps_no_interval_on_the_driver(spark):
+    made = QUERIES["interval_lookup"](spark, "/root/testdata/sf0.001")
+    assert "part17" not in made._jdf.queryExecution().optimizedPlan().toString() and made.where("shard = 'part17'").count() == 2
