@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import replace as replace_fields
 from functools import reduce
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +22,7 @@ from nestfold.functions.keys import Manifest, ShardMap
 from nestfold.operators import snapshots
 from nestfold.sources.datasets import Dataset, Wide, keyed, tables
 from nestfold.sources.root import Opened, described, read_root
-from nestfold.storage import children, exists, make_folder, move, qualified, remove
+from nestfold.storage import children, exists, make_folder, move, qualified_all, remove
 
 #: A list of more files than this meets the rows in a shuffled join.
 BROADCAST_FILES = 200_000
@@ -67,7 +68,7 @@ def footers(spark: SparkSession, files: list[tuple[int, str]], dataset: Dataset)
                     told.append((None, None, None, None, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"))
             yield pd.concat([b.reset_index(drop=True), pd.DataFrame(told, columns=["file", "rows", "columns", "layout", "error"]).astype({"rows": "Int64"})], axis=1)
 
-    named = [(i, qualified(spark, p)) for i, p in files]
+    named = list(zip([i for i, _ in files], qualified_all(spark, [p for _, p in files]), strict=True))
     parts = max(1, min(len(named), spark.sparkContext.defaultParallelism * 4))
     schema = "file_id long, path string, file string, rows long, columns array<string>, layout string, error string"
     return spark.createDataFrame(named, "file_id long, path string").repartition(parts).mapInPandas(run, schema)
@@ -101,8 +102,7 @@ def checked(spark: SparkSession, manifest: Manifest, dataset: Dataset, files: li
 
 def scan(spark: SparkSession, files: list[dict], dataset: Dataset, manifest: Manifest, skip_corrupt: bool = False) -> DataFrame:
     """The rows of all ``files`` (see ``checked``) with event_id: a scan for each layout, joined to the list by path."""
-    named = spark.createDataFrame([(re.sub("^file:/+", "file:/", f["file"]), f["file_id"], f["first"], f["stop"]) for f in files], "_path string, _file long, _first long, _stop long")
-    named = F.broadcast(named) if len(files) <= BROADCAST_FILES else named
+    of = {re.sub("^file:/+", "file:/", f["file"]): (f["file_id"], f["first"], f["stop"]) for f in files}
     layouts: dict[str, list[str]] = {}
     for f in files:
         layouts.setdefault(f["layout"], []).append(f["file"])
@@ -110,16 +110,26 @@ def scan(spark: SparkSession, files: list[dict], dataset: Dataset, manifest: Man
     for layout, paths in layouts.items():
         if layout.startswith("root "):
             rows = read_root(spark, paths, dataset).withColumn("_path", F.regexp_replace("path", "^file:/+", "file:/")).drop("path")
-            found.append(_placed(rows, named, dataset, manifest))
+            found.append(_placed(rows, {p: p for p in of}, of, dataset, manifest))
             continue
         rows = spark.read.schema(spark.read.parquet(paths[0]).schema).option("ignoreCorruptFiles", skip_corrupt).parquet(*paths)
         dataset.check(rows)
-        placed = rows.select("*", row_path().alias("_path"), F.col("_metadata.row_index").alias("entry"))
-        found.append(_placed(placed, named, dataset, manifest))
+        # rows keep their path as the metadata has it, a URL: decoding is for each file, not for each row
+        urls = {u: re.sub("^file:/+", "file:/", unquote(u)) for u in rows.inputFiles()}
+        placed = rows.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("entry"))
+        found.append(_placed(placed, _as_in_rows(urls), of, dataset, manifest))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
 
 
-def _placed(rows: DataFrame, named: DataFrame, dataset: Dataset, manifest: Manifest) -> DataFrame:
+def _as_in_rows(urls: dict[str, str]) -> dict[str, str]:
+    """``urls`` with ``file:`` in both ways that it is written, as the metadata may have either."""
+    return urls | {re.sub("^file:/+", s, u): p for u, p in urls.items() if u.startswith("file:/") for s in ("file:/", "file:///")}
+
+
+def _placed(rows: DataFrame, paths: dict[str, str], of: dict[str, tuple], dataset: Dataset, manifest: Manifest) -> DataFrame:
+    """``rows``, of which _path is one of ``paths`` (as rows have it: the file), that their file's part of ``of`` asks for, with event_id."""
+    named = rows.sparkSession.createDataFrame([(p, *of[f]) for p, f in paths.items() if f in of], "_path string, _file long, _first long, _stop long")
+    named = F.broadcast(named) if len(of) <= BROADCAST_FILES else named
     met = rows.join(named, "_path").where("entry >= _first AND entry < _stop")
     return keyed(met, dataset, F.col("_file"), manifest.layout).drop("_path", "_file", "_first", "_stop", "entry")
 
@@ -127,7 +137,7 @@ def _placed(rows: DataFrame, named: DataFrame, dataset: Dataset, manifest: Manif
 def _counts(spark: SparkSession, root: str, named: str, dataset: Dataset, shard: str | None) -> tuple[dict, dict]:
     """({file id: events}, {file id: a table that lacks rows}) of what a commit wrote."""
     there = lambda name: f"{root}/{name}/commit={named}" + (f"/shard={shard}" if shard else "")
-    by_file = lambda name, *more: {r["file_id"]: r for r in spark.read.parquet(there(name)).groupBy("file_id").agg(F.count("*").alias("n"), *more).collect()} if any(n.startswith("file_id=") for n in children(spark, there(name))) else {}
+    by_file = lambda name, *more: {r["file_id"]: r for r in spark.read.parquet(there(name)).groupBy("file_id").agg(F.count("*").alias("n"), *more).collect()} if any(n.startswith("file_id=") or n.endswith(".parquet") for n in children(spark, there(name))) else {}
     expected = {c: F.sum(n).alias(c) for n, c in dataset.counts.items()}
     events = by_file("events", *expected.values())
     short = {}
@@ -149,11 +159,13 @@ def _attempt(spark, files, manifest, dataset, root, shards, replace, ranges, tol
     whole = ranges is None or all(r == (0, None) for r in ranges.values())
     if not whole and replace:  # rows of the same files out of the range stay
         dealt = {n: df.unionByName(_outside(spark, root, n, df, homes, owner, manifest, ranges)) for n, df in dealt.items()}
+    packed = len(files) > snapshots.OWN_FOLDERS
     staging = f"{root}/_staging-{named}" if shards else root
     for name, df in dealt.items():
         keys = ["shard", "file_id"] if shards else ["file_id"]
         df = df.withColumn("shard", shards.column(F.col("file_id"))) if shards else df
-        df.sortWithinPartitions(*keys, "event_id").write.partitionBy(*keys).parquet(f"{staging}/{name}/commit={named}")
+        writer, into = df.sortWithinPartitions(*keys, "event_id").write, keys[:-1] if packed else keys
+        (writer.partitionBy(*into) if into else writer).parquet(f"{staging}/{name}/commit={named}")
     errors: dict[int, str | None] = {}
     events: dict[int, int] = {}
     for shard in homes:
@@ -170,13 +182,14 @@ def _attempt(spark, files, manifest, dataset, root, shards, replace, ranges, tol
             if exists(spark, f"{staging}/{name}/commit={named}/shard={shard}"):
                 make_folder(spark, f"{home}/{name}")
                 move(spark, f"{staging}/{name}/commit={named}/shard={shard}", f"{home}/{name}/commit={named}")
-        wrote = {name: [i for i in snapshots.folders(spark, home, name, named) if i in good] for name in dealt}
+        there = {name: snapshots.folders(spark, home, name, named, packed) for name in dealt}
+        wrote = {name: [i for i in ids if i in good] for name, ids in there.items()}
         schemas = {name: made[name].schema.json() for name in made}
-        sizes = {name: len(snapshots.folders(spark, home, name, named)) for name in dealt}
+        sizes = {name: len(ids) for name, ids in there.items()}
 
         def change(v: snapshots.Version, wrote=wrote, good=good, schemas=schemas, sizes=sizes) -> snapshots.Version:
-            v = replace_fields(v, schemas=schemas | v.schemas).with_files(named, wrote, good if replace else set())
-            parts = {n: {c: snapshots.Part(p.ids, sizes[n]) if c == named and n in sizes else p for c, p in of.items()} for n, of in v.parts.items()}
+            v = replace_fields(v, schemas=schemas | v.schemas).with_files(named, wrote, good if replace else set(), packed)
+            parts = {n: {c: replace_fields(p, wrote=sizes[n]) if c == named and n in sizes else p for c, p in of.items()} for n, of in v.parts.items()}
             return replace_fields(v, parts=parts)
 
         snapshots.commit(spark, home, change)

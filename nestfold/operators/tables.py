@@ -67,15 +67,18 @@ def load(made: dict[str, DataFrame], root: str, layout: KeyLayout, replace_rows:
             outside = (entry < F.col("_first")) | F.coalesce(entry >= F.col("_stop"), F.lit(False))
             dealt[name] = dealt[name].unionByName(old.where(outside).drop("_first", "_stop"))
     named = snapshots.new_commit()
-    part_of_file = F.shiftright(layout.entry_of(F.col("event_id")), TASK_BITS)  # else each task writes into all folders
-    wrote = snapshots.write({n: df.repartition("file_id", part_of_file) for n, df in dealt.items()}, root, named)
+    packed = len(gone) > snapshots.OWN_FOLDERS
+    if not packed:  # else each task writes into all folders
+        part_of_file = F.shiftright(layout.entry_of(F.col("event_id")), TASK_BITS)
+        dealt = {n: df.repartition("file_id", part_of_file) for n, df in dealt.items()}
+    wrote = snapshots.write(dealt, root, named, packed)
 
     def change(v: snapshots.Version) -> snapshots.Version:
         mine = lambda of: {n: {c: [i for i in p.ids if i in gone] for c, p in of.parts.get(n, {}).items() if gone & {*p.ids}} for n in dealt}
         if replace_rows and mine(v) != mine(base):
             raise snapshots.Conflict(f"another writer changed files of {sorted(gone)[:5]} under {root}")
         v = replace(v, schemas={n: _plain(df.schema) for n, df in made.items()} | v.schemas)
-        return v.with_files(named, wrote, gone if replace_rows else set())
+        return v.with_files(named, wrote, gone if replace_rows else set(), packed)
 
     snapshots.commit(spark, root, change)
 

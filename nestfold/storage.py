@@ -134,6 +134,21 @@ def qualified(spark: SparkSession, path: str) -> str:
     return system.makeQualified(target).toString()
 
 
+def qualified_all(spark: SparkSession, paths: list[str]) -> list[str]:
+    """``qualified`` of many paths, with one call for each folder that they are in."""
+    homes: dict[str, str] = {}
+    out = []
+    for path in paths:
+        home, _, name = path.rstrip("/").rpartition("/")
+        if not home.strip("/") or home.rstrip("/").endswith(":") or name in (".", ".."):
+            out.append(qualified(spark, path))
+            continue
+        if home not in homes:
+            homes[home] = qualified(spark, home).rstrip("/")
+        out.append(f"{homes[home]}/{name}")
+    return out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder through Spark's own file systems."""
     system, target = _system(spark, path)

@@ -9,7 +9,7 @@ from nestfold.functions.keys import Manifest
 from nestfold.operators.record import BROADCAST_FILES, row_path
 from nestfold.operators.tables import load
 from nestfold.sources.datasets import Dataset, tables
-from nestfold.storage import qualified
+from nestfold.storage import qualified_all
 
 
 def ingest_new(spark: SparkSession, folder: str, manifest: Manifest, dataset: Dataset, root: str, checkpoint: str) -> None:
@@ -19,7 +19,8 @@ def ingest_new(spark: SparkSession, folder: str, manifest: Manifest, dataset: Da
     error before anything of its batch is loaded.
     """
     schema = spark.read.parquet(folder).schema
-    known = spark.createDataFrame([(qualified(spark, f["path"]), f["file_id"]) for f in manifest.files], "_path string, _file long")
+    named = qualified_all(spark, [f["path"] for f in manifest.files])
+    known = spark.createDataFrame(list(zip(named, [f["file_id"] for f in manifest.files], strict=True)), "_path string, _file long")
     known = F.broadcast(known) if len(manifest.files) <= BROADCAST_FILES else known
 
     def batch(rows: DataFrame, _: int) -> None:

@@ -10,7 +10,7 @@ from nestfold.functions.keys import KeyLayout, Manifest, ShardMap
 from nestfold.operators import record, shards, snapshots, tables
 from nestfold.sources.datasets import NANOAOD, sample_rows
 from nestfold.sources.root import write_root
-from nestfold.storage import children
+from nestfold.storage import children, qualified, qualified_all
 
 NAMES = ("events", "jets", "muons")
 LAYOUT = KeyLayout()
@@ -204,3 +204,50 @@ def test_children_of_any_names(spark, tmp_path):
         (tmp_path / name).mkdir()
     assert children(spark, f"file://{tmp_path}") == children(spark, str(tmp_path)) == sorted(names)
     assert children(spark, f"{tmp_path}/z=1") == children(spark, f"{tmp_path}/none") == []
+
+
+def test_a_record_of_many_files_is_packed(spark, tmp_path, monkeypatch):
+    """Files written do not follow the files loaded; rows, fates, versions and what is replaced are those of folders for each file."""
+    m = made_files(spark, tmp_path / "a +%20é", [5, 3, 0, 4, 6, 2], Manifest())
+    broken = next(p for p in (tmp_path / "a +%20é" / "f0-4").glob("*.parquet"))
+    data = bytearray(broken.read_bytes())
+    data[4 : len(data) // 3] = bytes(len(data) // 3 - 4)
+    broken.write_bytes(data)
+    for crc in broken.parent.glob(".*.crc"):
+        crc.unlink()
+    m.add(str(tmp_path / "missing"))
+    found = {}
+    for limit in (100, 2):
+        monkeypatch.setattr(snapshots, "OWN_FOLDERS", limit)
+        root = str(tmp_path / f"db{limit}")
+        told = {(r["file_id"], r["status"], r["rows"]) for r in record.ingest_record(spark, m, NANOAOD, root, retries=0).collect()}
+        states = [told, everything(spark, root)]
+        events = tables.stored(spark, root, "events").drop("file_id")
+        again = events.where(LAYOUT.file_of(F.col("event_id")).isin(1, 3)).withColumn("met_pt", F.lit(-1.0))
+        tables.load({"events": again}, root, LAYOUT, ranges={1: (0, None), 3: (1, 3), 5: (0, None)})  # 3 > 2: packed too
+        states += [everything(spark, root), everything(spark, root, at=1)]
+        tables.load({"events": again.where(LAYOUT.file_of(F.col("event_id")) == 1)}, root, LAYOUT)  # a folder over packed rows
+        snapshots.vacuum(spark, root, keep=1, hours=-1)
+        found[limit] = [*states, everything(spark, root)]
+    assert {i for i, s, _ in found[2][0] if s == "failed"} == {4, 6}
+    assert found[2] == found[100]
+    assert not list(Path(tmp_path / "db2").glob("jets/*/file_id=*")) and list(Path(tmp_path / "db100").glob("jets/*/file_id=*"))
+
+
+def test_packed_rows_of_scattered_files(spark, tmp_path, monkeypatch):
+    """Single files replaced in a packed commit, in more runs than a condition lists, and by partial ranges."""
+    monkeypatch.setattr(snapshots, "FOLDERS", 3)
+    root, n = str(tmp_path / "db"), snapshots.OWN_FOLDERS + 10
+    rows = spark.range(0, 4 * n, numPartitions=3).select(LAYOUT.pack(F.col("id") % n, F.floor(F.col("id") / n)).alias("event_id"), F.col("id").alias("v"))
+    tables.load({"events": rows}, root, LAYOUT)
+    assert len(list(Path(root).glob("events/*/*.parquet"))) <= 3 and not list(Path(root).glob("events/*/file_id=*"))
+    odd = rows.where((LAYOUT.file_of(F.col("event_id")) % 2 == 1) & (LAYOUT.entry_of(F.col("event_id")) < 2)).withColumn("v", F.lit(-1).cast("long"))
+    tables.load({"events": odd}, root, LAYOUT, ranges={i: (0, 2) for i in range(1, n, 2)})
+    want = sorted((LAYOUT.key(i % n, i // n), -1 if i % n % 2 and i // n < 2 else i, i % n) for i in range(4 * n))
+    assert sorted(map(tuple, tables.stored(spark, root, "events").collect())) == want
+    assert tables.stored(spark, root, "events", keys=(LAYOUT.key(5, 0), LAYOUT.key(6, 0)), layout=LAYOUT).count() == 4
+
+
+def test_qualified_all(spark, tmp_path):
+    paths = [f"{tmp_path}/a b", f"{tmp_path}//c%20", f"file://{tmp_path}/d=1/", f"file:{tmp_path}/é:x", f"{tmp_path}/e/..", "/tmp", "relative"]
+    assert qualified_all(spark, paths) == [qualified(spark, p) for p in paths]
