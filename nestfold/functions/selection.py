@@ -59,7 +59,7 @@ def at_places(values: DataFrame, wanted: DataFrame, by: Sequence[str] = (), key:
         if shift != 48:  # prefixes in question only; equal keys of null groups meet too
             live = ask.select(*by, "_prefix").distinct()
             same = lambda c: F.col(f"e.{c}").eqNullSafe(F.col(f"l.{c}"))
-            on = F.col("e._prefix") == F.col("l._prefix")
+            on = same("_prefix")  # a plain = would add a filter that works out the key again, for every value and without shared steps
             for c in by:
                 on &= same(c)
             each = each.alias("e").join(live.alias("l"), on, "left_semi")

@@ -91,3 +91,19 @@ def test_owners_among_intervals_that_are_rows(spark, rows):
 def test_interval_query_keeps_no_interval_on_the_driver(spark):
     made = QUERIES["interval_lookup"](spark, "/root/testdata/sf0.001")
     assert "part17" not in made._jdf.queryExecution().optimizedPlan().toString() and made.where("shard = 'part17'").count() == 2
+
+
+def test_no_filter_works_out_the_keys_of_values(spark, monkeypatch):
+    """A filter shares no steps, so a key that one repeats costs many logarithms for each value."""
+    real, plans = selection.written, []
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, label)
+
+    monkeypatch.setattr(selection, "written", seen)
+    rows = spark.range(64).select((F.col("id") % 3).alias("g"), (F.col("id") * 1.5 - 7).alias("v"))
+    found = selection.quantiles(rows, ["v"], [0.0, 0.5, 1.0], ["g"])
+    assert {(r["g"], r["share"]): r["value"] for r in found.collect()}[(0, 0.5)] == 31.5 * 1.5 - 7
+    assert any("LOG2" in p for p in plans)
+    assert not [line for p in plans for line in p.splitlines() if "Filter" in line and "LOG2" in line]
